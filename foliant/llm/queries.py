@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import substring_dedup, suffix_dedup
+from foliant.llm import byte_bpe, common, simhash, substring_dedup, suffix_dedup, token_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With n_near: how many other fingerprints of the table are within 3 bits."""
+    made, _ = common.stored(simhash.edited(table(spark, sf_dir, "documents")), "simhash")
+    near = simhash.near_fingerprints(made, 3)
+    both = near.select(F.col("a").alias("fingerprint")).unionByName(near.select(F.col("b").alias("fingerprint")))
+    n_near = both.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_near"))
+    return made.join(n_near, "fingerprint", "left").select(*made.columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_earlier(table(spark, sf_dir, "documents"), 100).drop("kept")
 
@@ -19,6 +30,16 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), 35).drop("kept", "row")
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_array, op5_substrings)}
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch_path(spark, "sst")
+    shards = token_shards.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, 2)
+    return token_shards.read(spark, shards, folder)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids", "offsets")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_suffix_array, op5_substrings, op7_token_shards, op9_byte_bpe)}
 
 ORACLES: dict[str, str] = {}
