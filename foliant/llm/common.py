@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -32,8 +33,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referenced; they'd otherwise wait for a collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner works in a thread of its own
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -128,17 +131,26 @@ def longs(column) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy(), np.int64)
 
 
-def joined(column, dtype) -> np.ndarray:
-    """The numbers packed in all rows of a binary column, one after another."""
-    return np.frombuffer(flat(column)[0].tobytes(), dtype)
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, byte by byte: all lowest bytes first. Codecs like that better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width].T).tobytes()
 
 
-def packed(groups: np.ndarray, n: int, *arrays: np.ndarray):
-    """For each group below n that occurs: (group, bytes of each array's values in it), values in their order."""
+def joined(column, dtype, width: int) -> np.ndarray:
+    """The values packed by planes() in all rows of a binary column, one after another."""
+    data, offs = flat(column)
+    out = np.zeros((len(data) // width, np.dtype(dtype).itemsize), np.uint8)
+    for a, b in zip(offs[:-1], offs[1:]):
+        out[a // width : b // width, :width] = data[a:b].reshape(width, -1).T
+    return out.view(dtype).ravel()
+
+
+def dealt(groups: np.ndarray, n: int, *arrays: np.ndarray):
+    """For each group below n that occurs: (group, each array's values in it), values in their order."""
     order = np.argsort(groups.astype(np.uint16) if n < 1 << 16 else groups, kind="stable")
-    dealt = [a[order] for a in arrays]
+    moved = [a[order] for a in arrays]
     ends = np.cumsum(np.bincount(groups, minlength=n))
     start = 0
     for g in np.flatnonzero(np.diff(ends, prepend=0)):
-        yield int(g), [a[start : ends[g]].tobytes() for a in dealt]
+        yield int(g), [a[start : ends[g]] for a in moved]
         start = ends[g]

@@ -10,7 +10,8 @@ offset (`cover_seeds`, `winnowed_seeds`). Then
 
 Seeds and runs travel as packed arrays, a row for each batch of texts and bucket. Equal contexts are merged in each
 batch before anything is shuffled, so a passage that a third of all documents share reaches its bucket once a batch.
-Seeds compare by 32 bits within a bucket, which only costs work; contexts by 64, and runs by 64 within a bucket.
+Seeds compare by 32 bits within a bucket, where a false match only costs work; contexts by 48 bits within a seed's class,
+and runs by 56 bits within a bucket.
 """
 
 from __future__ import annotations
@@ -119,9 +120,12 @@ def _classes(a: np.ndarray, b: np.ndarray, row: np.ndarray, pos: np.ndarray) ->
     return order, _equal_runs([a[order]]), _equal_runs([a[order], b[order]])
 
 
-def _pack_rows(out: list, kind: int, bucket: np.ndarray, n: int, a, b, row, pos) -> None:
-    for g, arrays in c.packed(bucket, n, a, b, row, pos):
-        out.append((g, kind, *arrays))
+def _pack_rows(out: list, kind: int, bucket: np.ndarray, n: int, row, pos, a=None, b=None, width: int = 4) -> None:
+    """A row for each bucket: row keys and positions and, where they are to be compared, keys a of width bytes and b."""
+    more = [x for x in (a, b) if x is not None]
+    for g, (r, p, *keys) in c.dealt(bucket, n, row, pos, *more):
+        k = [c.planes(x, w) for x, w in zip(keys, (width, CONTEXT))] + [b"", b""]
+        out.append((g, kind, k[0], k[1], c.planes(r, ROW), c.planes(p, POS)))
 
 
 def _batch(out: list) -> pa.RecordBatch:
@@ -132,10 +136,8 @@ def _batch(out: list) -> pa.RecordBatch:
 
 #: kinds of packed rows: seeds or runs to compare; marks: all runs around a seed repeat; seeds whose runs to compare; single runs that repeat.
 COMPARE, SETTLED, REFINE, RUN = 0, 1, 2, 3
-
-
-def _none(like: np.ndarray) -> np.ndarray:
-    return np.zeros(len(like), np.uint8)
+#: Bytes kept of each packed value: seeds in their bucket, contexts, runs in their bucket, row keys, positions.
+SEED, CONTEXT, WHOLE, ROW, POS = 4, 6, 7, 8, 4
 
 
 def repeated_runs(keyed: DataFrame, tokens, window: int, seeds, length: int, first_stays: bool, finish: Callable, schema: str) -> DataFrame:
@@ -170,18 +172,18 @@ def repeated_runs(keyed: DataFrame, tokens, window: int, seeds, length: int, fir
                 again = order[~new]
                 if len(again):
                     twice = again if first_stays else order[~new | ~np.append(new[1:], True)]
-                    _pack_rows(out, SETTLED, c.part_of_array(row[twice], parts), parts, _none(twice), _none(twice), row[twice], pos[twice])
+                    _pack_rows(out, SETTLED, c.part_of_array(row[twice], parts), parts, row[twice], pos[twice])
                     keep = np.ones(len(at), bool)
                     keep[again] = False
                     gram, context, row, pos = gram[keep], context[keep], row[keep], pos[keep]
-                _pack_rows(out, COMPARE, ((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets, gram.astype(np.uint32), context, row, pos)
+                _pack_rows(out, COMPARE, ((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets, row, pos, gram.astype(np.uint32), context)
                 yield _batch(out)
 
     def settle(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         mine = table.filter(pa.array(kinds == COMPARE))
         out = [(r["bucket"], SETTLED, b"", b"", r["row"], r["pos"]) for r in table.filter(pa.array(kinds == SETTLED)).to_pylist()]
-        gram, context, row, pos = (c.joined(mine.column(k), d) for k, d in (("a", np.uint32), ("b", np.uint64), ("row", np.int64), ("pos", np.uint32)))
+        gram, context, row, pos = (c.joined(mine.column(k), d, w) for k, d, w in (("a", np.uint32, SEED), ("b", np.uint64, CONTEXT), ("row", np.int64, ROW), ("pos", np.uint32, POS)))
         order, new_a, new_b = _classes(gram, context, row, pos)
         if len(order):
             group = np.cumsum(new_a) - 1
@@ -190,13 +192,13 @@ def repeated_runs(keyed: DataFrame, tokens, window: int, seeds, length: int, fir
             settled = order[~new_b if first_stays else size > 1]
             refine = order[new_b & (contexts > 1)]
             for kind, some in ((SETTLED, settled), (REFINE, refine)):
-                _pack_rows(out, kind, c.part_of_array(row[some], parts), parts, _none(some), _none(some), row[some], pos[some])
+                _pack_rows(out, kind, c.part_of_array(row[some], parts), parts, row[some], pos[some])
         return pa.Table.from_batches([_batch(out)])
 
     def spread(marks: pa.Table, kind: int, rows: np.ndarray, ranges: np.ndarray, n: int) -> np.ndarray:
         """Positions in the batch that the marks of a kind stand for: the starts of runs around seeds, or of runs."""
         some = marks.filter(pa.array(marks.column("kind").to_numpy() == kind))
-        row, pos = c.joined(some.column("row"), np.int64), c.joined(some.column("pos"), np.uint32).astype(np.int64)
+        row, pos = c.joined(some.column("row"), np.int64, ROW), c.joined(some.column("pos"), np.uint32, POS).astype(np.int64)
         t = np.searchsorted(rows, row)
         ok = (t < len(rows)) & (rows[np.minimum(t, len(rows) - 1)] == row)
         t, pos = t[ok], pos[ok]
@@ -216,6 +218,8 @@ def repeated_runs(keyed: DataFrame, tokens, window: int, seeds, length: int, fir
             rows, hashes, ranges, text, local = _texts(batch, tokens)
             n = len(hashes)
             want = spread(marks, REFINE, rows, ranges, n)
+            if first_stays:  # what is known to have an earlier equal isn't the first of any
+                want &= ~spread(marks, SETTLED, rows, ranges, n)
             at = np.flatnonzero(want & (ranges[1:][text] - np.arange(n) >= window)) if n else np.zeros(0, np.int64)
             if not len(at):
                 continue
@@ -226,21 +230,21 @@ def repeated_runs(keyed: DataFrame, tokens, window: int, seeds, length: int, fir
             again = order[~new]
             if len(again):  # equal runs within the batch
                 twice = again if first_stays else order[~new | ~np.append(new[1:], True)]
-                _pack_rows(out, RUN, c.part_of_array(row[twice], parts), parts, _none(twice), _none(twice), row[twice], pos[twice])
+                _pack_rows(out, RUN, c.part_of_array(row[twice], parts), parts, row[twice], pos[twice])
                 keep = np.ones(len(at), bool)
                 keep[again] = False
                 key, bucket, row, pos = key[keep], bucket[keep], row[keep], pos[keep]
-            _pack_rows(out, COMPARE, (bucket % np.uint64(buckets)).astype(np.int64), buckets, key, _none(key), row, pos)
+            _pack_rows(out, COMPARE, (bucket % np.uint64(buckets)).astype(np.int64), buckets, row, pos, key, width=WHOLE)
         return pa.Table.from_batches([_batch(out)])
 
     def decide(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
         mine = table.filter(pa.array(kinds == COMPARE))
         out = [(r["bucket"], RUN, b"", b"", r["row"], r["pos"]) for r in table.filter(pa.array(kinds == RUN)).to_pylist()]
-        key, row, pos = (c.joined(mine.column(k), d) for k, d in (("a", np.uint64), ("row", np.int64), ("pos", np.uint32)))
+        key, row, pos = (c.joined(mine.column(k), d, w) for k, d, w in (("a", np.uint64, WHOLE), ("row", np.int64, ROW), ("pos", np.uint32, POS)))
         order, new, _ = _classes(key, np.zeros(len(key), np.uint8), row, pos)
         some = order[~new] if first_stays else order
-        _pack_rows(out, RUN, c.part_of_array(row[some], parts), parts, _none(some), _none(some), row[some], pos[some])
+        _pack_rows(out, RUN, c.part_of_array(row[some], parts), parts, row[some], pos[some])
         return pa.Table.from_batches([_batch(out)])
 
     def close(texts: pa.Table, marks: pa.Table) -> pa.Table:
@@ -261,7 +265,7 @@ def repeated_runs(keyed: DataFrame, tokens, window: int, seeds, length: int, fir
     texts = keyed.withColumn("part", c.part_of(F.col("row"), parts))
     seeds_table = keyed.select("row", "text").mapInArrow(extract, PACK)
     first, first_path = c.stored(_by_bucket(seeds_table).applyInArrow(settle, PACK), "seeds")
-    refine = first.where(F.col("kind") == REFINE)
+    refine = first if first_stays else first.where(F.col("kind") == REFINE)
     again = texts.select("part", "row", "text").groupBy("part").cogroup(refine.groupBy("bucket")).applyInArrow(compare, PACK)
     second, second_path = c.stored(_by_bucket(again).applyInArrow(decide, PACK), "runs")
     marks = first.where(F.col("kind") == SETTLED).unionByName(second)
