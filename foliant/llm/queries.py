@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import byte_bpe, common, simhash, substring_dedup, suffix_dedup, token_shards
+from foliant.llm import additive, byte_bpe, common, language_id, minhash, mixing, simhash, substring_dedup, suffix_dedup, token_shards, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With n_near: how many other fingerprints of the table are within 3 bits."""
     made, _ = common.stored(simhash.edited(table(spark, sf_dir, "documents")), "simhash")
@@ -22,6 +28,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(n_near, "fingerprint", "left").select(*made.columns, F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
+def op3_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_earlier(table(spark, sf_dir, "documents"), 100).drop("kept")
 
@@ -30,16 +40,32 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"), 35).drop("kept", "row")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.scratch_path(spark, "sst")
     shards = token_shards.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, 2)
     return token_shards.read(spark, shards, folder)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs)).drop("rejected")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids", "offsets")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_suffix_array, op5_substrings, op7_token_shards, op9_byte_bpe)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_warc, op2_simhash, op3_additive, op4_suffix_array, op5_substrings, op6_mixing, op7_token_shards, op8_language, op9_byte_bpe, op10_minhash)
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op6_mixing": mixing.ORACLE}
