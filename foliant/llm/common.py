@@ -82,21 +82,27 @@ def ordered_sums(df: DataFrame, order: list[str], value: str, out: str) -> DataF
     return kept.withColumn("_local", local).join(F.broadcast(base), "_range").withColumn(out, F.col("_local") + F.col("_base")).drop("_local", "_base", "_range")
 
 
-def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, text): row is a long unique to each row, ascending in doc_id; a null text becomes empty.
+def numbered(df: DataFrame, id_col: str) -> DataFrame:
+    """df with ``row``: a long unique to each row, ascending in the id. Columns must be ones that Spark can group by.
 
-    Where doc_id is unique and never null, row is doc_id. Otherwise rows are numbered in the order of doc_id (null
-    last) and the text's digest; equal rows get numbers one after another. All other columns are left out.
+    Where the id is unique and never null, row is the id. Otherwise rows are numbered in the order of the id (null
+    last) and a digest of all columns; equal rows get numbers one after another.
     """
-    base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    clash = base.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).collect()
-    if not clash:
-        return base.select(F.col("doc_id").alias("row"), "doc_id", "text")
-    same = base.withColumn("_digest", F.sha2(F.col("text").cast("binary"), 256)).groupBy("doc_id", "_digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("_copies"))
-    numbered = ordered_sums(same.select(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "_digest", "_copies"), ["_null", "_id", "_digest"], "_copies", "_first")
-    joined = same.withColumn("_null", F.col("doc_id").isNull()).withColumn("_id", F.coalesce("doc_id", F.lit(0))).join(numbered.drop("_copies"), ["_null", "_id", "_digest"])
-    spread = joined.withColumn("_n", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))))
-    return spread.select((F.col("_first") + F.col("_n")).cast("long").alias("row"), "doc_id", "text")
+    key = F.col(id_col).cast("long")
+    if not df.groupBy(key.alias("_id")).count().where("count > 1 or _id is null").limit(1).count():
+        return df.select(key.alias("row"), *df.columns)
+    same = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    order = {"_null": key.isNull(), "_id": F.coalesce(key, F.lit(0)), "_digest": F.sha2(F.to_json(F.struct(*df.columns)).cast("binary"), 256)}
+    same = same.withColumns(order)
+    ranks = ordered_sums(same.select(*order, "_copies"), list(order), "_copies", "_first").drop("_copies")
+    spread = same.join(ranks, list(order)).withColumn("_n", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))))
+    return spread.select((F.col("_first") + F.col("_n")).cast("long").alias("row"), *df.columns)
+
+
+def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, text) and the carried columns: row as by numbered(); a null text becomes empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return numbered(df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *carry), "doc_id")
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

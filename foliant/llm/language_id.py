@@ -248,3 +248,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col).cast("long")).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text is rejected: no letters, or a cross-entropy over the calibrated level."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE texts of each language
+
+    def run(batches):
+        m = shared.value
+        for whole in batches:
+            for batch in c.slices(whole, text_col):
+                if m.langs:
+                    yield batch.filter(pa.array(~m.predict(*c.flat(batch.column(text_col)))[2]))
+
+    return docs.mapInArrow(run, docs.schema)

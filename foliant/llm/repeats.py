@@ -260,7 +260,7 @@ def repeated_runs(keyed: DataFrame, tokens, window: int, seeds, length: int, fir
             change[at] += 1
             np.add.at(change, at + window, -1)
             got.append(finish(batch, np.cumsum(change)[:n] > 0, ranges))
-        return pa.Table.from_batches(got) if got else pa.Table.from_batches([finish(texts.combine_chunks().to_batches()[0] if texts.num_rows else _no_texts(), np.zeros(0, bool), np.zeros(1, np.int64))])
+        return pa.concat_tables(got) if got else finish(texts, np.zeros(0, bool), np.zeros(1, np.int64))
 
     texts = keyed.withColumn("part", c.part_of(F.col("row"), parts))
     seeds_table = keyed.select("row", "text").mapInArrow(extract, PACK)
@@ -273,10 +273,6 @@ def repeated_runs(keyed: DataFrame, tokens, window: int, seeds, length: int, fir
     return done
 
 
-def _no_texts() -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())], ["row", "doc_id", "text"])
-
-
 def _by_bucket(df: DataFrame):
     """Groups by bucket; what is only passed on is spread over as many groups."""
     return df.groupBy("bucket")

@@ -21,18 +21,18 @@ from foliant.llm.words import find_words
 SCHEMA = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def remove_repeated(docs: DataFrame, window: int = 35, anchor: int = 7, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = 35, anchor: int = 7, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each text without the words covered by a window of consecutive words that also starts anywhere else.
 
     Words are runs free of the six ASCII white-space characters. Windows are judged on the input. Equal rows count as
     places of their own, so their windows repeat; ids may be null or repeat. A null or empty text has no words. An
-    empty table gives an empty result. Other columns are ignored. kept: the kept words joined by one space, null
+    empty table gives an empty result. Columns named in carry are passed on, others are ignored. kept: the kept words joined by one space, null
     unless keep_text; a text that lost nothing keeps its white space there (kept_sha256 is of the joined words).
     """
     if not 1 <= anchor <= window:
         raise ValueError("anchor must be from 1 to window")
 
-    def finish(batch, covered: np.ndarray, ranges: np.ndarray) -> pa.RecordBatch:
+    def finish(batch, covered: np.ndarray, ranges: np.ndarray) -> pa.Table:
         data, offs = c.flat(batch.column("text"))
         starts, ends, _ = find_words(data, offs)
         before = np.concatenate([[0], np.cumsum(covered)])
@@ -58,7 +58,10 @@ def remove_repeated(docs: DataFrame, window: int = 35, anchor: int = 7, id_col:
             else:
                 kept.append(None)
         columns = [pa.array(c.longs(batch.column("row"))), pa.array(batch.column("doc_id").to_pylist(), pa.int64()), pa.array(np.diff(ranges), pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        columns += [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (batch.column(k) for k in carry)]
+        return pa.Table.from_arrays(columns, ["row", "doc_id", "n_words", "n_removed", "kept_sha256", "kept", *carry])
 
     seeds, length = repeats.winnowed_seeds(window, anchor)
-    return repeats.repeated_runs(c.keyed(docs, id_col, text_col), repeats.word_tokens, window, seeds, length, False, finish, SCHEMA)
+    keyed = c.keyed(docs, id_col, text_col, carry)
+    schema = ", ".join([SCHEMA, *(f"{k} {keyed.schema[k].dataType.simpleString()}" for k in carry)])
+    return repeats.repeated_runs(keyed, repeats.word_tokens, window, seeds, length, False, finish, schema)

@@ -38,7 +38,7 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     if length < 10:
         raise ValueError("length must be 10 or more")
 
-    def finish(batch, covered: np.ndarray, ranges: np.ndarray) -> pa.RecordBatch:
+    def finish(batch, covered: np.ndarray, ranges: np.ndarray) -> pa.Table:
         data, offs = c.flat(batch.column("text"))
         n = np.diff(offs)
         before = np.concatenate([[0], np.cumsum(covered)])
@@ -52,7 +52,7 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         kept = [data[a:b][~covered[a:b]].tobytes() for a, b in zip(offs[:-1], offs[1:])]
         digests = [hashlib.sha256(k).hexdigest() for k in kept]
         columns = [pa.array(batch.column("doc_id").to_pylist(), pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans[offs[1:]] - spans[offs[:-1]], pa.int64()), pa.array(digests, pa.string()), pa.array(kept if keep_bytes else [None] * len(kept), pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return pa.Table.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     seeds, prefix = repeats.cover_seeds(length, period_for(length))
     return repeats.repeated_runs(c.keyed(docs, id_col, text_col), repeats.byte_tokens, length, seeds, prefix, True, finish, SCHEMA)
