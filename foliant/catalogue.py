@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from foliant.plans import chunks, evaluation, files, reads, rules, search, streams, text  # noqa: F401  they register
+from foliant.plans.registry import ORACLES, QUERIES  # noqa: F401
