@@ -173,12 +173,13 @@ class Records(DataSource):
     def schema(self):
         return schema(parse(json.loads(self.options["spec"])))
 
-    def reader(self, _):
+    def reader(self, schema):
         return RecordReader(self.options)
 
 
 def read(spark: SparkSession, path: str, spec: dict, per_partition: int = 1 << 20) -> DataFrame:
     spark.dataSource.register(Records)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("records").option("spec", json.dumps(spec)).option("recordsPerPartition", per_partition).load(path)
 
 
@@ -269,12 +270,12 @@ def header_length(a: np.ndarray, record: int) -> int:
     """Where records begin: aligned to the end, the first record from which on the constant columns hold."""
     start = len(a) % record
     rows = a[start : start + len(a[start:]) // record * record].reshape(-1, record)
-    later = rows[len(rows) // 4 :]
-    constant = np.flatnonzero((later == later[0]).mean(axis=0) > 0.99)
+    usual = rows[len(rows) // 2]
+    constant = np.flatnonzero((rows == usual).mean(axis=0) > 0.97)
     if not len(constant):
         return start
-    share = (rows[:, constant] == later[0, constant]).mean(axis=1)
-    return start + record * int(np.argmax(share >= share[len(share) // 4 :].mean() - 0.03))
+    share = (rows[:, constant] == usual[constant]).mean(axis=1)
+    return start + record * int(np.argmax(share >= share.max() - 0.03))
 
 
 def field_guesses(a: np.ndarray, header: int, record: int, most: int = 40) -> list[dict]:
@@ -301,7 +302,7 @@ def field_guesses(a: np.ndarray, header: int, record: int, most: int = 40) -> li
                 if kind[0] == "u":
                     d = np.diff(v.astype(float))
                     rising = (d >= 0).mean() if len(d) else 0
-                    if width >= 4 and rising > 0.95 and ((v > 946684800) & (v < 4102444800)).all():
+                    if width >= 4 and rising > 0.995 and 0 < np.median(d) <= 86400 and ((v > 946684800) & (v < 4102444800)).all():
                         found.append((6.0, offset, offset + width, f"time {order}{kind}"))
                     elif len(d) and rising > 0.98 and np.median(d) == 1:
                         found.append((5.0 - width / 100, offset, offset + width, f"counter {order}{kind}"))
