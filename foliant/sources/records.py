@@ -133,8 +133,8 @@ class RecordReader(DataSourceReader):
         from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual
 
         for f in filters:
-            if getattr(f, "attribute", None) == ("index",):
-                v = f.value
+            v = getattr(f, "value", None)
+            if getattr(f, "attribute", None) == ("index",) and isinstance(v, int):
                 if isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)):
                     self.low = max(self.low, v + isinstance(f, GreaterThan))
                 if isinstance(f, (EqualTo, LessThanOrEqual, LessThan)):
@@ -312,8 +312,9 @@ def field_guesses(a: np.ndarray, header: int, record: int, most: int = 40) -> li
                         fine = np.isfinite(v) & ((size == 0) | ((size > 1e-4) & (size < 1e7)))
                     if fine.mean() > 0.99 and len(np.unique(v)) > 8:
                         found.append((4.0 + (offset % width == 0) / 10, offset, offset + width, f"float {order}{kind}"))
+    even = lambda f: f[0] - 2.5 * (f[3] != "constant" and f[1] % (f[2] - f[1]) > 0)  # noqa: E731  fields tend to be aligned
     kept: list[tuple] = []
-    for f in sorted(found, key=lambda f: (-f[0], f[1])):
+    for f in sorted(found, key=lambda f: (-even(f), f[1])):
         if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
             kept.append(f)
     return [{"offset": a, "end": b, "what": w} for _, a, b, w in sorted(kept[:most], key=lambda f: f[1])]
