@@ -148,7 +148,7 @@ def repeated_runs(keyed: DataFrame, tokens, window: int, seeds, length: int, fir
     """
     spark = keyed.sparkSession
     parts = c.partitions(spark)
-    buckets = parts * 4
+    buckets = parts
     reach = window - length
 
     def extract(batches):
