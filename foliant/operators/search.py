@@ -37,7 +37,7 @@ def ranked(scores: DataFrame, n: int, ties: Column | None = None) -> DataFrame:
     """The n best by score with ranks from 1; ties by id descending unless said otherwise."""
     ties = F.desc("id") if ties is None else ties
     best = scores.where("score > 0").orderBy(F.desc("score"), ties).limit(n)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), ties)))  # n rows
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), ties)).cast("long"))  # n rows
 
 
 def dense(vectors: DataFrame, query: list[float], n: int, id_col: str, vector_col: str) -> DataFrame:
@@ -45,7 +45,7 @@ def dense(vectors: DataFrame, query: list[float], n: int, id_col: str, vector_co
     q = F.array(*(F.lit(float(x)) for x in query))
     scores = vectors.select(F.col(id_col).alias("id"), V.cosine(F.col(vector_col), q).alias("score"))
     best = scores.orderBy(F.desc("score"), "id").limit(n)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
 
 
 def fused(dense_hits: DataFrame, lexical_hits: DataFrame, dense_weight: float = 1.0, lexical_weight: float = 1.0) -> DataFrame:
@@ -54,7 +54,7 @@ def fused(dense_hits: DataFrame, lexical_hits: DataFrame, dense_weight: float =
     x = lexical_hits.select("id", F.col("score").alias("lexical"), F.col("rank").alias("lexical_rank"))
     part = lambda w, r: F.coalesce(F.lit(float(w)) / (F.lit(float(RRF)) + F.col(r)), F.lit(0.0))
     both = d.join(x, "id", "full_outer").withColumn("fused", part(dense_weight, "dense_rank") + part(lexical_weight, "lexical_rank"))
-    return both.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fused"), "id")))
+    return both.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("fused"), "id")).cast("long"))
 
 
 def bigrams(text: Column) -> Column:
