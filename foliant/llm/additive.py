@@ -188,9 +188,24 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
         for batch in batches:
             if batch.num_rows:
                 a, b = _matrix(batch.column("q")), _matrix(batch.column("v"))
-                dot = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+                total = lambda x: np.cumsum(x, axis=1)[:, -1]  # noqa: E731  from left to right, as SQL adds
+                dot = total(a * b) / (np.sqrt(total(a * a)) * np.sqrt(total(b * b)))
                 yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(dot)], ["query_id", "vec_id", "score"])
 
     scored = pairs.select("query_id", "vec_id", "q", "v").mapInArrow(exact, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+#: Exact search; the same rows as long as RERANK covers all candidates or recall is whole.
+ORACLE = """
+with v as (select vec_id, max(embedding::double[]) as v from embeddings
+           where embedding is not null and vec_id is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by vec_id),
+n as (select vec_id, v, sqrt(list_reduce(list_transform(v, lambda x: x * x), lambda a, b: a + b)) as n from v),
+s as (select q.vec_id as query_id, c.vec_id as vec_id,
+             list_reduce(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]), lambda a, b: a + b) / (q.n * c.n) as score
+      from n q join n c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""

@@ -2,10 +2,12 @@
 
 Weights: a shingle's weight in a text is how often it occurs there times its idf, ln((1 + N) / (1 + df)) + 1, not below
 1, rounded to quarters. df counts all texts, in a table of 2^20 hashed entries: its size does not grow, and shingles
-that share an entry share its count. Samples are banded; texts that share a band are candidates. Each bucket's least
-text is compared with all of its members; components of what passed follow; then the pairs of a bucket that are still
-in different components are compared. So a bucket of near copies costs a pair for each member, and no link between
-components is lost. A pair is linked if its weighted Jaccard similarity, on whole texts, reaches the threshold.
+that share an entry share its count. Samples are banded; texts that share a band are candidates. Each bucket's text of the
+most common shingles is compared with all of its members; components of what passed follow; then the pairs of a bucket
+that are still in different components are compared. So a bucket of near copies costs a pair for each member, and no
+link between components is lost. Before the last step, texts that can't be linked to another component go: two texts
+of that similarity share a shingle among each one's rarest, up to the first that make over 1 - threshold of its weight
+(prefix filtering, which is exact). A pair is linked if its weighted Jaccard similarity, on whole texts, reaches the threshold.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ BANDS, ROWS = 16, 5
 MAX_BITS = 20
 _CHUNK = 4096
 _CELLS = 1 << 16
-SIGNATURE = "row long, doc_id long, k1 long, k2 long, b1 long, b2 long, bands array<long>"
+SIGNATURE = "row long, doc_id long, k1 long, k2 long, b1 long, b2 long, common int, bands array<long>"
 
 
 def _distinct(batch, words: int):
@@ -123,7 +125,9 @@ def signatures(keyed: DataFrame, idf: np.ndarray, words: int) -> DataFrame:
                 has, starts = np.unique(text, return_index=True)
                 bands: list = [[] for _ in range(n)]
                 bits = np.zeros((n, 2), np.int64)
+                common = np.zeros(n, np.int64)  # the mean weight of a shingle: small where others have them too
                 if len(has):
+                    common[has] = np.add.reduceat(weight, starts) * 1000 // np.diff(np.append(starts, len(weight)))
                     samples = mix(sampler(h, weight, starts).astype(np.uint64))
                     half = BANDS * ROWS // 2
                     for i in range(2):
@@ -140,15 +144,16 @@ def signatures(keyed: DataFrame, idf: np.ndarray, words: int) -> DataFrame:
                 digests = b"".join(xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(offs[:-1], offs[1:]))
                 digest = np.frombuffer(digests, "<i8").reshape(n, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.longs(batch.column("row"))), pa.array(batch.column("doc_id").to_pylist(), pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(bands, pa.list_(pa.int64()))],
-                    ["row", "doc_id", "k1", "k2", "b1", "b2", "bands"],
+                    [pa.array(c.longs(batch.column("row"))), pa.array(batch.column("doc_id").to_pylist(), pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(common.astype(np.int32)), pa.array(bands, pa.list_(pa.int64()))],
+                    ["row", "doc_id", "k1", "k2", "b1", "b2", "common", "bands"],
                 )
 
     return keyed.mapInArrow(run, SIGNATURE)
 
 
-def _features(texts: DataFrame, idf: np.ndarray, words: int) -> DataFrame:
-    """(row, features): each text's shingles, as 32-bit hashes in order, and their weights."""
+def _features(texts: DataFrame, idf: np.ndarray, words: int, threshold: float) -> DataFrame:
+    """(row, features, prefix): each text's shingles, as 32-bit hashes in order, and their weights; the rarest of them,
+    up to the first that make more than 1 - threshold of the weight."""
     packed = idf.tobytes()
 
     def run(batches):
@@ -159,9 +164,15 @@ def _features(texts: DataFrame, idf: np.ndarray, words: int) -> DataFrame:
                 bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
                 short = (h >> np.uint64(32)).astype("<u4")  # texts' hashes ascend, and so do their upper halves
                 out = [c.planes(short[a:b], 4) + c.planes(np.minimum(weight[a:b], 0xFFFFFF).astype("<u4"), 3) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(c.longs(batch.column("row"))), pa.array(out, pa.binary())], ["row", "features"])
+                rare = np.lexsort((h, -table[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)].astype(np.int64), text))
+                prefix = []
+                for a, b in zip(bounds[:-1], bounds[1:]):
+                    sums = np.cumsum(weight[rare[a:b]])
+                    n = int(np.searchsorted(sums, (1 - threshold) * sums[-1] * (1 + 1e-9), "right")) + 1 if b > a else 0
+                    prefix.append(short[rare[a:b][:n]].view(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c.longs(batch.column("row"))), pa.array(out, pa.binary()), pa.array(prefix, pa.list_(pa.int32()))], ["row", "features", "prefix"])
 
-    return texts.mapInArrow(run, "row long, features binary")
+    return texts.mapInArrow(run, "row long, features binary, prefix array<int>")
 
 
 def unpack(features: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -210,10 +221,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
     idf = idf_quarters(counts, keyed.count())
     signed, _ = c.stored(signatures(keyed, idf, words), "signatures")
     reps = signed.groupBy("k1", "k2").agg(F.min("row").alias("rep"))
-    texts = signed.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "b1", "b2", "bands")
-    banded, banded_path = c.stored(texts.select("rep", "b1", "b2", F.explode("bands").alias("key")), "bands")
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members, _ = c.stored(banded.join(buckets, "key"), "members")
+    texts = signed.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "b1", "b2", "common", "bands")
+    banded, banded_path = c.stored(texts.select("rep", "b1", "b2", "common", F.explode("bands").alias("key")), "bands")
+    buckets = banded.groupBy("key").agg(F.min(F.struct("common", "rep")).alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("l.rep").alias("leader"))
+    members, _ = c.stored(banded.drop("common").join(buckets, "key"), "members")
     c.delete(keyed.sparkSession, banded_path)
 
     def differ(a1, b1, a2, b2):
@@ -223,13 +234,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
     leaders = known.select(F.col("rep").alias("a"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
     first = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"), "b1", "b2").distinct()
     first, _ = c.stored(first.join(leaders, "a").where(differ("a1", "b1", "a2", "b2")).select("a", "b"), "pairs")
-    features, _ = c.stored(_features(keyed.join(known.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "text"), idf, words), "features")
+    features, _ = c.stored(_features(keyed.join(known.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "text"), idf, words, threshold), "features")
     edges, _ = c.stored(_linked(first, features, threshold), "links")
     labels = components(edges)
     # what is left: pairs of a bucket in different components, other than with the bucket's leader
     placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     placed, _ = c.stored(placed.where("rep <> leader").join(open_keys, "key", "left_semi").select("key", "rep", "label", "b1", "b2"), "open")
+    rare = features.select(F.col("row").alias("rep"), "prefix").join(placed.select("rep", "label").distinct(), "rep").select("rep", "label", F.explode("prefix").alias("token"))
+    bridges = rare.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
+    placed, _ = c.stored(placed.join(rare.join(bridges, "token", "left_semi").select("rep").distinct(), "rep", "left_semi"), "open")
     x = placed.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
     y = placed.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), "b1", "b2")
     rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & differ("a1", "b1", "a2", "b2")).select("a", "b").distinct()

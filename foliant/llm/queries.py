@@ -68,4 +68,10 @@ QUERIES = {
     for f in (op1_warc, op2_simhash, op3_additive, op4_suffix_array, op5_substrings, op6_mixing, op7_token_shards, op8_language, op9_byte_bpe, op10_minhash)
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
+    "op3_additive": additive.ORACLE,
+    "op4_suffix_array": suffix_dedup.ORACLE,
+    "op5_substrings": substring_dedup.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+}

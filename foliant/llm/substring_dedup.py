@@ -65,3 +65,14 @@ def remove_repeated(docs: DataFrame, window: int = 35, anchor: int = 7, id_col:
     keyed = c.keyed(docs, id_col, text_col, carry)
     schema = ", ".join([SCHEMA, *(f"{k} {keyed.schema[k].dataType.simpleString()}" for k in carry)])
     return repeats.repeated_runs(keyed, repeats.word_tokens, window, seeds, length, False, finish, schema)
+
+
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 34], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d)),
+hit as (select doc_id, i from win where s in (select s from win group by s having count(*) > 1)),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as j from hit),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as j from d),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by j) as t from words where (doc_id, j) not in (select (doc_id, j) from gone) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)
+"""

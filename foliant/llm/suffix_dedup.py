@@ -56,3 +56,17 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     seeds, prefix = repeats.cover_seeds(length, period_for(length))
     return repeats.repeated_runs(c.keyed(docs, id_col, text_col), repeats.byte_tokens, length, seeds, prefix, True, finish, SCHEMA)
+
+
+ORACLE = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select doc_id, h, unnest(range(0, length(h) // 2)) as i from d),
+w as (select doc_id, i, substr(h, 2 * i + 1, 2) as b, doc_id * 1000000000 + i as place, case when i * 2 + 200 <= length(h) then md5_number(substr(h, 2 * i + 1, 200)) end as s from p),
+f as (select s, min(place) as first from w where s is not null group by s having count(*) > 1),
+m as (select w.doc_id, w.i, w.b, coalesce(w.place <> f.first, false)::int as again from w left join f on w.s = f.s),
+g as (select doc_id, i, b, max(again) over (partition by doc_id order by i rows between 99 preceding and current row) as gone from m),
+k as (select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by i), 0) = 0 as begins from g),
+t as (select doc_id, count(*) as n, sum(gone) as removed, count(*) filter (begins) as spans, coalesce(string_agg(b, '' order by i) filter (gone = 0), '') as kept from k group by doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from d left join t using (doc_id)
+"""
