@@ -4,10 +4,11 @@ Weights: a shingle's weight in a text is how often it occurs there times its idf
 1, rounded to quarters. df counts all texts, in a table of 2^20 hashed entries: its size does not grow, and shingles
 that share an entry share its count. Samples are banded; texts that share a band are candidates. Each bucket's text of the
 most common shingles is compared with all of its members; components of what passed follow; then the pairs of a bucket
-that are still in different components are compared. So a bucket of near copies costs a pair for each member, and no
-link between components is lost. Before the last step, texts that can't be linked to another component go: two texts
-of that similarity share a shingle among each one's rarest, up to the first that make over 1 - threshold of its weight
-(prefix filtering, which is exact). A pair is linked if its weighted Jaccard similarity, on whole texts, reaches the threshold.
+that are still in different components are searched by prefix filtering, which is exact and spares the bucket's other pairs:
+two texts of that similarity share a shingle among each one's rarest, up to the first that make over 1 - threshold of
+its weight, and what comes before the first that they share can't be in both, so it must leave enough of either text.
+So a bucket of near copies costs a pair for each member and few more, and no link between components is lost. A pair is
+linked if its weighted Jaccard similarity, on whole texts, reaches the threshold.
 """
 
 from __future__ import annotations
@@ -152,8 +153,8 @@ def signatures(keyed: DataFrame, idf: np.ndarray, words: int) -> DataFrame:
 
 
 def _features(texts: DataFrame, idf: np.ndarray, words: int, threshold: float) -> DataFrame:
-    """(row, features, prefix): each text's shingles, as 32-bit hashes in order, and their weights; the rarest of them,
-    up to the first that make more than 1 - threshold of the weight."""
+    """(row, features, total, prefix): each text's shingles, as 32-bit hashes in order, and their weights; their sum; the
+    rarest of them, up to the first that make more than 1 - threshold of the weight, and the weight before each."""
     packed = idf.tobytes()
 
     def run(batches):
@@ -165,14 +166,17 @@ def _features(texts: DataFrame, idf: np.ndarray, words: int, threshold: float) -
                 short = (h >> np.uint64(32)).astype("<u4")  # texts' hashes ascend, and so do their upper halves
                 out = [c.planes(short[a:b], 4) + c.planes(np.minimum(weight[a:b], 0xFFFFFF).astype("<u4"), 3) for a, b in zip(bounds[:-1], bounds[1:])]
                 rare = np.lexsort((h, -table[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)].astype(np.int64), text))
-                prefix = []
+                prefix, totals = [], []
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     sums = np.cumsum(weight[rare[a:b]])
                     n = int(np.searchsorted(sums, (1 - threshold) * sums[-1] * (1 + 1e-9), "right")) + 1 if b > a else 0
-                    prefix.append(short[rare[a:b][:n]].view(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c.longs(batch.column("row"))), pa.array(out, pa.binary()), pa.array(prefix, pa.list_(pa.int32()))], ["row", "features", "prefix"])
+                    before = np.concatenate([[0], sums])[:n]
+                    prefix.append([{"token": x, "before": y} for x, y in zip(short[rare[a:b][:n]].view(np.int32).tolist(), before.tolist())])
+                    totals.append(int(sums[-1]) if b > a else 0)
+                kind = pa.list_(pa.struct([("token", pa.int32()), ("before", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(c.longs(batch.column("row"))), pa.array(out, pa.binary()), pa.array(totals, pa.int64()), pa.array(prefix, kind)], ["row", "features", "total", "prefix"])
 
-    return texts.mapInArrow(run, "row long, features binary, prefix array<int>")
+    return texts.mapInArrow(run, "row long, features binary, total long, prefix array<struct<token: int, before: long>>")
 
 
 def unpack(features: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -240,13 +244,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
     # what is left: pairs of a bucket in different components, other than with the bucket's leader
     placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    placed, _ = c.stored(placed.where("rep <> leader").join(open_keys, "key", "left_semi").select("key", "rep", "label", "b1", "b2"), "open")
-    rare = features.select(F.col("row").alias("rep"), "prefix").join(placed.select("rep", "label").distinct(), "rep").select("rep", "label", F.explode("prefix").alias("token"))
+    placed = placed.where("rep <> leader").join(open_keys, "key", "left_semi").select("rep", "label").distinct()
+    rare = features.select(F.col("row").alias("rep"), "total", F.explode("prefix").alias("p")).join(placed, "rep").select("rep", "label", "total", "p.token", "p.before")
     bridges = rare.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    placed, _ = c.stored(placed.join(rare.join(bridges, "token", "left_semi").select("rep").distinct(), "rep", "left_semi"), "open")
-    x = placed.select("key", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
-    y = placed.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"), "b1", "b2")
-    rest = x.join(y, (x.key == y.key) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & differ("a1", "b1", "a2", "b2")).select("a", "b").distinct()
+    rare, _ = c.stored(rare.join(bridges, "token", "left_semi"), "open")
+    share = threshold / (1 + threshold)  # of both texts' weight, that two linked ones have in common at least
+    x, y = (rare.select("token", *(F.col(k).alias(f"{k}_{n}") for k in ("rep", "label", "total", "before"))) for n in "xy")
+    y = y.where(F.col("before_y") <= (1 - 2 * share) * F.col("total_y") * (1 + 1e-9))  # the lighter text of a pair: it must leave more
+    lighter = F.struct("total_y", "rep_y") < F.struct("total_x", "rep_x")
+    enough = F.least(F.col("total_x") - F.col("before_x"), F.col("total_y") - F.col("before_y")) >= share * (F.col("total_x") + F.col("total_y")) * (1 - 1e-9)
+    rest = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & lighter & enough).select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
     more, _ = c.stored(_linked(rest, features, threshold), "links")
     if more.limit(1).count():
         labels = components(edges.unionByName(more))
