@@ -13,6 +13,8 @@ linked if its weighted Jaccard similarity, on whole texts, reaches the threshold
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,6 +32,8 @@ BANDS, ROWS = 16, 5
 MAX_BITS = 20
 _CHUNK = 4096
 _CELLS = 1 << 16
+#: Weights that a batch looks up in tables, the most common ones; others are worked out one by one.
+_KINDS = 64
 SIGNATURE = "row long, doc_id long, k1 long, k2 long, b1 long, b2 long, common int, bands array<long>"
 
 
@@ -94,23 +98,36 @@ class Sampler:
         self.odd = rng.integers(0, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
         self.known: dict[int, np.ndarray] = {}
 
+    def _log_a(self, log_weight, cells) -> np.ndarray:
+        """ln a of cells at a weight; equal for equal (cell, t), so it stands for the sample."""
+        t = np.floor(log_weight / self.r[cells] + self.beta[cells])
+        return (self.log_c[cells] - self.r[cells] * (t - self.beta[cells]) - self.r[cells]).astype(np.float32)
+
     def _cells(self, weight: int) -> np.ndarray:
-        """ln a of each cell at a weight; equal for equal (cell, t), so it stands for the sample."""
         if weight not in self.known:
-            if len(self.known) >= 256:
+            if len(self.known) >= 2 * _KINDS:
                 self.known.clear()
-            t = np.floor(np.log(weight / 4) / self.r + self.beta)
-            self.known[weight] = (self.log_c - self.r * (t - self.beta) - self.r).astype(np.float32)
+            self.known[weight] = self._log_a(math.log(weight / 4), slice(None))
         return self.known[weight]
 
     def __call__(self, h: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """A row of 32-bit samples for each text; starts are the texts' first shingles, each has one at least."""
-        kinds, which = np.unique(weight, return_inverse=True)
-        table = np.concatenate([self._cells(int(w)) for w in kinds])
-        base = which.astype(np.int64) << 16
+        kinds, which, often = np.unique(weight, return_inverse=True, return_counts=True)
+        top = np.argsort(-often, kind="stable")[:_KINDS]
+        table = np.concatenate([self._cells(int(kinds[i])) for i in top])
+        place = np.full(len(kinds), -1)
+        place[top] = np.arange(len(top))
+        place = place[which]
+        rare = np.flatnonzero(place < 0)
+        logs = np.array([math.log(k / 4) for k in kinds])[which[rare]]
+        base = np.maximum(place, 0) << 16
         out = np.empty((len(starts), len(self.odd)), np.float32)
         for k, odd in enumerate(self.odd):
-            out[:, k] = np.minimum.reduceat(table[base | ((h * odd) >> np.uint64(48)).astype(np.int64)], starts)
+            cell = ((h * odd) >> np.uint64(48)).astype(np.int64)
+            values = table[base | cell]
+            if len(rare):
+                values[rare] = self._log_a(logs, cell[rare])
+            out[:, k] = np.minimum.reduceat(values, starts)
         return out.view(np.uint32)
 
 
