@@ -182,7 +182,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         encoder = Encoder(ranks.merge)
         decimal = [str(i) for i in range(ranks.size)]
         for whole in batches:
-            for batch in c.slices(whole, "text"):
+            for batch in c.slices(whole, "text", c.FINE_BYTES):
                 data, offs = c.flat(batch.column("text"))
                 ids, ranges, *_ = encoder(data, offs)
                 text, bounds = ranks.decode(ids, ranges)

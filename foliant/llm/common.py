@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once; one longer text stands alone.
 SLICE_BYTES = 1 << 21
+#: The same where a byte of text needs a hundred or more.
+FINE_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -131,6 +133,7 @@ def slices(batch, text: str, limit: int = SLICE_BYTES):
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # a worker stays, and would keep what its largest batch took
 
 
 def longs(column) -> np.ndarray:

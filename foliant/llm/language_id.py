@@ -85,7 +85,7 @@ def count_grams(sample: DataFrame, langs: list[str]) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in c.slices(whole, "text"):
+            for batch in c.slices(whole, "text", c.FINE_BYTES):
                 s, ranges, _ = symbols(*c.flat(batch.column("text")))
                 at, text, hashes = gram_hashes(s, ranges, ORDER)
                 lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)[text]
@@ -130,7 +130,9 @@ class Model:
         """Cross-entropy per symbol in nats, a row for each text; each text's number of letters."""
         s, ranges, letters = symbols(data, offs)
         at, text, hashes = gram_hashes(s, ranges, ORDER)
-        logs = -np.log(self._probability(ORDER, at, hashes)) if len(at) else np.zeros((0, len(self.langs)))
+        logs = np.empty((len(at), len(self.langs)), np.float32)
+        for a in range(0, len(at), 1 << 16):
+            logs[a : a + (1 << 16)] = -np.log(self._probability(ORDER, at[a : a + (1 << 16)], hashes))
         n = np.bincount(text, minlength=len(offs) - 1)
         sums = np.stack([np.bincount(text, logs[:, i], len(offs) - 1) for i in range(len(self.langs))], axis=1)
         return sums / np.maximum(n, 1)[:, None], letters
@@ -241,7 +243,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches):
         m = shared.value
         for whole in batches:
-            for batch in c.slices(whole, "text"):
+            for batch in c.slices(whole, "text", c.FINE_BYTES):
                 n = batch.num_rows
                 lang, score, rejected = m.predict(*c.flat(batch.column("text"))) if m.langs else (["und"] * n, np.zeros(n), np.ones(n, bool))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang), pa.array(score, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
@@ -257,7 +259,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches):
         m = shared.value
         for whole in batches:
-            for batch in c.slices(whole, text_col):
+            for batch in c.slices(whole, text_col, c.FINE_BYTES):
                 if m.langs:
                     yield batch.filter(pa.array(~m.predict(*c.flat(batch.column(text_col)))[2]))
 

@@ -137,7 +137,7 @@ def signatures(keyed: DataFrame, idf: np.ndarray, words: int) -> DataFrame:
     def run(batches):
         table, sampler = np.frombuffer(packed, np.uint8), Sampler(BANDS * ROWS)
         for whole in batches:
-            for batch in c.slices(whole, "text"):
+            for batch in c.slices(whole, "text", c.FINE_BYTES):
                 h, weight, text = weigh(batch, table, words)
                 n = batch.num_rows
                 has, starts = np.unique(text, return_index=True)
@@ -177,7 +177,7 @@ def _features(texts: DataFrame, idf: np.ndarray, words: int, threshold: float) -
     def run(batches):
         table = np.frombuffer(packed, np.uint8)
         for whole in batches:
-            for batch in c.slices(whole, "text"):
+            for batch in c.slices(whole, "text", c.FINE_BYTES):
                 h, weight, text = weigh(batch, table, words)
                 bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
                 short = (h >> np.uint64(32)).astype("<u4")  # texts' hashes ascend, and so do their upper halves
