@@ -218,11 +218,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Models from the labelled texts that aren't held out; rows without text, language or id don't count."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    known = known.withColumn("digest", F.xxhash64("text"))
+    texts = known.select("lang", "digest").distinct()  # copies count once, both for the rate and for the turns
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
     # about twice as many as are needed, of any language, so that no language is ordered as a whole
-    drawn = known.withColumn("digest", F.xxhash64("text")).join(sizes, "lang").where((F.col("digest") / F.lit(2.0**64) + 0.5) * F.col("rows") < 2 * SAMPLE)
+    drawn = texts.join(sizes, "lang").where((F.col("digest") / F.lit(2.0**64) + 0.5) * F.col("texts") < 2 * SAMPLE)
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
-    sample, _ = c.stored(drawn.dropDuplicates(["lang", "digest"]).withColumn("turn", turn).where(F.col("turn") <= SAMPLE).select("lang", "turn", "text"), "languages")
+    turns = drawn.withColumn("turn", turn).where(F.col("turn") <= SAMPLE)
+    sample, _ = c.stored(known.join(turns, ["lang", "digest"]).groupBy("lang", "turn").agg(F.min("text").alias("text")), "languages")
     langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
     model = build(langs, count_grams(sample.where("turn % 5 <> 0"), langs).toArrow()) if langs else Model([], [], [], [], [], 1.0)
     if langs:

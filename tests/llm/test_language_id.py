@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from foliant.llm import common as c
 from foliant.llm import language_id as li
@@ -25,6 +26,17 @@ def test_odd_texts(spark):
     assert li.identify(none, li.learn(docs)).count() == 0
 
 
+def test_many_copies_of_few_texts(spark):
+    """A language is learned however many copies its texts have, also if their digests are the greatest of all."""
+    some = spark.createDataFrame([(f"tämä on lause numero {'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i // 10] * 3}",) for i in range(100)], "text string")
+    few = [r.text for r in some.orderBy(F.xxhash64("text").desc()).limit(3).collect()]
+    rows = [(i, few[i % 3], "fi") for i in range(5000)] + [(5000 + i, f"the cat number {i} sat on the mat", "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.learn(docs)
+    assert model.langs == ["en", "fi"]
+    assert all(r.lang_pred == "fi" for r in li.identify(docs.where("lang = 'fi'"), model).collect())
+
+
 def test_probabilities_against_plain_kneser_ney():
     texts = ["abra cadabra", "a bar", "barb", "cab"]
     s, ranges, _ = li.symbols(*c.flat(pa.array(texts)))
