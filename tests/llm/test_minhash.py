@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -74,3 +76,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_components_of_a_long_path_in_any_order(spark):
+    ids = list(range(300))
+    random.Random(3).shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(1000 + a, 1000 + b) for a, b in ((1, 9), (2, 9), (3, 8), (8, 2))]
+    got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(300), 0), **{1000 + i: 1001 for i in (1, 2, 3, 8, 9)}}
