@@ -2,7 +2,8 @@
 
 A vector is the sum of one codeword from each of several full-dimensional codebooks. Codebooks are learnt on residuals
 and then refined together by least squares on a bounded sample; all vectors are encoded by beam search. A query scores
-a code by look-up tables and the code's stored norm; the best codes of each block are reranked by exact cosine.
+a code by look-up tables and the code's stored norm; the best codes of each block are reranked by exact cosine. Equal
+vectors are coded once, as a class with its least ids, so copies don't push each other out.
 
 Codes travel in blocks of rows and queries in blocks too, so a block of queries meets every block of codes: a stated
 set of queries against all rows. Blocks join on the number of the query block.
@@ -110,6 +111,10 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     spark = vectors.sparkSession
     known = usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.max("v").alias("v"))
     known, _ = c.stored(known, "vectors")
+    # of equal vectors, k + 1 least ids are all that a query can need: its own may be one of them
+    turn = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    least = known.withColumn("turn", turn).where(F.col("turn") <= k + 1).groupBy("v")
+    classes, _ = c.stored(least.agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_list("vec_id")).alias("members")), "classes")
     sample = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if sample.num_rows == 0:
@@ -144,7 +149,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
         if ids:
             yield flush()
 
-    coded, _ = c.stored(known.mapInArrow(blocks, "ids binary, codes binary, norms binary"), "codes")
+    coded, _ = c.stored(classes.select("vec_id", "v").mapInArrow(blocks, "ids binary, codes binary, norms binary"), "codes")
     asked = known.where(F.pmod("vec_id", F.lit(every)) == 0)
     n_asked = asked.count()
     if not n_asked:
@@ -171,8 +176,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
                     for m in range(1, len(book)):
                         s = s + table[m, j][codes[:, m]]
                     s = s / norms
-                    s[ids == asked_ids[j]] = -np.inf
-                    keep = min(rerank, len(ids))
+                    keep = min(rerank + 1, len(ids))  # one may be the query alone
                     best = np.argpartition(-s, keep - 1)[:keep]
                     got_q.append(np.full(keep, asked_ids[j]))
                     got_v.append(ids[best])
@@ -181,8 +185,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
 
     found = spread.join(queries, "block").select("ids", "codes", "norms", "q").mapInArrow(score, "query_id long, vec_id long, about float")
     few = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-    found = found.where("query_id <> vec_id").withColumn("n", F.row_number().over(few)).where(F.col("n") <= rerank).select("query_id", "vec_id")
-    pairs = found.join(known, "vec_id").join(known.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    found = found.withColumn("n", F.row_number().over(few)).where(F.col("n") <= rerank + 1).select("query_id", "vec_id")
+    pairs = found.join(classes.select("vec_id", "v"), "vec_id").join(known.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
     def exact(batches):
         for batch in batches:
@@ -194,6 +198,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
 
     scored = pairs.select("query_id", "vec_id", "q", "v").mapInArrow(exact, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = scored.withColumn("n", rank).where(F.col("n") <= k + 1).drop("n")  # each class but the query's own has a row to give
+    scored = best.join(classes.select("vec_id", "members"), "vec_id").select("query_id", F.explode("members").alias("vec_id"), "score").where("query_id <> vec_id")
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

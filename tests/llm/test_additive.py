@@ -42,3 +42,18 @@ def test_odd_vectors_ties_and_few(spark):
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     assert additive.nearest(df.limit(0)).count() == 0
     assert additive.nearest(df.where("vec_id = 1")).count() == 0
+
+
+def test_more_copies_than_candidates(spark):
+    """Of 900 equal vectors the least ids come first, for a query among them and for one near them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 8)).astype(np.float32)
+    x[300:] = x[300]
+    x[50] = x[300] + np.float32(0.01)
+    order = rng.permutation(1200)
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in additive.nearest(df, every=50).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    assert [got[300][i] for i in range(1, 6)] == [301, 302, 303, 304, 305]
+    assert [got[1150][i] for i in range(1, 6)] == [got[50][i] for i in range(1, 6)] == [300, 301, 302, 303, 304]
