@@ -25,7 +25,8 @@ def without_secrets(df: DataFrame, *secret: str) -> DataFrame:
 
 def page_of(df: DataFrame, order: list[Column], offset: int, limit: int, most: int = 1000) -> DataFrame:
     """A page of rows in order, each with the total number of rows; the limit is held to 1..most."""
-    return df.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy())).orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("total")))
+    return df.crossJoin(total).orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
 
 
 def by_predicates(df: DataFrame, **wanted) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,10 +12,16 @@ from foliant.streaming import events as V
 
 
 def _drained(spark, stream, mode):
-    name = f"foliant_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """What a stream has made, as a table in the shared folder: the file sink's, or the last whole result."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/foliant").rstrip("/")
+    path = f"{root}/foliant-stream-{uuid.uuid4().hex}"
+    to = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        to = to.format("parquet").option("path", f"{path}/rows")
+    else:  # files can't take back rows
+        to = to.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/rows"))
+    to.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def _log(spark, sf_dir):
