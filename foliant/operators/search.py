@@ -95,8 +95,7 @@ def provenance(chunks: DataFrame, answer: str, least: float = 0.3, share: float
     total = weights.agg(F.sum("w").alias("all"))
     scored = scored.join(F.broadcast(total)).select("id", (F.col("sum") / F.col("all")).alias("score"))
     placed = chunks.join(scored, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    whole = Window.partitionBy()
-    placed = placed.withColumn("best", F.max("score").over(whole)).withColumn("first", F.min("id").over(whole))
+    placed = placed.crossJoin(F.broadcast(placed.agg(F.max("score").alias("best"), F.min("id").alias("first"))))
     kept = (F.col("score") >= least) & (F.col("score") >= share * F.col("best"))
     kept = kept | ((F.col("best") < least) & (F.col("id") == F.col("first")))
     return placed.where(kept).select("id", "page", "score").orderBy(F.desc("score"), "id")

@@ -154,10 +154,10 @@ def provenance_terms(spark, sf_dir):
 
 @query()
 def provenance_select(spark, sf_dir):
-    """Which of the first documents an answer made of one of them rests on."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 8").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("page"), "text")
-    first = docs.where("id = 3").select(F.left("text", F.lit(400)).alias("t")).first()
-    return S.provenance(docs, first.t if first else "")
+    """Which of the documents an answer made of one of them rests on."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("page"), "text")
+    first = docs.where("id = 3").select(F.col("text").alias("t")).first()
+    return S.provenance(docs, (first.t or "") if first else "")
 
 
 @query("select doc, page, rank from (select source as doc, lang as page, doc_id as rank, row_number() over (partition by source, lang order by doc_id) as n from documents) where n = 1")

@@ -33,3 +33,11 @@ def test_version_of_buckets(spark):
         buckets.setdefault(d[:4], []).append(f"{d} {texts.count(x)}")
     want = sha(",".join(sorted(f"{b} {sha(','.join(sorted(v)))}" for b, v in buckets.items())))[:12]
     assert version(texts) == version(texts[::-1]) == want != version(["a", "b", "c"])
+
+
+def test_provenance_of_all_documents_and_their_ends(spark, tmp_path):
+    rows = [(3, "plain words " * 60 + "zebra quagga okapi"), (20, "zebra quagga okapi plain words"), (21, "nothing alike")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["provenance_select"](spark, str(tmp_path))
+    assert {r.id for r in found.collect()} == {3, 20}
+    assert "Window" not in plan(found)
