@@ -41,3 +41,10 @@ def test_provenance_of_all_documents_and_their_ends(spark, tmp_path):
     found = QUERIES["provenance_select"](spark, str(tmp_path))
     assert {r.id for r in found.collect()} == {3, 20}
     assert "Window" not in plan(found)
+
+
+def test_cells_past_the_hundredth_row(spark, tmp_path):
+    text = "\n".join(f"a{i}|b{i}" for i in range(150))
+    spark.createDataFrame([(0, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cells = QUERIES["delimited_cells"](spark, str(tmp_path)).collect()
+    assert len(cells) == 150 and not any(r.truncated for r in cells)
