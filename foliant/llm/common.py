@@ -38,15 +38,19 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)  # the cleaner works in a thread of its own
+        time.sleep(0.1)  # the cleaner works in a thread of its own
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read back: lineage ends there, and lost executors lose nothing."""
+def stored(df: DataFrame, name: str, large: bool = True) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back: lineage ends there, and lost executors lose nothing.
+
+    large: whether its plan left shuffle files that are worth waiting for.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    release(spark)
+    if large:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -101,6 +105,26 @@ def numbered(df: DataFrame, id_col: str) -> DataFrame:
     return spread.select((F.col("_first") + F.col("_n")).cast("long").alias("row"), *df.columns)
 
 
+#: Keys with more than a HOT-th of all rows (so fewer than HOT keys) are joined by broadcast.
+HOT = 1000
+
+
+def looked_up(df: DataFrame, facts: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """df joined with facts: a row for each key (null is one), and in ``rows`` how many of df's ``total`` rows have it.
+
+    What belongs to hot keys is broadcast, fewer than HOT rows at any size; other keys meet by shuffle, where none has
+    more than a HOT-th of the rows. Columns of facts other than keys and ``rows`` are added.
+    """
+    other = facts.select(*(F.col(k).alias(f"_{k}") for k in keys), *(x for x in facts.columns if x not in keys and x != rows), F.col(rows).alias("_rows"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    gone = [f"_{k}" for k in keys] + ["_rows"]
+    hot = F.col("_rows") * HOT > total
+    heavy = F.broadcast(other.where(hot))
+    return df.join(heavy, same).drop(*gone).unionByName(df.join(heavy, same, "left_anti").join(other.where(~hot), same).drop(*gone))
+
+
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(row, doc_id, text) and the carried columns: row as by numbered(); a null text becomes empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -13,7 +13,7 @@ def _rooted(up: DataFrame, path: str) -> tuple[DataFrame, str]:
     spark = up.sparkSession
     while True:
         far = up.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        new, new_path = c.stored(up.join(far, "label").select("id", F.col("label").alias("old"), F.col("far").alias("label")), "labels")
+        new, new_path = c.stored(up.join(far, "label").select("id", F.col("label").alias("old"), F.col("far").alias("label")), "labels", large=False)
         changed = new.where("label <> old").limit(1).count()
         c.delete(spark, path)
         up, path = new.select("id", "label"), new_path
@@ -31,21 +31,21 @@ def components(edges: DataFrame) -> DataFrame:
     only counts reach the driver. No edges give no rows.
     """
     spark = edges.sparkSession
-    links, links_path = c.stored(edges.selectExpr("cast(a as long) a", "cast(b as long) b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    links, links_path = c.stored(edges.selectExpr("cast(a as long) a", "cast(b as long) b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", large=False)
     labels, path = None, None
     while True:
         both = links.selectExpr("explode(array(struct(a, b), struct(b as a, a as b))) e").selectExpr("e.a", "e.b")
-        up, up_path = _rooted(*c.stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).selectExpr("id", "least(id, b) label"), "labels"))
+        up, up_path = _rooted(*c.stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).selectExpr("id", "least(id, b) label"), "labels", large=False))
         if labels is None:
             labels, path = up, up_path
         else:
             higher = up.select(F.col("id").alias("label"), F.col("label").alias("root"))
-            joined, joined_path = c.stored(labels.join(higher, "label", "left").select("id", F.coalesce("root", "label").alias("label")), "labels")
+            joined, joined_path = c.stored(labels.join(higher, "label", "left").select("id", F.coalesce("root", "label").alias("label")), "labels", large=False)
             c.delete(spark, path)
             labels, path = joined, joined_path
         ends = [up.select(F.col("id").alias(x), F.col("label").alias(f"{x}_root")) for x in "ab"]
         left = links.join(ends[0], "a").join(ends[1], "b").where("a_root <> b_root")
-        left, left_path = c.stored(left.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges")
+        left, left_path = c.stored(left.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), "edges", large=False)
         c.delete(spark, links_path)
         if up_path != path:
             c.delete(spark, up_path)

@@ -10,8 +10,9 @@ from foliant.llm import common as c
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document's place in its source's order is 52 bits of a digest of its id; the first 16 make its bin.
 _BIN = 1 << 36
-NEWTON_STEPS = 60
-
+#: Newton's steps between two tests of convergence, the greatest step, and how near to targets sums of words must come.
+STEPS, STRIDE, NEAR = 4, 1.0, 1e-11
+_ROUNDS = 500  # of STEPS; a multiplier of 2000 is over all numbers that doubles have
 
 def _targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
     """sources with target: shares of all sizes by weight, each at most cap times its source's size.
@@ -29,42 +30,69 @@ def _targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> Data
     each = each.withColumn("level", (F.col("total") - F.coalesce(F.sum("limit").over(earlier), F.lit(0.0))) / F.sum("weight").over(later))
     # the first source that the level reached so far doesn't cap gives it
     level = F.min_by(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level")), F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("limit") / F.col("weight"))).over(Window.partitionBy())
-    return each.withColumn("target", F.least("limit", F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))).select("source", "source_size", "target")
+    return each.withColumn("target", F.least("limit", F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))).select("source", "source_size", "docs", "target")
+
 
+def _multipliers(bins: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan with ``x``: each source's multiplier in the tilt exp(x), null where it has no words or no target.
 
-def _tilt(size: Column, target: Column) -> Column:
-    """The exponent x that minimises size * exp(x) - target * x, the dual of one constraint, by Newton's steps."""
-    step = lambda x, _: x - 1 + target / (size * F.exp(x))
-    return F.when((size > 0) & (target > 0), F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
+    Minimises the convex dual, the sum over sources of (words * exp(x) - target * x), by Newton's steps from 0. A step's
+    gradient and Hessian are sums of tilted words over the bins, 65,536 at most of each source, spread over the cluster.
+    Far from the solution a full step overshoots, so steps are held to STRIDE. Every STEPS steps the greatest distance from a target is
+    tested, one number on the driver; without convergence it raises.
+    """
+    spark = bins.sparkSession
+    words = bins.select("source", "bin", F.col("words").cast("double").alias("words")).where("words > 0")
+    duals, path = c.stored(plan.select("source", F.col("target").alias("goal"), F.lit(0.0).alias("x")).where("goal > 0 and source_size > 0"), "duals", large=False)
+    for _ in range(_ROUNDS):
+        tilted = words.join(duals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        of = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in one order: reruns agree
+        for _ in range(STEPS):
+            step = F.col("goal") / F.sum(F.col("words") * F.exp("x")).over(of) - 1
+            tilted = tilted.withColumn("x", F.col("x") + F.least(F.greatest(step, F.lit(-STRIDE)), F.lit(STRIDE)))
+        got = F.sum(F.col("words") * F.exp("x")).over(of)
+        new = tilted.withColumn("got", got).groupBy("source").agg(F.first("goal").alias("goal"), F.first("x").alias("x"), F.first("got").alias("got"))
+        new, new_path = c.stored(new, "duals", large=False)
+        c.delete(spark, path)
+        duals, path = new.drop("got"), new_path
+        far = new.agg(F.max(F.abs(F.col("got") / F.col("goal") - 1))).first()[0]
+        if far is None or far <= NEAR:
+            return plan.join(duals.select(F.col("source").alias("of"), "x"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    raise RuntimeError(f"Newton's steps end {far:g} away from a target")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken) for each row.
 
     Maximum entropy against equal rates, under a token constraint for each source, makes a document's rate the
-    exponential of its source's multiplier. The constraints touch a source each, so the dual's gradient and Hessian
-    need one distributed sum by source, and Newton's steps run in that small table. Rates become copies: the whole
-    part for all documents, and one more for those that come first in their source's order (a digest of the id) as
+    exponential of its source's multiplier, which Newton's steps on the dual find. Rates become copies: the whole part
+    for all documents, and one more for those that come first in their source's order (a digest of the id) as
     long as words are missing. A histogram of the order finds the bin where they run out; only that bin's documents
     are ordered one by one. So each source comes within half a document of its target, and reruns agree.
 
     size: words of the text (null: 0). Sources are ordered by code point, null last, and weigh ``weights`` in turn. A
     null id has an order of its own; equal rows have one place, and any of them may come first. An empty table gives
-    an empty result. Other columns are ignored.
+    an empty result. Other columns are ignored. Targets are worked out in one table with a row for each source, sorted by
+    one task: sources are names of corpora, thousands at most. Words of a source of any size are spread over its bins.
     """
     order = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("none"))), 1, 13), 16, 10).cast("long")
-    sized, _ = c.stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("place")), "sizes")
+    sized, _ = c.stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("place")), "sizes", large=False)
     sized = sized.withColumn("bin", F.floor(F.col("place") / _BIN).cast("int"))
-    plan = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    plan = plan.withColumn("rate", F.coalesce(F.exp(_tilt(F.col("source_size").cast("double"), F.col("target"))), F.lit(0.0)))
-    plan = plan.withColumn("whole", F.floor("rate")).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
-    bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("words"))
-    bins = bins.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    plan = plan.withColumnRenamed("source", "of")
-    last = bins.join(plan.select("of", "missing"), F.col("source").eqNullSafe(F.col("of"))).where(F.col("before") < F.col("missing")).groupBy("of").agg(F.max("bin").alias("last"), F.max("before").alias("last_before"))
-    last = last.withColumnRenamed("of", "same")
-    plan = plan.join(last, F.col("of").eqNullSafe(F.col("same")), "left").drop("same")
-    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    total = sized.count()
+    if not total:
+        return sized.select("doc_id", "source", "size", *(F.lit(None).cast(t).alias(n) for n, t in (("source_size", "long"), ("target", "double"), ("rate", "double"), ("copies", "int"), ("taken", "long"))))
+    bins, _ = c.stored(sized.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")), "bins", large=False)
+    sums = bins.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("docs").alias("docs"))
+    plan, _ = c.stored(_targets(sums, weights, cap), "targets", large=False)
+    plan = _multipliers(bins, plan).withColumn("rate", F.coalesce(F.exp("x"), F.lit(0.0))).drop("x")
+    near = F.round("rate")  # a rate that is whole but for the last digits
+    plan = plan.withColumn("whole", F.when(F.abs(F.col("rate") - near) <= 1e-9 * near, near).otherwise(F.floor("rate"))).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = bins.select("source", "bin", "words").withColumn("before", before)
+    last = marked.join(plan.select(F.col("source").alias("of"), "missing"), F.col("source").eqNullSafe(F.col("of"))).where(F.col("before") < F.col("missing"))
+    last = last.groupBy("of").agg(F.max("bin").alias("last"), F.max("before").alias("last_before"))
+    plan = plan.join(last, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    placed = c.looked_up(sized, plan, ["source"], "docs", total)
     sure = placed.where("last is null or bin <> last").withColumn("more", F.when(F.col("bin") < F.col("last"), 1).otherwise(0))
     in_turn = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where("bin = last").withColumn("sofar", F.col("last_before") + F.coalesce(F.sum("size").over(in_turn), F.lit(0)))

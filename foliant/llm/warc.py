@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.llm import common as c
+
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -32,12 +34,13 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-0
     written as none; several rows that share the smallest id (or have none) are responses all. A null URL leaves out
     the target; line breaks in one are escaped. Every payload is stored once. Other columns are ignored.
     """
+    spark = pages.sparkSession
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     base = base.withColumn("address", F.sha2("payload", 256))
-    firsts = base.groupBy("address").agg(F.min("page_id").alias("first"))
+    small, scratch = c.stored(base.select("page_id", "url", "address", F.length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("sha1")), "records")
+    firsts = small.groupBy("address").agg(F.min("page_id").alias("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     name = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("none")), F.lit(">"))
-    small = base.select("page_id", "url", "address", F.length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("sha1"))
     joined = small.join(firsts, "address")
     revisit = (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
@@ -55,10 +58,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "1970-0
         http,
     )
     joined.select(head.alias("head"), "address").write.parquet(f"{folder}/records")
-    owners = firsts.withColumnRenamed("address", "at")
-    # by id and digest: no key is hot, and rows that repeat are next to each other
-    kept = base.join(owners, F.col("page_id").eqNullSafe(F.col("first")) & (F.col("address") == F.col("at")), "left_semi")
-    kept.dropDuplicates(["page_id", "address"]).select("address", "payload").write.parquet(f"{folder}/payloads")
+    # Payloads move once: by address and id, so no key is hot, and rows that repeat come together.
+    place = lambda i: F.concat_ws("/", "address", F.coalesce(F.col(i).cast("string"), F.lit("none"))).alias("place")
+    kept = base.select(place("page_id"), "address", "payload").join(firsts.select(place("first")), "place", "left_semi")
+    kept.dropDuplicates(["place"]).select("address", "payload").write.parquet(f"{folder}/payloads")
+    c.delete(spark, scratch)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,6 +46,21 @@ def test_against_sharing_by_hand(spark):
     check(spark, [(1, "b", None), (2, "a", "one two"), (None, "a", "x"), (2, "a", "one two"), (3, None, " "), (4, "c", "")])
 
 
+def test_rates_of_any_cap(spark):
+    """Newton's multipliers against the logarithm of target by size, which they must come to."""
+    rows = [(i, "big" if i % 50 else "small", "w " * (1 + i % 7)) for i in range(600)]
+    for cap in (1, 3, 70, 1000):
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        got = mixing.mix(docs, (1, 5000), cap).select("source", "source_size", "target", "rate").distinct().collect()
+        assert len(got) == 2
+        assert all(abs(r.rate * r.source_size / r.target - 1) < 1e-9 for r in got)
+        check(spark, rows, (1, 5000), cap)
+
+
+def test_long_text_beside_others(spark):
+    check(spark, [(1, "a", "word " * 300_000), (2, "a", "b c"), (3, "b", "d e f")] + [(i, "c", "g h") for i in range(4, 40)])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert mixing.mix(docs).count() == 0
