@@ -37,12 +37,13 @@ def _multipliers(bins: DataFrame, plan: DataFrame) -> DataFrame:
     """plan with ``x``: each source's multiplier in the tilt exp(x), null where it has no words or no target.
 
     Minimises the convex dual, the sum over sources of (words * exp(x) - target * x), by Newton's steps from 0. A step's
-    gradient and Hessian are sums of tilted words over the bins, 65,536 at most of each source, spread over the cluster.
+    gradient and Hessian are sums of tilted words over bins of documents, 256 of each source, spread over the cluster.
     Far from the solution a full step overshoots, so steps are held to STRIDE. Every STEPS steps the greatest distance from a target is
     tested, one number on the driver; without convergence it raises.
     """
     spark = bins.sparkSession
-    words = bins.select("source", "bin", F.col("words").cast("double").alias("words")).where("words > 0")
+    coarse = bins.groupBy("source", F.shiftright("bin", 8).alias("bin")).agg(F.sum("words").cast("double").alias("words"))  # 256 at most of a source
+    words, words_path = c.stored(coarse.where("words > 0"), "words", large=False)
     duals, path = c.stored(plan.select("source", F.col("target").alias("goal"), F.lit(0.0).alias("x")).where("goal > 0 and source_size > 0"), "duals", large=False)
     for _ in range(_ROUNDS):
         tilted = words.join(duals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -57,6 +58,7 @@ def _multipliers(bins: DataFrame, plan: DataFrame) -> DataFrame:
         duals, path = new.drop("got"), new_path
         far = new.agg(F.max(F.abs(F.col("got") / F.col("goal") - 1))).first()[0]
         if far is None or far <= NEAR:
+            c.delete(spark, words_path)
             return plan.join(duals.select(F.col("source").alias("of"), "x"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     raise RuntimeError(f"Newton's steps end {far:g} away from a target")
 

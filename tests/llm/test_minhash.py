@@ -1,21 +1,33 @@
+import collections
+import math
 import random
+import re
 
 import numpy as np
-import pyarrow as pa
 
-from foliant.llm import common as c
 from foliant.llm import minhash
 from foliant.llm.components import components
 
 
-def brute(spark, docs, threshold=0.8):
-    """Classes by comparing all pairs, by the operator's own weights but none of its search."""
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def weighed(texts):
+    """TF-IDF weights of five-word shingles in quarters, from their definition."""
+    counts = []
+    for text in texts:
+        w = WORD.findall(text)
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+        counts.append(collections.Counter(grams))
+    df = collections.Counter(g for x in counts for g in x)
+    idf = {g: round(4 * max(math.log((1 + len(texts)) / (1 + n)) + 1, 1)) for g, n in df.items()}
+    return [{g: n * idf[g] for g, n in x.items()} for x in counts]
+
+
+def brute(docs, threshold=0.8):
+    """Classes by comparing all pairs that share a shingle, in plain Python."""
     rows = [(r.doc_id, r.text or "") for r in docs.collect()]
-    keyed = c.keyed(docs)
-    idf = minhash.idf_quarters(minhash.document_frequencies(keyed), len(rows))
-    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], ["text"])
-    h, w, t = minhash.weigh(batch, idf, 5)
-    maps = [dict(zip(h[t == i].tolist(), w[t == i].tolist())) for i in range(len(rows))]
+    maps = weighed([t for _, t in rows])
     where = {}
     for i, m in enumerate(maps):
         for k in m:
@@ -49,7 +61,7 @@ def test_classes_against_all_pairs(spark):
     groups = {}
     for r in found:
         groups.setdefault(r.class_id, set()).add(r.doc_id)
-    assert {frozenset(g) for g in groups.values()} == brute(spark, docs)
+    assert {frozenset(g) for g in groups.values()} == brute(docs)
     assert all(r.class_size == len(groups[r.class_id]) and r.class_id == min(groups[r.class_id]) for r in found)
 
 
@@ -72,6 +84,25 @@ def test_repeated_ids_and_empty_table(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_bridges_and_a_long_text(spark):
+    """Drifting versions join into one class, a very long text is compared whole, and one word in many splits no class."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(400)]
+    rows, now = [], list(base)
+    for i in range(30):
+        rows.append((i, " ".join(now)))
+        for _ in range(3):
+            now[rng.randrange(400)] = f"n{rng.randrange(10_000)}"
+    long = [f"v{rng.randrange(50_000)}" for _ in range(200_000)]
+    rows += [(100, " ".join(long)), (101, " ".join(long[:-9]) + " end"), (102, " ".join(long[:120_000]))]
+    rows += [(200 + i, " ".join(f"x{rng.randrange(10_000)}" for _ in range(60))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for r in minhash.near_duplicates(docs).collect():
+        groups.setdefault(r.class_id, set()).add(r.doc_id)
+    assert {frozenset(g) for g in groups.values()} == brute(docs)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
