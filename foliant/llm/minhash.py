@@ -32,8 +32,8 @@ BANDS, ROWS = 16, 5
 _CELLS = 1 << 16
 #: Weights that a batch looks up in tables, the most common ones; others are worked out one by one.
 _KINDS = 64
-#: Shingles that are compared in one task at once, about: a leader's members are dealt into so many.
-_SHARE = 1 << 20
+#: Shingles of a leader's members that stay together, about, and of all members that a task holds.
+_SHARE, _BUNDLE = 1 << 16, 1 << 20
 SIGNATURE = "row long, doc_id long, k1 long, k2 long, size int, common int, bands array<long>"
 FEATURES = "row long, leader long, salt int, salts int, features binary, total long, prefix array<struct<token: int, before: long>>"
 
@@ -199,7 +199,7 @@ def similarities(one: bytes, others: list[bytes]) -> np.ndarray:
 def _linked(members: DataFrame, leaders: DataFrame, threshold: float, bundles: int) -> DataFrame:
     """Edges (a, b) of the members (leader, salt, row, features) that are alike enough to their leader (leader, salt, features).
 
-    Leaders' shares of members go to tasks in bundles; a task holds one bundle, about _SHARE shingles of members.
+    Leaders' shares of members go to tasks in bundles; a task holds one bundle, about _BUNDLE shingles of members.
     """
 
     def compare(mine: pa.Table, heads: pa.Table) -> pa.Table:
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_
     told = asked.unionByName(answers.select("part", "hashes", "counts", *none))
     feature = lambda t, x: _featured(t, x, words, n_texts, threshold)
     features = kept(texts.select("part", "row", "text").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(feature, FEATURES), "features")
-    bundles = max(parts, 1 + int((chosen.agg(F.sum("size")).first()[0] or 0) // _SHARE))
+    bundles = max(parts, 1 + int((chosen.agg(F.sum("size")).first()[0] or 0) // _BUNDLE))
     leaders = features.where("salts > 0").select(F.col("row").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "features")
     edges = kept(_linked(features.where("leader is not null"), leaders, threshold, bundles), "links")
     labels = components(edges)
