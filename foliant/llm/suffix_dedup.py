@@ -1,10 +1,17 @@
 """Suffix-array dedup: bytes of passages that also start earlier in the corpus.
 
-Difference-cover blockwise construction. The cover sample of the suffixes (every position whose place in its text has
-a residue in a perfect difference cover) is sorted first, one bucket of prefixes at a time; suffixes with a long
-common prefix tie, and the tie is resolved by the sample's class (equal prefix, equal surroundings), so only suffixes
-whose sample neighbours stay ambiguous are sorted themselves, again one bucket at a time. Memory is bounded by a
-bucket, not by the corpus.
+Difference-cover blockwise construction. The cover sample are the positions of a text whose residue, modulo the cover's
+period, is in a perfect difference cover: any two positions reach it at one common offset below the period.
+
+1. Equal strings of ``length`` bytes have equal sample prefixes at their common offset. Prefixes that occur once in the
+   sample are found by counting (see tallies), and need no sorting.
+2. The other sample suffixes are sorted in byte order, block by block: a block is a range of prefixes between splitters, dealt
+   into buckets, and only one block's suffixes are on the move at a time. Sorted neighbours' common prefixes give each
+   suffix of a bucket its rank among all, at every depth up to ``length``.
+3. Any two equal strings tie for as long as they are; the tie is resolved at their common offset into the sample, by what
+   is before it (in the order of reversed texts, sorted likewise) and the sample suffix's rank at the depth that is left.
+
+Bytes are compared, not hashes; hashes only say which prefixes can be left out. Memory is bounded by a bucket.
 """
 
 from __future__ import annotations
@@ -13,17 +20,101 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foliant.llm import common as c
-from foliant.llm import repeats
+from foliant.llm.tallies import Tally, dealt_texts, tallied
+from foliant.llm.words import Runs, mix
 
+#: Residues whose differences are all residues modulo the first number (perfect difference covers).
+#: Fixed values from the literature on cyclic difference sets.
+COVERS = {
+    7: (0, 1, 3),
+    13: (0, 1, 3, 9),
+    21: (0, 1, 4, 14, 16),
+    31: (0, 1, 3, 8, 12, 18),
+    57: (0, 1, 3, 13, 32, 36, 43, 52),
+    73: (0, 1, 12, 20, 26, 30, 33, 35, 57),
+    91: (0, 2, 6, 7, 18, 21, 31, 54, 63, 71),
+}
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+PLACES = "part int, block int, n long, row binary, pos binary, before binary, after binary, bucket binary"
+SUFFIXES = "bucket int, right binary, left binary, row binary, pos binary, before binary, after binary"
+MARKS = "part int, row binary, pos binary, mask binary"
+BLOCKS = 4
+#: Texts that splitters of the byte order are drawn from, a piece of each: they only balance the buckets.
+SPLIT_TEXTS, SPLIT_CHARS = 4096, 96
 
 
 def period_for(length: int) -> int:
-    """The largest known cover that leaves sample prefixes of a quarter of the length at least."""
-    return max(p for p in repeats.COVERS if length - p + 1 >= max(1, length // 4))
+    """The largest known cover that leaves sample prefixes of two thirds of the length, else the smallest."""
+    return max((p for p in COVERS if 3 * (length - p + 1) >= 2 * length), default=min(COVERS))
+
+
+class _Slice:
+    """A slice of texts: bytes, each text's range, sample positions."""
+
+    def __init__(self, batch, length: int, period: int):
+        self.data, self.offs = c.flat(batch.column("text"))
+        self.length, self.prefix = length, length - period + 1
+        inside = np.zeros(period, bool)
+        inside[list(COVERS[period])] = True
+        at = np.arange(len(self.data))
+        text = np.repeat(np.arange(len(self.offs) - 1), np.diff(self.offs))
+        local = at - self.offs[text]
+        end = self.offs[1:][text]
+        sampled = inside[local % period] & (at + self.prefix <= end) & (end - self.offs[text] >= length)
+        self.at = np.flatnonzero(sampled)
+        self.text, self.local = text[self.at], local[self.at].astype(np.uint32)
+
+    def hashes(self) -> np.ndarray:
+        return Runs(mix(np.arange(1, 257, dtype=np.uint64))[self.data])(self.at, self.at + self.prefix)
+
+
+def _pieces(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """width bytes from each place on, zero beyond the data."""
+    wide = np.concatenate([data, np.zeros(width, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(wide, width)[at]
+
+
+def byte_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes in their order, and how many bytes each has in common with the one before it (the first: -1)."""
+    order = np.argsort(np.ascontiguousarray(x).view(f"S{x.shape[1]}").ravel(), kind="stable")
+    moved = x[order]
+    other = moved[1:] != moved[:-1]
+    common = np.where(other.any(axis=1), other.argmax(axis=1), x.shape[1])
+    return order, np.concatenate([[-1], common]).astype(np.int16)
+
+
+def ranks(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """Each row's rank by its first ``depth`` bytes: equal where they are."""
+    got = np.empty(len(order), np.int64)
+    got[order] = np.cumsum(common < depth)
+    return got
+
+
+def _masks(right: np.ndarray, left: np.ndarray, before: np.ndarray, after: np.ndarray, length: int, period: int) -> np.ndarray:
+    """For each suffix, in order of appearance, and each offset below the period: does the string that starts so much
+    before it, of ``length`` bytes, start earlier too?
+
+    right: bytes from the suffix on, left: bytes before it backwards, both zero beyond ``after`` and ``before``.
+    """
+    n = len(right)
+    out = np.zeros((n, period), bool)
+
+    by_right, by_left = byte_order(right), byte_order(left)
+    for back in range(period):
+        some = np.flatnonzero((before >= back) & (after >= length - back))
+        if len(some) < 2:
+            continue
+        key = (ranks(*by_left, back) * (n + 1) + ranks(*by_right, length - back))[some]
+        _, first = np.unique(key, return_index=True)
+        again = np.ones(len(some), bool)
+        again[first] = False
+        out[some[again], back] = True
+    return out
 
 
 def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
@@ -31,31 +122,183 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     Earlier is a smaller id, or the same text and an earlier start; strings don't cross texts and are judged on the
     input. Rows with a null id come last; rows of equal id follow each other by their text's digest, equal rows in any
-    order (so all but one of them lose their bytes). A null or empty text has 0 bytes and the digest of nothing. An
-    empty table gives an empty result. Other columns are ignored. ``kept`` (the remaining bytes) is null unless
-    keep_bytes. ``length`` is 10 at least, as the smallest cover needs room.
+    order (so all but one of them lose their bytes). A null or empty text has 0 bytes and the digest of nothing. Texts
+    may have any length below 2^31 bytes, as Arrow's strings. An empty table gives an empty result. Other columns are
+    ignored. ``kept`` (the remaining bytes) is null unless keep_bytes. ``length`` is 10 at least, as the smallest cover
+    needs room.
     """
     if length < 10:
         raise ValueError("length must be 10 or more")
+    spark = docs.sparkSession
+    period = period_for(length)
+    prefix, reach = length - period + 1, period - 1
+    mask_bytes = -(-period // 8)
+    parts = c.partitions(spark)
+    texts = dealt_texts(c.keyed(docs, id_col, text_col), parts)
+    rows = texts.select("part", "row", "text")
+    scratch: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table, path = c.stored(df, name)
+        scratch.append(path)
+        return table
+
+    def grams(batch):
+        s = _Slice(batch, length, period)
+        return s.hashes(), s.text
+
+    cuts = _splitters(texts, prefix, BLOCKS * parts)
+
+    def places(mine: pa.Table, told: pa.Table) -> pa.Table:
+        """The sample suffixes whose prefix repeats: how far strings around each reach back and on, and its bucket."""
+        tally, out = Tally(told), []
+        for batch in c.slices(mine.sort_by("row"), "text"):
+            s, rows_ = _Slice(batch, length, period), c.longs(batch.column("row").combine_chunks())
+            used = np.flatnonzero(tally(s.hashes()) > 1)
+            at, text = s.at[used], s.text[used]
+            low, high = np.maximum(at - reach, s.offs[text]), np.minimum(at, s.offs[text + 1] - length)
+            bucket = np.searchsorted(cuts, _pieces(s.data, at, prefix).view(f"S{prefix}").ravel(), "right").astype(np.uint32)
+            fields = (rows_[text], s.local[used], (at - low).astype(np.uint16), (length - at + high).astype(np.uint16), bucket)
+            part = int(mine.column("part")[0].as_py())
+            for block, (r, p, b, a, k) in c.dealt((bucket // parts).astype(np.int64), BLOCKS + 1, *fields):
+                out.append((part, block, len(r), c.planes(r, 8), c.planes(p, 4), c.planes(b, 2), c.planes(a, 2), c.planes(k, 4)))
+        kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+        columns = list(zip(*out)) if out else [[]] * 8
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["part", "block", "n", "row", "pos", "before", "after", "bucket"])
+
+    def suffixes(mine: pa.Table, told: pa.Table) -> pa.Table:
+        """The bytes around a block's sample suffixes; what has an equal earlier in its slice goes along without bytes."""
+        row, pos, before, after, bucket = (c.joined(told.column(k), d, w) for k, d, w in (("row", np.int64, 8), ("pos", np.uint32, 4), ("before", np.uint16, 2), ("after", np.uint16, 2), ("bucket", np.uint32, 4)))
+        order = np.lexsort((pos, row))
+        row, pos, before, after, bucket = (x[order] for x in (row, pos, before, after, bucket))
+        out: list = []
+        for batch in c.slices(mine.sort_by("row"), "text") if len(row) else ():
+            keys = c.longs(batch.column("row").combine_chunks())
+            data, offs = c.flat(batch.column("text"))
+            a, b = np.searchsorted(row, keys[0]), np.searchsorted(row, keys[-1], "right")
+            if a == b:
+                continue
+            r, p, bef, aft, buc = (x[a:b] for x in (row, pos, before, after, bucket))
+            at = offs[np.searchsorted(keys, r)] + p
+            right = _pieces(data, at, length)
+            right[np.arange(length) >= aft[:, None]] = 0
+            left = _pieces(np.concatenate([np.zeros(reach, np.uint8), data]), at, reach)[:, ::-1].copy()
+            left[np.arange(reach) >= bef[:, None]] = 0
+            whole = Runs(mix(np.arange(1, 257, dtype=np.uint64))[data])(at - bef, at + aft) ^ mix((bef.astype(np.uint64) << np.uint64(32)) + aft)
+            _, first, same = np.unique(whole, return_index=True, return_inverse=True)
+            first = first[same]
+            again = (first != np.arange(len(at))) & (bef == bef[first]) & (aft == aft[first])
+            some = np.flatnonzero(again)
+            again[some] = (right[some] == right[first[some]]).all(axis=1) & (left[some] == left[first[some]]).all(axis=1)
+            for known in (False, True):
+                some = np.flatnonzero(again == known)
+                values, of = np.unique(buc[some], return_inverse=True)
+                for g, (i,) in c.dealt(of, len(values), some):
+                    bytes_ = (b"", b"") if known else (right[i].tobytes(), left[i].tobytes())
+                    out.append((int(values[g]), *bytes_, c.planes(r[i], 8), c.planes(p[i], 4), c.planes(bef[i], 2), c.planes(aft[i], 2)))
+        kinds = (pa.int32(), *[pa.binary()] * 6)
+        columns = list(zip(*out)) if out else [[]] * 7
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["bucket", "right", "left", "row", "pos", "before", "after"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        """A bucket's suffixes sorted, and the marks of the strings around them that start earlier too."""
+        rights = pa.compute.binary_length(table.column("right")).to_numpy()
+        out: list = []
+        for known in (False, True):
+            some = table.filter(pa.array((rights == 0) == known))
+            row, pos, before, after = (c.joined(some.column(k), d, w) for k, d, w in (("row", np.int64, 8), ("pos", np.uint32, 4), ("before", np.uint16, 2), ("after", np.uint16, 2)))
+            if not len(row):
+                continue
+            if known:
+                back = np.arange(period)
+                marks = (back <= before[:, None]) & (back >= length - after[:, None].astype(np.int64))
+            else:
+                right, left = (c.flat(some.column(k))[0].reshape(len(row), w) for k, w in (("right", length), ("left", reach)))
+                order = np.lexsort((pos, row))
+                row, pos, before, after, right, left = (x[order] for x in (row, pos, before, after, right, left))
+                marks = _masks(right, left, before, after, length, period)
+            hit = np.flatnonzero(marks.any(axis=1))
+            bits = np.packbits(marks[hit], axis=1)
+            for part, (r, p, m) in c.dealt(c.part_of_array(row[hit], parts), parts, row[hit], pos[hit], bits):
+                out.append((part, c.planes(r, 8), c.planes(p, 4), m.tobytes()))
+        columns = list(zip(*out)) if out else [[]] * 4
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), *[pa.binary()] * 3))], ["part", "row", "pos", "mask"])
+
+    def close(mine: pa.Table, told: pa.Table) -> pa.Table:
+        row, pos = c.joined(told.column("row"), np.int64, 8), c.joined(told.column("pos"), np.uint32, 4)
+        mask = c.flat(told.column("mask"))[0].reshape(-1, mask_bytes)
+        order = np.lexsort((pos, row))
+        row, pos, mask = row[order], pos[order], mask[order]
+        got = []
+        for batch in c.slices(mine.sort_by("row"), "text"):
+            keys = c.longs(batch.column("row").combine_chunks())
+            data, offs = c.flat(batch.column("text"))
+            a, b = np.searchsorted(row, keys[0]), np.searchsorted(row, keys[-1], "right")
+            at = offs[np.searchsorted(keys, row[a:b])] + pos[a:b]
+            change = np.zeros(len(data) + 1, np.int32)
+            starts = np.zeros(len(data), bool)
+            for back in range(period):
+                bit = (mask[a:b, back // 8] >> (7 - back % 8)) & 1
+                starts[at[bit > 0] - back] = True
+            starts = np.flatnonzero(starts)
+            change[starts] += 1
+            np.add.at(change, starts + length, -1)
+            got.append(_finished(batch, data, offs, np.cumsum(change)[: len(data)] > 0, keep_bytes))
+        return pa.concat_tables(got) if got else _finished(mine, np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, bool), keep_bytes)
+
+    answers = kept(tallied(rows, parts, grams), "prefixes")
+    placed = kept(rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(places, PLACES), "places")
+    c.delete(spark, scratch.pop(0))
+    size = {r.block: r.n for r in placed.groupBy("block").agg(F.sum("n").alias("n")).collect()}  # BLOCKS + 1 rows at most
+    text_bytes = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    marks = None
+    for blocks in _passes(size, text_bytes // (length + period)):
+        mine = placed.where(F.col("block").isin(blocks)).drop("block", "n")
+        sent = rows.groupBy("part").cogroup(mine.groupBy("part")).applyInArrow(suffixes, SUFFIXES)
+        found = kept(sent.groupBy("bucket").applyInArrow(settle, MARKS), "marks")
+        marks = found if marks is None else marks.unionByName(found)
+    marks = spark.createDataFrame([], MARKS) if marks is None else marks
+    return texts.select("part", "row", "doc_id", "text").groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(close, SCHEMA)
+
+
+def _splitters(texts: DataFrame, prefix: int, n: int) -> np.ndarray:
+    """n - 1 strings at even distances in the byte order of a bounded sample of suffixes."""
+    turn = F.xxhash64("row")
+    piece = F.substring("text", 1 + F.pmod(turn, F.greatest(F.length("text") - SPLIT_CHARS, F.lit(1))).cast("int"), F.lit(SPLIT_CHARS))
+    found = texts.select(turn.alias("turn"), piece.alias("piece")).orderBy("turn").limit(SPLIT_TEXTS).select("piece").collect()
+    keys = sorted(b[i : i + prefix] for b in (r.piece.encode() for r in found) for i in range(0, len(b) - prefix, 7))
+    if not keys:
+        return np.zeros(0, f"S{prefix}")
+    return np.unique(np.array([keys[len(keys) * i // n] for i in range(1, n)], f"S{prefix}"))
+
+
+def _passes(size: dict[int, int], most: int) -> list[list[int]]:
+    """Blocks in turn, together as long as they have no more than so many suffixes."""
+    out: list[list[int]] = []
+    left = 0
+    for block in sorted(size):
+        if not out or size[block] > left:
+            out.append([])
+            left = most
+        out[-1].append(block)
+        left -= size[block]
+    return out
+
 
-    def finish(batch, covered: np.ndarray, ranges: np.ndarray) -> pa.Table:
-        data, offs = c.flat(batch.column("text"))
-        n = np.diff(offs)
-        before = np.concatenate([[0], np.cumsum(covered)])
-        removed = before[offs[1:]] - before[offs[:-1]]
-        starts = covered.copy()
-        if len(starts):
-            starts[1:] &= ~covered[:-1]
-            first = offs[:-1][n > 0]
-            starts[first] = covered[first]
-        spans = np.concatenate([[0], np.cumsum(starts)])
-        kept = [data[a:b][~covered[a:b]].tobytes() for a, b in zip(offs[:-1], offs[1:])]
-        digests = [hashlib.sha256(k).hexdigest() for k in kept]
-        columns = [pa.array(batch.column("doc_id").to_pylist(), pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans[offs[1:]] - spans[offs[:-1]], pa.int64()), pa.array(digests, pa.string()), pa.array(kept if keep_bytes else [None] * len(kept), pa.binary())]
-        return pa.Table.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    seeds, prefix = repeats.cover_seeds(length, period_for(length))
-    return repeats.repeated_runs(c.keyed(docs, id_col, text_col), repeats.byte_tokens, length, seeds, prefix, True, finish, SCHEMA)
+def _finished(batch, data: np.ndarray, offs: np.ndarray, covered: np.ndarray, keep_bytes: bool) -> pa.Table:
+    n = np.diff(offs)
+    before = np.concatenate([[0], np.cumsum(covered)])
+    removed = before[offs[1:]] - before[offs[:-1]]
+    starts = covered.copy()
+    if len(starts):
+        starts[1:] &= ~covered[:-1]
+        first = offs[:-1][n > 0]
+        starts[first] = covered[first]
+    spans = np.concatenate([[0], np.cumsum(starts)])
+    kept = [data[a:b][~covered[a:b]].tobytes() for a, b in zip(offs[:-1], offs[1:])]
+    digests = [hashlib.sha256(k).hexdigest() for k in kept]
+    columns = [pa.array(batch.column("doc_id").to_pylist(), pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans[offs[1:]] - spans[offs[:-1]], pa.int64()), pa.array(digests, pa.string()), pa.array(kept if keep_bytes else [None] * len(kept), pa.binary())]
+    return pa.Table.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 ORACLE = """

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from foliant.llm import substring_dedup, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,6 +72,18 @@ def test_bytes_against_brute_force(spark):
         assert got == brute_bytes(rows, length)
 
 
+def test_order_against_a_plain_suffix_sort():
+    rng = np.random.default_rng(4)
+    text = bytes(rng.integers(0, 3, 700, np.uint8)) + b"\x00\x01" * 90 + bytes(40)
+    rows = np.stack([np.frombuffer((text[i:] + bytes(100))[:100], np.uint8) for i in range(len(text))])
+    order, common = suffix_dedup.byte_order(rows)
+    suffixes = [(text[i:] + bytes(100))[:100] for i in range(len(text))]
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: (suffixes[i], i))
+    for depth in (1, 7, 70, 100):
+        names = sorted({s[:depth] for s in suffixes})
+        assert (suffix_dedup.ranks(order, common, depth) - 1).tolist() == [names.index(s[:depth]) for s in suffixes]
+
+
 def test_words_against_brute_force(spark):
     rows = corpus() + [(None, "n u l l " * 12, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
