@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -148,6 +149,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+def give_back() -> None:
+    """Free memory goes back to the machine: a worker stays, and would keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def slices(batch, text: str, limit: int = SLICE_BYTES):
     """Runs of the batch's rows with about ``limit`` bytes of text each, never parts of a text."""
     column = batch.column(text) if hasattr(batch, "column") else batch[text]
@@ -157,7 +167,7 @@ def slices(batch, text: str, limit: int = SLICE_BYTES):
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
-    pa.default_memory_pool().release_unused()  # a worker stays, and would keep what its largest batch took
+    give_back()
 
 
 def longs(column) -> np.ndarray:

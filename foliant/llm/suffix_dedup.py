@@ -43,7 +43,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 PLACES = "part int, block int, n long, row binary, pos binary, before binary, after binary, bucket binary"
 SUFFIXES = "bucket int, right binary, left binary, row binary, pos binary, before binary, after binary"
 MARKS = "part int, row binary, pos binary, mask binary"
-BLOCKS = 4
+BLOCKS = 8
 #: Texts that splitters of the byte order are drawn from, a piece of each: they only balance the buckets.
 SPLIT_TEXTS, SPLIT_CHARS = 4096, 96
 
@@ -83,9 +83,11 @@ def byte_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of bytes in their order, and how many bytes each has in common with the one before it (the first: -1)."""
     order = np.argsort(np.ascontiguousarray(x).view(f"S{x.shape[1]}").ravel(), kind="stable")
     moved = x[order]
-    other = moved[1:] != moved[:-1]
-    common = np.where(other.any(axis=1), other.argmax(axis=1), x.shape[1])
-    return order, np.concatenate([[-1], common]).astype(np.int16)
+    common = np.full(len(x), -1, np.int16)
+    for a in range(1, len(x), 1 << 14):  # a piece at a time: the comparison is as large as the rows
+        other = moved[a : a + (1 << 14)] != moved[a - 1 : a - 1 + len(moved[a : a + (1 << 14)])]
+        common[a : a + len(other)] = np.where(other.any(axis=1), other.argmax(axis=1), x.shape[1])
+    return order, common
 
 
 def ranks(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
@@ -217,11 +219,13 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 order = np.lexsort((pos, row))
                 row, pos, before, after, right, left = (x[order] for x in (row, pos, before, after, right, left))
                 marks = _masks(right, left, before, after, length, period)
+                del right, left
             hit = np.flatnonzero(marks.any(axis=1))
             bits = np.packbits(marks[hit], axis=1)
             for part, (r, p, m) in c.dealt(c.part_of_array(row[hit], parts), parts, row[hit], pos[hit], bits):
                 out.append((part, c.planes(r, 8), c.planes(p, 4), m.tobytes()))
         columns = list(zip(*out)) if out else [[]] * 4
+        c.give_back()
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), *[pa.binary()] * 3))], ["part", "row", "pos", "mask"])
 
     def close(mine: pa.Table, told: pa.Table) -> pa.Table:
@@ -252,7 +256,7 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     size = {r.block: r.n for r in placed.groupBy("block").agg(F.sum("n").alias("n")).collect()}  # BLOCKS + 1 rows at most
     text_bytes = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     marks = None
-    for blocks in _passes(size, text_bytes // (length + period)):
+    for blocks in _passes(size, text_bytes // (2 * (length + period))):
         mine = placed.where(F.col("block").isin(blocks)).drop("block", "n")
         sent = rows.groupBy("part").cogroup(mine.groupBy("part")).applyInArrow(suffixes, SUFFIXES)
         found = kept(sent.groupBy("bucket").applyInArrow(settle, MARKS), "marks")
