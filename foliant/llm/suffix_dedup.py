@@ -103,19 +103,35 @@ def _masks(right: np.ndarray, left: np.ndarray, before: np.ndarray, after: np.nd
 
     right: bytes from the suffix on, left: bytes before it backwards, both zero beyond ``after`` and ``before``.
     """
-    n = len(right)
-    out = np.zeros((n, period), bool)
-
-    by_right, by_left = byte_order(right), byte_order(left)
-    for back in range(period):
-        some = np.flatnonzero((before >= back) & (after >= length - back))
-        if len(some) < 2:
-            continue
-        key = (ranks(*by_left, back) * (n + 1) + ranks(*by_right, length - back))[some]
-        _, first = np.unique(key, return_index=True)
-        again = np.ones(len(some), bool)
-        again[first] = False
-        out[some[again], back] = True
+    out = np.zeros((len(right), period), bool)
+    if not len(right):
+        return out
+    order, common = byte_order(right)
+    group = ranks(order, common, length - period + 1)
+    size = np.bincount(group)[group]
+    # two alike: what they have in common both ways tells all
+    pairs = order[size[order] == 2].reshape(-1, 2)
+    a, b = pairs.min(axis=1), pairs.max(axis=1)
+    low = length - np.minimum(common[np.flatnonzero(size[order] == 2)[1::2]].astype(np.int64), np.minimum(after[a], after[b]))
+    other = left[a] != left[b]
+    alike = np.where(other.any(axis=1), other.argmax(axis=1), left.shape[1])
+    high = np.minimum(alike, np.minimum(before[a], before[b]))
+    back = np.arange(period)
+    out[b] = (back >= low[:, None]) & (back <= high[:, None])
+    # more of them: string by string
+    many = np.flatnonzero(size > 2)
+    if len(many):
+        right, left, before, after = right[many], left[many], before[many], after[many]
+        by_right, by_left, n = byte_order(right), byte_order(left), len(many)
+        for back in range(period):
+            some = np.flatnonzero((before >= back) & (after >= length - back))
+            if len(some) < 2:
+                continue
+            key = (ranks(*by_left, back) * (n + 1) + ranks(*by_right, length - back))[some]
+            _, first = np.unique(key, return_index=True)
+            again = np.ones(len(some), bool)
+            again[first] = False
+            out[many[some[again]], back] = True
     return out
 
 
@@ -204,10 +220,9 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     def settle(table: pa.Table) -> pa.Table:
         """A bucket's suffixes sorted, and the marks of the strings around them that start earlier too."""
-        rights = pa.compute.binary_length(table.column("right")).to_numpy()
-        out: list = []
-        for known in (False, True):
-            some = table.filter(pa.array((rights == 0) == known))
+        whole = pa.compute.greater(pa.compute.binary_length(table.column("right")), 0)
+        rows_, places_, bits = [], [], []
+        for some, known in ((table.filter(pa.compute.invert(whole)), True), (table.filter(whole), False)):
             row, pos, before, after = (c.joined(some.column(k), d, w) for k, d, w in (("row", np.int64, 8), ("pos", np.uint32, 4), ("before", np.uint16, 2), ("after", np.uint16, 2)))
             if not len(row):
                 continue
@@ -221,8 +236,13 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 marks = _masks(right, left, before, after, length, period)
                 del right, left
             hit = np.flatnonzero(marks.any(axis=1))
-            bits = np.packbits(marks[hit], axis=1)
-            for part, (r, p, m) in c.dealt(c.part_of_array(row[hit], parts), parts, row[hit], pos[hit], bits):
+            rows_.append(row[hit])
+            places_.append(pos[hit])
+            bits.append(np.packbits(marks[hit], axis=1))
+        out = []
+        if rows_:
+            row = np.concatenate(rows_)
+            for part, (r, p, m) in c.dealt(c.part_of_array(row, parts), parts, row, np.concatenate(places_), np.concatenate(bits)):
                 out.append((part, c.planes(r, 8), c.planes(p, 4), m.tobytes()))
         columns = list(zip(*out)) if out else [[]] * 4
         c.give_back()
@@ -256,7 +276,7 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     size = {r.block: r.n for r in placed.groupBy("block").agg(F.sum("n").alias("n")).collect()}  # BLOCKS + 1 rows at most
     text_bytes = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     marks = None
-    for blocks in _passes(size, text_bytes // (2 * (length + period))):
+    for blocks in _passes(size, text_bytes * 3 // (2 * (length + period))):
         mine = placed.where(F.col("block").isin(blocks)).drop("block", "n")
         sent = rows.groupBy("part").cogroup(mine.groupBy("part")).applyInArrow(suffixes, SUFFIXES)
         found = kept(sent.groupBy("bucket").applyInArrow(settle, MARKS), "marks")
