@@ -73,8 +73,9 @@ def table_columns(markdown: Column) -> Column:
 
 def unfenced(text: Column) -> Column:
     """The inside of a text that is one fenced block as a whole, else the text, without white space at the ends."""
-    inside = F.regexp_extract(F.trim(text), r"(?s)^```[^\n]*\n(.*?)\n?```$", 1)
-    return F.when(F.rlike(F.trim(text), F.lit(r"(?s)^```[^\n]*\n.*```$")), inside).otherwise(F.trim(text))
+    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
+    inside = F.regexp_extract(plain, r"(?s)^```[^\n]*\n(.*?)\n?```$", 1)
+    return F.when(F.rlike(plain, F.lit(r"(?s)^```[^\n]*\n.*```$")), inside).otherwise(plain)
 
 
 def figure_answer(text: Column, kinds: tuple[str, ...] = ("chart", "diagram", "photo", "table", "drawing", "screenshot")) -> Column:
@@ -91,19 +92,25 @@ def first_object(text: Column, schema: str) -> Column:
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema)
 
 
+#: Fixed value: a first line of a title that is a number alone, in five styles.
+SECTION_NUMBER = r"^(\d+(\.\d+)*\.?|[A-Z]\.|[IVX]+\.?|제\s*\d+\s*[장절조])$"
+
+
 def section_name(title: Column) -> Column:
-    """A title's first line, joined with the next if it has no letters (a number alone), cut to 200 characters."""
-    lines = F.transform(F.filter(F.split(title, "\n"), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
+    """A title's first line, joined with the next if it is a number alone, cut to 200 characters."""
+    lines = F.filter(F.transform(F.split(title, r"\R"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     first, second = F.try_element_at(lines, F.lit(1)), F.try_element_at(lines, F.lit(2))
-    number = F.rlike(first, F.lit(r"^[\dIVXivx.()\-\s]+$"))
+    number = F.rlike(first, F.lit(SECTION_NUMBER))
     return F.left(F.coalesce(F.when(number & second.isNotNull(), F.concat(first, F.lit(" "), second)), first, F.lit("")), F.lit(200))
 
 
 def search_terms(text: Column) -> Column:
     """Tokens of a search index: runs of letters, digits and underscores; Hangul as pairs of syllables, one alone whole."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+|[가-힣]+"), F.lit(0))
+    plain = F.lower(text)
+    found = F.regexp_extract_all(plain, F.lit("[a-z0-9_]+|[가-힣]+"), F.lit(0))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
-    return F.flatten(F.transform(found, lambda w: F.when(F.rlike(w, F.lit(HANGUL)) & (F.length(w) > 1), pairs(w)).otherwise(F.array(w))))
+    mixed = F.flatten(F.transform(found, lambda w: F.when(F.rlike(w, F.lit(HANGUL)) & (F.length(w) > 1), pairs(w)).otherwise(F.array(w))))
+    return F.when(F.rlike(plain, F.lit(HANGUL)), mixed).otherwise(found)  # without Hangul no token is looked at by itself
 
 
 def evidence_terms(text: Column) -> Column:

@@ -22,13 +22,10 @@ def relevance(hit_pages: Column, wanted_pages: Column, hit_text: Column, wanted_
 
 def retrieval_metrics(ranks: DataFrame, k: int = 5) -> DataFrame:
     """hit@1, hit@k and mean reciprocal rank by mode and kind, and by mode; ``rank`` is null where nothing was found."""
-    ranks.createOrReplaceTempView("foliant_ranks")
-    return ranks.sparkSession.sql(
-        f"""select mode, kind, grouping_id(mode, kind) as level, count(*) as n,
-                   avg(case when rank = 1 then 1d else 0d end) as hit1, avg(case when rank <= {k} then 1d else 0d end) as hitk,
-                   avg(coalesce(1d / rank, 0d)) as mrr
-            from foliant_ranks group by grouping sets ((mode), (mode, kind))"""
-    )
+    hit = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
+    sets = ranks.groupingSets([[F.col("mode")], [F.col("mode"), F.col("kind")]], "mode", "kind")
+    mrr = F.avg(F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0)))
+    return sets.agg(F.grouping_id("mode", "kind").alias("level"), F.count(F.lit(1)).alias("n"), hit(F.col("rank") == 1).alias("hit1"), hit(F.col("rank") <= k).alias("hitk"), mrr.alias("mrr"))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -52,6 +49,29 @@ def coverage(facts: Column, text: Column) -> Column:
     return F.struct((1 - F.coalesce(F.try_divide(F.size(missing), F.size(facts)), F.lit(0.0))).alias("share"), missing.alias("missing"))
 
 
+def facts_found(docs: DataFrame, id_col: str, text_col: str, facts: DataFrame, fact_id: str, fact_col: str) -> DataFrame:
+    """(id, fact): which facts each text has, white space and case aside.
+
+    Texts and facts meet on a run of words that every text with the fact must have: words 2 to 5 of a fact of six or
+    more, word 2 of one of three to five; what meets is then searched for the whole fact. Facts of one or two words
+    have no whole word inside, and are searched in all texts.
+    """
+    runs = lambda words, n: F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(words, i, n), " ")))
+    text = docs.select(F.col(id_col).alias("id"), T.collapsed(F.col(text_col)).alias("text"))
+    fact = facts.select(F.col(fact_id).alias("fact"), T.collapsed(F.col(fact_col)).alias("wanted")).where("wanted is not null")
+    words = F.split("text", " ")
+    inside = F.split("wanted", " ")
+    n = F.size(inside)
+    anchor = F.when(n >= 6, F.xxhash64(F.lit(4), F.array_join(F.slice(inside, 2, 4), " "))).when(n >= 3, F.xxhash64(F.lit(1), F.element_at(inside, 2)))
+    anchored = fact.withColumn("anchor", anchor)
+    kinds = anchored.where("anchor is not null").select(F.when(n >= 6, 4).otherwise(1).alias("k")).distinct()
+    each = F.array_distinct(F.flatten(F.array(*(F.when(F.size(words) >= k, runs(words, k)).otherwise(F.array().cast("array<bigint>")) for k in sorted(r.k for r in kinds.collect())))))  # 1 and 4 at most
+    met = text.select("id", F.explode(each).alias("anchor")).join(anchored.select("fact", "anchor"), "anchor").select("id", "fact").distinct()
+    long = met.join(text, "id").join(fact, "fact")
+    short = text.join(anchored.where("anchor is null").drop("anchor"), F.contains("text", F.col("wanted")))
+    return long.where(F.contains("text", F.col("wanted"))).select("id", "fact").unionByName(short.select("id", "fact"))
+
+
 def page_checks(page: DataFrame) -> DataFrame:
     """page with ``checks``: the results of those checks whose expectation is set, and their mean as ``score``.
 

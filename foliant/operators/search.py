@@ -11,9 +11,16 @@ from foliant.functions import vectors as V
 K1, B, RRF = 1.5, 0.75, 60
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, length) of each document's terms: the inverted index, to be kept as Parquet."""
+def postings(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None = None) -> DataFrame:
+    """(id, term, tf, length) of each document's terms: the inverted index, to be kept as Parquet.
+
+    only: for a search without an index, the terms asked for; others are left out before anything moves.
+    """
     terms = docs.select(F.col(id_col).alias("id"), T.search_terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+    if only is not None:
+        asked = F.filter("terms", lambda x: x.isin(sorted(set(only))))
+        terms = terms.select("id", F.size("terms").alias("length"), F.explode(asked).alias("term"))
+        return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     return terms.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
@@ -26,8 +33,7 @@ def bm25(index: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
     """(id, score) of the documents with any of the terms, each counted once."""
     found = index.where(F.col("term").isin(sorted(set(terms))))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each term asked for
-    s = F.broadcast(stats)  # one row
-    scored = found.join(F.broadcast(df), "term").join(s)
+    scored = found.join(F.broadcast(df), "term").join(F.broadcast(stats))  # stats are one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
     return scored.groupBy("id").agg(F.sum(idf * tf).alias("score"))
@@ -89,7 +95,7 @@ def provenance(chunks: DataFrame, answer: str, least: float = 0.3, share: float
     """
     spark = chunks.sparkSession
     asked = spark.range(1).select(F.explode(T.evidence_terms(F.lit(answer))).alias("term"))
-    terms = chunks.select("id", F.explode(T.evidence_terms(F.col("text"))).alias("term")).distinct().join(F.broadcast(asked), "term", "left_semi")
+    terms = chunks.select("id", F.explode(T.evidence_terms(F.col("text"))).alias("term")).distinct().join(asked, "term", "left_semi")
     weights = terms.groupBy("term").agg((1.0 / F.count(F.lit(1))).alias("w"))
     scored = terms.join(weights, "term").groupBy("id").agg(F.sum("w").alias("sum"))
     total = weights.agg(F.sum("w").alias("all"))

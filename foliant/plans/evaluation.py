@@ -38,21 +38,21 @@ def retrieval_metrics(spark, sf_dir):
     return X.retrieval_metrics(r).withColumn("level", F.col("level").cast("long"))
 
 
-@query("select source as q, min(case when contains(lower(left(text, 300)), 'the the') or doc_id % 5 = 2 then doc_id // 20 + 1 end) as rank from documents group by 1")
+@query("select source as q, min(case when contains(lower(text), 'the the') or doc_id % 5 = 2 then doc_id // 20 + 1 end) as rank from documents group by 1")
 def first_relevant_rank(spark, sf_dir):
-    hits = table(spark, sf_dir, "documents").select(F.col("source").alias("q"), F.floor(F.col("doc_id") / 20 + 1).alias("rank"), F.array((F.col("doc_id") % 5).cast("int")).alias("pages"), F.left("text", F.lit(300)).alias("text"))
+    hits = table(spark, sf_dir, "documents").select(F.col("source").alias("q"), F.floor(F.col("doc_id") / 20 + 1).alias("rank"), F.array((F.col("doc_id") % 5).cast("int")).alias("pages"), "text")
     has = F.contains(F.lower("text"), F.lit("the the")) | X.relevance(F.col("pages"), F.array(F.lit(2)), F.lit(""), F.lit(""))
     return X.first_relevant(hits, has, ["q"])
 
 
 @query(
-    """with p as (select doc_id, lang = 'en' as label, contains(lower(left(text, 500)), 'the') as fact, n_chars % 3 = 0 as figure from documents),
+    """with p as (select doc_id, lang = 'en' as label, contains(lower(text), 'the') as fact, n_chars % 3 = 0 as figure from documents),
     s as (select unnest([struct_pack(id := 'label', score := label::int::double), struct_pack(id := 'facts', score := fact::int::double), struct_pack(id := 'figure', score := figure::int::double)]) as c from p)
     select c.id as id, avg(c.score) as score, count(*) filter (c.score >= 1) as passed, count(*) as n from s group by 1"""
 )
 def page_check_summary(spark, sf_dir):
     page = table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("label"), F.lit("en").alias("want_label"), F.left("text", F.lit(500)).alias("text"), F.array(F.lit("the")).alias("want_facts"),
+        F.col("lang").alias("label"), F.lit("en").alias("want_label"), "text", F.array(F.lit("the")).alias("want_facts"),
         F.array(F.when(F.col("n_chars") % 3 == 0, "chart").otherwise("photo")).alias("figure_kinds"), F.lit("chart").alias("want_figure"),
         F.array().cast("array<string>").alias("tables"), F.array().cast("array<string>").alias("titles"), F.array().cast("array<string>").alias("captions"), F.lit("").alias("figure_text"),
         *(F.lit(None).cast(t).alias(n) for n, t in (("want_text", "string"), ("want_title", "string"), ("want_no_single_column", "boolean"), ("want_cells", "array<string>"), ("want_columns", "int"), ("want_figure_facts", "array<string>"), ("want_language", "string"), ("want_caption", "string"))),

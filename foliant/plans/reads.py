@@ -82,10 +82,10 @@ def element_stats_grouping_sets(spark, sf_dir):
     return R.element_counts(e).withColumn("level", F.col("level").cast("long")).withColumn("chars", F.col("chars").cast("long"))
 
 
-@query("with c as (select l_suppkey as page, count(*) as n, sum(length(l_linestatus)) as chars from lineitem where l_suppkey % 3 <> 0 group by 1) select coalesce(s_suppkey, page) as page, s_name as label, coalesce(n, 0)::bigint as n, coalesce(chars, 0)::bigint as chars from (select * from supplier where s_suppkey % 2 = 0) full outer join c on s_suppkey = page")
+@query("with c as (select l_suppkey as page, count(*) as n, sum(length(l_linestatus)) as chars from lineitem where l_returnflag = 'R' and l_quantity > 49 group by 1) select coalesce(s_suppkey, page) as page, s_name as label, coalesce(n, 0)::bigint as n, coalesce(chars, 0)::bigint as chars from (select * from supplier where s_acctbal > 0) full outer join c on s_suppkey = page")
 def element_stats_full_outer(spark, sf_dir):
-    profiles = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("page"), F.col("s_name").alias("label"))
-    e = table(spark, sf_dir, "lineitem").where("l_suppkey % 3 <> 0").select(F.col("l_suppkey").alias("page"), F.col("l_linestatus").alias("content"))
+    profiles = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("page"), F.col("s_name").alias("label"))
+    e = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 49").select(F.col("l_suppkey").alias("page"), F.col("l_linestatus").alias("content"))
     return R.pages_with_elements(profiles, e)
 
 

@@ -28,7 +28,7 @@ bm as (select id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5::double /
 
 def _scores(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return S.bm25(S.postings(docs, "doc_id", "text"), S.corpus_stats(docs, "text"), TERMS)
+    return S.bm25(S.postings(docs, "doc_id", "text", TERMS), S.corpus_stats(docs, "text"), TERMS)
 
 
 def _rounded(df, *names):

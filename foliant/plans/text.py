@@ -42,14 +42,14 @@ def html_escape(spark, sf_dir):
 
 
 @query(
-    r"""with c as (select doc_id, left(text, 400) as t from documents)
-    select doc_id, levenshtein(regexp_replace(t, '[^ -~]', '', 'g'), regexp_replace(lower(t), '[^ -~]', '', 'g')) /
-           greatest(length(regexp_replace(lower(t), '[^ -~]', '', 'g')), 1) as cer from c"""
+    r"""select conv_id, turn, levenshtein(regexp_replace(text, '[^ -~]', '', 'g'), regexp_replace(lower(text), '[^ -~]', '', 'g')) /
+           greatest(length(regexp_replace(lower(text), '[^ -~]', '', 'g')), 1) as cer from conversations"""
 )
 def cer_levenshtein(spark, sf_dir):
-    t = F.left("text", F.lit(400))
+    """Whole turns against their lower-case forms; printable ASCII, as lengths count bytes in one engine."""
     plain = lambda x: F.regexp_replace(x, "[^ -~]", "")
-    return _docs(spark, sf_dir).select("doc_id", T.error_rate(plain(t), plain(F.lower(t))).alias("cer"))
+    t = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.error_rate(plain(t), plain(F.lower(t))).alias("cer"))
 
 
 @query(
@@ -75,11 +75,9 @@ def hard_cut_chunks(spark, sf_dir):
     select doc_id, count(*) as found from c join f on contains(c.t, f.t) group by doc_id"""
 )
 def fact_coverage(spark, sf_dir):
-    """How many passages of the benchmark each document has; the passages are a small, fixed list."""
-    facts = [r.text for r in table(spark, sf_dir, "benchmark").select("text").collect()]
-    has = X.coverage(F.array(*(F.lit(f) for f in facts)), F.col("text"))
-    found = F.lit(len(facts)) - F.size(has["missing"])
-    return _docs(spark, sf_dir).select("doc_id", found.cast("long").alias("found")).where("found > 0")
+    """How many passages of the benchmark each document has."""
+    found = X.facts_found(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("found"))
 
 
 @query(
@@ -133,16 +131,22 @@ def plain_text_reader(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.page_text(F.col("text"), 2000).cast("binary")).alias("digest"))
 
 
-@query("select doc_id, lower(hex(encode(left(regexp_replace(text, '[^ -~]', '.', 'g'), 16)))) as first from documents")
+@query(
+    r"""with p as (select doc_id, hex(encode(text)) as h, regexp_replace(text, '[^ -~]', '.', 'g') as shown, strlen(text) as n from documents where text is not null and strlen(text) = length(text)),
+    l as (select doc_id, list_transform(range(0, (n + 15) // 16), lambda i: lpad(lower(to_hex(i * 16)), 8, '0') || '  ' ||
+      rpad(trim(regexp_replace(lower(substr(h, i * 32 + 1, 32)), '(..)', '\1 ', 'g')), 47, ' ') || '  ' || substr(shown, i * 16 + 1, 16)) as lines from p)
+    select doc_id, md5(array_to_string(lines, chr(10))) as digest, len(lines)::int as lines from l where len(lines) > 0 union all select doc_id, md5(''), 0::int from l where len(lines) = 0"""
+)
 def hex_dump(spark, sf_dir):
-    """The first line of each document's hex dump, as digits."""
-    plain = F.left(F.regexp_replace("text", "[^ -~]", "."), F.lit(16)).cast("binary")
-    return _docs(spark, sf_dir).select("doc_id", F.coalesce(F.regexp_replace(F.substring(F.try_element_at(T.hex_lines(plain), F.lit(1)), 11, 47), " ", ""), F.lit("")).alias("first"))
+    """The whole hex dump of each document that is ASCII (others differ in no way but their printable gutter)."""
+    docs = _docs(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
+    lines = T.hex_lines(F.col("text").cast("binary"))
+    return docs.select("doc_id", F.md5(F.array_join(lines, "\n").cast("binary")).alias("digest"), F.size(lines).alias("lines"))
 
 
 @query(
-    r"""with t as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as l from documents)
-    select doc_id, left(coalesce(case when regexp_matches(l[1], '^[\dIVXivx.()\-\s]+$') and l[2] is not null then l[1] || ' ' || l[2] else l[1] end, ''), 200) as section from t"""
+    r"""with t as (select doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\x0B\f\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from documents)
+    select doc_id, left(coalesce(case when regexp_matches(l[1], '^(\d+(\.\d+)*\.?|[A-Z]\.|[IVX]+\.?|제\s*\d+\s*[장절조])$') and l[2] is not null then l[1] || ' ' || l[2] else l[1] end, ''), 200) as section from t"""
 )
 def section_names(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.section_name(F.col("text")).alias("section"))
@@ -154,8 +158,11 @@ def json_fields(spark, sf_dir):
     return e.select("event_id", F.get_json_object("props", "$.page").alias("page"), F.size(F.json_object_keys("props")).alias("keys"))
 
 
-@query(r"select conv_id, turn, (regexp_matches(text, '^```')) as fenced, md5(trim(text, ' ')) as digest from conversations where not contains(text, '```') and text = trim(text, chr(10) || chr(9) || chr(13) || ' ')")
+@query(
+    r"""with c as (select conv_id, turn, text, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from conversations)
+    select conv_id, turn, starts_with(text, '```') as fenced, md5(case when regexp_matches(t, '(?s)^```[^\n]*\n.*```$') then regexp_extract(t, '(?s)^```[^\n]*\n(.*?)\n?```$', 1) else t end) as digest from c"""
+)
 def fences(spark, sf_dir):
-    """Conversation turns without their code fence; those that have one are covered by tests."""
-    c = table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("```")) & ~F.rlike("text", F.lit(r"^\s|\s$")))
+    """Conversation turns without their code fence."""
+    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.startswith("text", F.lit("```")).alias("fenced"), F.md5(T.unfenced(F.col("text")).cast("binary")).alias("digest"))
