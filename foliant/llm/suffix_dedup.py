@@ -42,7 +42,7 @@ COVERS = {
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 PLACES = "part int, block int, n long, row binary, pos binary, before binary, after binary, bucket binary"
 SUFFIXES = "bucket int, right binary, left binary, row binary, pos binary, before binary, after binary"
-MARKS = "part int, row binary, pos binary, mask binary"
+MARKS = "part int, row long, pos long, mask binary"
 BLOCKS = 8
 #: Texts that splitters of the byte order are drawn from, a piece of each: they only balance the buckets.
 SPLIT_TEXTS, SPLIT_CHARS = 4096, 96
@@ -239,17 +239,16 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             rows_.append(row[hit])
             places_.append(pos[hit])
             bits.append(np.packbits(marks[hit], axis=1))
-        out = []
-        if rows_:
-            row = np.concatenate(rows_)
-            for part, (r, p, m) in c.dealt(c.part_of_array(row, parts), parts, row, np.concatenate(places_), np.concatenate(bits)):
-                out.append((part, c.planes(r, 8), c.planes(p, 4), m.tobytes()))
-        columns = list(zip(*out)) if out else [[]] * 4
         c.give_back()
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), *[pa.binary()] * 3))], ["part", "row", "pos", "mask"])
+        row = np.concatenate(rows_) if rows_ else np.zeros(0, np.int64)
+        pos = np.concatenate(places_).astype(np.int64) if rows_ else row
+        data = np.concatenate(bits).tobytes() if rows_ else b""
+        ends = pa.py_buffer((np.arange(len(row) + 1, dtype=np.int32) * mask_bytes).tobytes())
+        mask = pa.Array.from_buffers(pa.binary(), len(row), [None, ends, pa.py_buffer(data)])
+        return pa.Table.from_arrays([pa.array(c.part_of_array(row, parts), pa.int32()), pa.array(row), pa.array(pos), mask], ["part", "row", "pos", "mask"])
 
     def close(mine: pa.Table, told: pa.Table) -> pa.Table:
-        row, pos = c.joined(told.column("row"), np.int64, 8), c.joined(told.column("pos"), np.uint32, 4)
+        row, pos = c.longs(told.column("row").combine_chunks()), c.longs(told.column("pos").combine_chunks())
         mask = c.flat(told.column("mask"))[0].reshape(-1, mask_bytes)
         order = np.lexsort((pos, row))
         row, pos, mask = row[order], pos[order], mask[order]
