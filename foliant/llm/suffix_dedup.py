@@ -44,6 +44,9 @@ PLACES = "part int, block int, n long, row binary, pos binary, before binary, af
 SUFFIXES = "bucket int, right binary, left binary, row binary, pos binary, before binary, after binary"
 MARKS = "part int, row long, pos long, mask binary"
 BLOCKS = 8
+#: A bucket for so many bytes of text, and no fewer than LEAST_BUCKETS: packets grow with the parts of texts, not with their square.
+BUCKET_TEXT = 1 << 20
+LEAST_BUCKETS = 8 * BLOCKS
 #: Texts that splitters of the byte order are drawn from, a piece of each: they only balance the buckets.
 SPLIT_TEXTS, SPLIT_CHARS = 4096, 96
 
@@ -165,7 +168,9 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         s = _Slice(batch, length, period)
         return s.hashes(), s.text
 
-    cuts = _splitters(texts, prefix, BLOCKS * parts)
+    text_bytes = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    buckets = max(LEAST_BUCKETS, -(-text_bytes // BUCKET_TEXT))
+    cuts = _splitters(texts, prefix, buckets)
 
     def places(mine: pa.Table, told: pa.Table) -> pa.Table:
         """The sample suffixes whose prefix repeats: how far strings around each reach back and on, and its bucket."""
@@ -178,7 +183,7 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             bucket = np.searchsorted(cuts, _pieces(s.data, at, prefix).view(f"S{prefix}").ravel(), "right").astype(np.uint32)
             fields = (rows_[text], s.local[used], (at - low).astype(np.uint16), (length - at + high).astype(np.uint16), bucket)
             part = int(mine.column("part")[0].as_py())
-            for block, (r, p, b, a, k) in c.dealt((bucket // parts).astype(np.int64), BLOCKS + 1, *fields):
+            for block, (r, p, b, a, k) in c.dealt(bucket.astype(np.int64) * BLOCKS // buckets, BLOCKS, *fields):
                 out.append((part, block, len(r), c.planes(r, 8), c.planes(p, 4), c.planes(b, 2), c.planes(a, 2), c.planes(k, 4)))
         kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
         columns = list(zip(*out)) if out else [[]] * 8
@@ -272,8 +277,7 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     answers = kept(tallied(rows, parts, grams), "prefixes")
     placed = kept(rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(places, PLACES), "places")
     c.delete(spark, scratch.pop(0))
-    size = {r.block: r.n for r in placed.groupBy("block").agg(F.sum("n").alias("n")).collect()}  # BLOCKS + 1 rows at most
-    text_bytes = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    size = {r.block: r.n for r in placed.groupBy("block").agg(F.sum("n").alias("n")).collect()}  # BLOCKS rows at most
     marks = None
     for blocks in _passes(size, text_bytes * 3 // (2 * (length + period))):
         mine = placed.where(F.col("block").isin(blocks)).drop("block", "n")
