@@ -45,7 +45,7 @@ SUFFIXES = "bucket int, right binary, left binary, row binary, pos binary, befor
 MARKS = "part int, row long, pos long, mask binary"
 BLOCKS = 8
 #: A bucket for so many bytes of text, and no fewer than LEAST_BUCKETS: packets grow with the parts of texts, not with their square.
-BUCKET_TEXT = 1 << 20
+BUCKET_TEXT = 1 << 19
 LEAST_BUCKETS = 8 * BLOCKS
 #: Texts that splitters of the byte order are drawn from, a piece of each: they only balance the buckets.
 SPLIT_TEXTS, SPLIT_CHARS = 4096, 96
