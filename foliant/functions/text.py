@@ -165,8 +165,11 @@ def plain_number(value: Column) -> Column:
 
 
 def iso_time(value: Column, milliseconds: bool = False) -> Column:
-    """Epoch seconds or milliseconds as ISO text in UTC; a note where the time is out of range."""
-    seconds = value / 1000 if milliseconds else value
-    fine = (seconds >= 0) & (seconds < 253402300800)
-    made = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.when(fine, F.floor(seconds))), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return F.when(fine, made).otherwise(F.concat(F.lit("invalid time "), value.cast("string")))
+    """Epoch seconds or milliseconds as ISO text in UTC, with microseconds where there are any; a note where the year
+    isn't within 1 and 9999."""
+    fine = (value >= (-62135596800 * (1000 if milliseconds else 1))) & (value < 253402300800 * (1000 if milliseconds else 1))
+    micros = F.bround(F.when(fine, value) * F.lit(1000 if milliseconds else 1_000_000), 0).cast("long")
+    made = F.to_utc_timestamp(F.timestamp_micros(micros), F.current_timezone())
+    whole = F.pmod(micros, F.lit(1_000_000)) == 0
+    text = F.when(whole, F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return F.when(fine, text).otherwise(F.concat(F.lit("invalid time "), value.cast("string")))

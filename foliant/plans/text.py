@@ -108,10 +108,15 @@ def integral_numbers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(v == F.floor(v), T.plain_number(v)).otherwise("x").alias("shown"))
 
 
-@query("select event_id, strftime(make_timestamp((floor(epoch(ts))::bigint * 1000000)), '%Y-%m-%dT%H:%M:%SZ') as seconds from events")
+@query(
+    """select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else strftime(ts, '.%f') end || 'Z' as exact, strftime(make_timestamp((floor(epoch(ts))::bigint * 1000000)), '%Y-%m-%dT%H:%M:%SZ') as seconds,
+    strftime(make_timestamp(-event_id * 86400123000), '%Y-%m-%dT%H:%M:%S') || case when event_id % 1000 = 0 then '' else strftime(make_timestamp(-event_id * 86400123000), '.%f') end || 'Z' as early from events"""
+)
 def iso_times(spark, sf_dir):
-    seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", T.iso_time(seconds).alias("seconds"))
+    """Times to the microsecond, whole seconds, and milliseconds before 1970."""
+    ts = F.col("ts").cast("timestamp")
+    micros = T.iso_time(F.unix_micros(ts).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
+    return table(spark, sf_dir, "events").select("event_id", micros.alias("exact"), T.iso_time(F.unix_seconds(ts)).alias("seconds"), T.iso_time(-F.col("event_id") * 86400123, True).alias("early"))
 
 
 @query(

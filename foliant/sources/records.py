@@ -88,10 +88,13 @@ def schema(layout: Layout) -> str:
 
 
 def _times(v: np.ndarray, milliseconds: bool) -> list[str]:
-    seconds = v.astype(float) / (1000 if milliseconds else 1)
-    fine = (seconds >= 0) & (seconds < 253402300800)
-    text = np.datetime_as_string(np.where(fine, seconds, 0).astype("int64").astype("datetime64[s]"))
-    return [f"{t}Z" if ok else f"invalid time {x}" for t, ok, x in zip(text, fine, v.tolist())]
+    """ISO times of the years 1 to 9999, with microseconds where there are any."""
+    scale = 1000 if milliseconds else 1
+    fine = (v >= -62135596800 * scale) & (v < 253402300800 * scale)
+    kept = np.where(fine, v, 0)
+    micros = kept.astype("int64") * (1_000_000 // scale) if v.dtype.kind in "iu" else np.rint(kept.astype(float) * (1_000_000 // scale)).astype("int64")
+    whole = np.datetime_as_string(micros.astype("datetime64[us]"))
+    return [f"{t.removesuffix('.000000')}Z" if ok else f"invalid time {x}" for t, ok, x in zip(whole, fine, v.tolist())]
 
 
 def column(f: Field, raw: np.ndarray) -> pa.Array:

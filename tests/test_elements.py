@@ -1,9 +1,13 @@
+from datetime import datetime, timezone
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from foliant.functions import geometry as G
 from foliant.functions import text as T
 from foliant.operators import elements as E
 from foliant.operators import evaluation as X
+from foliant.sources.records import _times
 
 
 def one(spark, *columns):
@@ -75,11 +79,22 @@ def test_text_functions(spark):
     r = one(spark, T.search_terms(F.lit(ko)), T.hangul_share(F.lit("한글 ab\n| abc |")), T.table_columns(F.lit("| a | b | c |\n| --- | --- | --- |\n| 1 | 2 |")), T.unfenced(F.lit("```md\nbody\n```")), T.figure_answer(F.lit("TYPE: chart\nRises")), T.figure_answer(F.lit("no type")), T.section_name(F.lit("2.1\nMotor\nmore")), T.error_rate(F.lit("kitten"), F.lit("sitting")), T.iso_time(F.lit(0)), T.iso_time(F.lit(-5)), T.iso_time(F.lit(1500), True), T.evidence_terms(F.lit("The 1,234 motors were rotating 전동기")), T.first_object(F.lit('say {"a": 1} ok'), "a int"), T.printable_share(F.lit("ab\x01c")), T.hex_lines(F.lit(b"AB\x00")))
     assert r.c0 == ["가나", "나다", "다라", "abc", "한"] and r.c1 == 0.5 and r.c2 == 3 and r.c3 == "body"
     assert tuple(r.c4) == ("chart", "Rises") and tuple(r.c5) == ("diagram", "no type") and r.c6 == "2.1 Motor" and abs(r.c7 - 3 / 7) < 1e-12
-    assert r.c8 == "1970-01-01T00:00:00Z" and r.c9 == "invalid time -5" and r.c10 == "1970-01-01T00:00:01Z"
+    assert r.c8 == "1970-01-01T00:00:00Z" and r.c9 == "1969-12-31T23:59:55Z" and r.c10 == "1970-01-01T00:00:01.500000Z"
     assert {"1234", "motors", "rotati", "전동", "동기"} <= set(r.c11) and "the" not in r.c11
     assert r.c12.a == 1 and r.c13 == 0.75 and r.c14[0].startswith("00000000  41 42 00") and r.c14[0].endswith("AB.")
 
 
+def test_times_like_datetime(spark):
+    """Any time of the years 1 to 9999 reads as Python's datetime writes it; others are named invalid."""
+    seconds, far = [0, -5, 86400, -62135596800, 253402300799], [-62135596801, 253402300800]
+    python = lambda v: datetime.fromtimestamp(v, tz=timezone.utc).isoformat().replace("+00:00", "Z")
+    got = spark.createDataFrame([(v,) for v in seconds + far], "v long").select("v", T.iso_time(F.col("v")).alias("t"), T.iso_time(F.col("v") * 1000 + 7, True).alias("m")).collect()
+    assert {r.v: r.t for r in got} == {v: python(v) for v in seconds} | {v: f"invalid time {v}" for v in far}
+    assert {r.m for r in got if r.v in (0, -5)} == {"1970-01-01T00:00:00.007000Z", "1969-12-31T23:59:55.007000Z"}
+    assert _times(np.array(seconds + far), False) == [python(v) for v in seconds] + [f"invalid time {v}" for v in far]
+    assert _times(np.array([1500, -1]), True) == ["1970-01-01T00:00:01.500000Z", "1969-12-31T23:59:59.999000Z"]
+
+
 def test_page_checks(spark):
     df = spark.range(1).select(F.lit("table").alias("label"), F.lit("table").alias("want_label"), F.lit("abc").alias("text"), F.lit("abd").alias("want_text"), F.array(F.lit("B"), F.lit("zz")).alias("want_facts"), F.array(F.lit("The Title")).alias("titles"), F.lit("title").alias("want_title"), F.array(F.lit("| a |\n| - |")).alias("tables"), F.lit(True).alias("want_no_single_column"), F.array(F.lit("a")).alias("want_cells"), F.lit(1).alias("want_columns"), F.array(F.lit("chart")).alias("figure_kinds"), F.lit("chart").alias("want_figure"), F.lit("한글").alias("figure_text"), F.array(F.lit("한글")).alias("want_figure_facts"), F.lit("ko").alias("want_language"), F.array(F.lit("Figure 1: x")).alias("captions"), F.lit("figure 1").alias("want_caption"))
     got = {c.id: (c.score, c.passed) for c in X.page_checks(df).first().checks}
