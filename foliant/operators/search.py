@@ -71,7 +71,8 @@ def bigrams(text: Column) -> Column:
 def overlap_score(query: Column, text: Column) -> Column:
     """Share of the query's character pairs that the text has, to four digits: stands in for a reranking model."""
     q = bigrams(query)
-    return F.round(F.size(F.array_intersect(q, bigrams(text))) / F.size(q), 4)
+    has = lambda plain: F.size(F.filter(q, lambda x: ((F.length(x) == 2) & F.contains(plain, x)) | (plain == x)))  # noqa: E731  the text's own pairs would take its length squared
+    return F.round(F.transform(F.array(F.lower(text)), has)[0] / F.size(q), 4)
 
 
 def budget(k: int) -> tuple[int, int]:
