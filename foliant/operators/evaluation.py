@@ -65,7 +65,9 @@ def facts_found(docs: DataFrame, id_col: str, text_col: str, facts: DataFrame, f
     anchor = F.when(n >= 6, F.xxhash64(F.lit(4), F.array_join(F.slice(inside, 2, 4), " "))).when(n >= 3, F.xxhash64(F.lit(1), F.element_at(inside, 2)))
     anchored = fact.withColumn("anchor", anchor)
     kinds = anchored.where("anchor is not null").select(F.when(n >= 6, 4).otherwise(1).alias("k")).distinct()
-    each = F.array_distinct(F.flatten(F.array(*(F.when(F.size(words) >= k, runs(words, k)).otherwise(F.array().cast("array<bigint>")) for k in sorted(r.k for r in kinds.collect())))))  # 1 and 4 at most
+    sizes = sorted(r.k for r in kinds.collect())  # 1 and 4 at most
+    every = lambda w: F.array_distinct(F.flatten(F.array(*(F.when(F.size(w) >= k, runs(w, k)).otherwise(F.array().cast("array<bigint>")) for k in sizes))))
+    each = F.transform(F.array(words), every)[0]  # bound once: else the text would be split again for each of its words
     met = text.select("id", F.explode(each).alias("anchor")).join(anchored.select("fact", "anchor"), "anchor").select("id", "fact").distinct()
     long = met.join(text, "id").join(fact, "fact")
     short = text.join(anchored.where("anchor is null").drop("anchor"), F.contains("text", F.col("wanted")))
