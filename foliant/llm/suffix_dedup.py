@@ -47,8 +47,10 @@ BLOCKS = 8
 #: A bucket for so many bytes of text, and no fewer than LEAST_BUCKETS: packets grow with the parts of texts, not with their square.
 BUCKET_TEXT = 1 << 19
 LEAST_BUCKETS = 8 * BLOCKS
-#: Texts that splitters of the byte order are drawn from, a piece of each: they only balance the buckets.
+#: About so many texts that splitters of the byte order are drawn from, a piece of each: they only balance the buckets.
 SPLIT_TEXTS, SPLIT_CHARS = 4096, 96
+#: Ranges of the byte order. Where more buckets are wanted, a range's prefixes are dealt to several by their hash.
+RANGES = 4096
 
 
 def period_for(length: int) -> int:
@@ -168,22 +170,27 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         s = _Slice(batch, length, period)
         return s.hashes(), s.text
 
-    text_bytes = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    total = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    text_bytes = int(total[0] or 0)
     buckets = max(LEAST_BUCKETS, -(-text_bytes // BUCKET_TEXT))
-    cuts = _splitters(texts, prefix, buckets)
+    ranges = min(buckets, RANGES)
+    shares = -(-buckets // ranges)
+    cuts = _splitters(texts, total[1], prefix, ranges)
 
     def places(mine: pa.Table, told: pa.Table) -> pa.Table:
         """The sample suffixes whose prefix repeats: how far strings around each reach back and on, and its bucket."""
         tally, out = Tally(told), []
         for batch in c.slices(mine.sort_by("row"), "text"):
             s, rows_ = _Slice(batch, length, period), c.longs(batch.column("row").combine_chunks())
-            used = np.flatnonzero(tally(s.hashes()) > 1)
+            hashes = s.hashes()
+            used = np.flatnonzero(tally(hashes) > 1)
             at, text = s.at[used], s.text[used]
             low, high = np.maximum(at - reach, s.offs[text]), np.minimum(at, s.offs[text + 1] - length)
-            bucket = np.searchsorted(cuts, _pieces(s.data, at, prefix).view(f"S{prefix}").ravel(), "right").astype(np.uint32)
+            span = np.searchsorted(cuts, _pieces(s.data, at, prefix).view(f"S{prefix}").ravel(), "right")
+            bucket = (span * shares + (hashes[used] >> np.uint64(32)).astype(np.int64) % shares).astype(np.uint32)
             fields = (rows_[text], s.local[used], (at - low).astype(np.uint16), (length - at + high).astype(np.uint16), bucket)
             part = int(mine.column("part")[0].as_py())
-            for block, (r, p, b, a, k) in c.dealt(bucket.astype(np.int64) * BLOCKS // buckets, BLOCKS, *fields):
+            for block, (r, p, b, a, k) in c.dealt(span * BLOCKS // ranges, BLOCKS, *fields):
                 out.append((part, block, len(r), c.planes(r, 8), c.planes(p, 4), c.planes(b, 2), c.planes(a, 2), c.planes(k, 4)))
         kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
         columns = list(zip(*out)) if out else [[]] * 8
@@ -288,11 +295,12 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     return texts.select("part", "row", "doc_id", "text").groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(close, SCHEMA)
 
 
-def _splitters(texts: DataFrame, prefix: int, n: int) -> np.ndarray:
-    """n - 1 strings at even distances in the byte order of a bounded sample of suffixes."""
+def _splitters(texts: DataFrame, count: int, prefix: int, n: int) -> np.ndarray:
+    """n - 1 strings at even distances in the byte order of a sample of suffixes, from about SPLIT_TEXTS of count texts."""
     turn = F.xxhash64("row")
+    drawn = F.pmod(turn, F.lit(1 << 40)) < int((1 << 40) * min(1.0, SPLIT_TEXTS / max(count, 1)))
     piece = F.substring("text", 1 + F.pmod(turn, F.greatest(F.length("text") - SPLIT_CHARS, F.lit(1))).cast("int"), F.lit(SPLIT_CHARS))
-    found = texts.select(turn.alias("turn"), piece.alias("piece")).orderBy("turn").limit(SPLIT_TEXTS).select("piece").collect()
+    found = texts.where(drawn).select(piece.alias("piece")).collect()
     keys = sorted(b[i : i + prefix] for b in (r.piece.encode() for r in found) for i in range(0, len(b) - prefix, 7))
     if not keys:
         return np.zeros(0, f"S{prefix}")

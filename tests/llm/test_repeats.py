@@ -72,6 +72,15 @@ def test_bytes_against_brute_force(spark):
         assert got == brute_bytes(rows, length)
 
 
+def test_bytes_where_ranges_are_dealt_to_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "RANGES", 8)
+    monkeypatch.setattr(suffix_dedup, "SPLIT_TEXTS", 20)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_earlier(docs, 100).collect()}
+    assert got == brute_bytes(rows, 100)
+
+
 def test_order_against_a_plain_suffix_sort():
     rng = np.random.default_rng(4)
     text = bytes(rng.integers(0, 3, 700, np.uint8)) + b"\x00\x01" * 90 + bytes(40)
