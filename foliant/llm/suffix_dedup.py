@@ -20,7 +20,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +43,7 @@ PLACES = "part int, block int, n long, row binary, pos binary, before binary, af
 SUFFIXES = "bucket int, right binary, left binary, row binary, pos binary, before binary, after binary"
 MARKS = "part int, row long, pos long, mask binary"
 BLOCKS = 8
-#: A bucket for so many bytes of text, and no fewer than LEAST_BUCKETS: packets grow with the parts of texts, not with their square.
+#: A bucket for so many bytes of text, and no fewer than LEAST_BUCKETS. A part of the texts sends a bucket one packet.
 BUCKET_TEXT = 1 << 19
 LEAST_BUCKETS = 8 * BLOCKS
 #: About so many texts that splitters of the byte order are drawn from, a piece of each: they only balance the buckets.
@@ -197,11 +196,13 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["part", "block", "n", "row", "pos", "before", "after", "bucket"])
 
     def suffixes(mine: pa.Table, told: pa.Table) -> pa.Table:
-        """The bytes around a block's sample suffixes; what has an equal earlier in its slice goes along without bytes."""
+        """The bytes around a block's sample suffixes, a packet for each bucket; those with an equal earlier in their slice
+        come last in a packet, without bytes."""
         row, pos, before, after, bucket = (c.joined(told.column(k), d, w) for k, d, w in (("row", np.int64, 8), ("pos", np.uint32, 4), ("before", np.uint16, 2), ("after", np.uint16, 2), ("bucket", np.uint32, 4)))
         order = np.lexsort((pos, row))
         row, pos, before, after, bucket = (x[order] for x in (row, pos, before, after, bucket))
         out: list = []
+        got: list = []
         for batch in c.slices(mine.sort_by("row"), "text") if len(row) else ():
             keys = c.longs(batch.column("row").combine_chunks())
             data, offs = c.flat(batch.column("text"))
@@ -220,29 +221,38 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             again = (first != np.arange(len(at))) & (bef == bef[first]) & (aft == aft[first])
             some = np.flatnonzero(again)
             again[some] = (right[some] == right[first[some]]).all(axis=1) & (left[some] == left[first[some]]).all(axis=1)
-            for known in (False, True):
-                some = np.flatnonzero(again == known)
-                values, of = np.unique(buc[some], return_inverse=True)
-                for g, (i,) in c.dealt(of, len(values), some):
-                    bytes_ = (b"", b"") if known else (right[i].tobytes(), left[i].tobytes())
-                    out.append((int(values[g]), *bytes_, c.planes(r[i], 8), c.planes(p[i], 4), c.planes(bef[i], 2), c.planes(aft[i], 2)))
+            got.append((buc, again, r, p, bef, aft, right[~again], left[~again]))
+        if got:
+            buc, again, r, p, bef, aft, right, left = (np.concatenate(x) for x in zip(*got))
+            got.clear()
+            order = np.argsort(buc[~again], kind="stable")
+            right, left = right[order], left[order]
+            order = np.lexsort((again, buc))
+            buc, again, r, p, bef, aft = (x[order] for x in (buc, again, r, p, bef, aft))
+            starts = np.flatnonzero(np.append(True, buc[1:] != buc[:-1]))
+            whole = np.append(0, np.cumsum(~again))
+            for i, j in zip(starts, np.append(starts[1:], len(buc))):
+                k = slice(whole[i], whole[j])
+                out.append((int(buc[i]), right[k].tobytes(), left[k].tobytes(), c.planes(r[i:j], 8), c.planes(p[i:j], 4), c.planes(bef[i:j], 2), c.planes(aft[i:j], 2)))
         kinds = (pa.int32(), *[pa.binary()] * 6)
         columns = list(zip(*out)) if out else [[]] * 7
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["bucket", "right", "left", "row", "pos", "before", "after"])
 
     def settle(table: pa.Table) -> pa.Table:
         """A bucket's suffixes sorted, and the marks of the strings around them that start earlier too."""
-        whole = pa.compute.greater(pa.compute.binary_length(table.column("right")), 0)
+        every = [c.joined(table.column(k), d, w) for k, d, w in (("row", np.int64, 8), ("pos", np.uint32, 4), ("before", np.uint16, 2), ("after", np.uint16, 2))]
+        whole, n = (np.diff(c.flat(table.column(k))[1]) // w for k, w in (("right", length), ("row", 8)))
+        again = np.repeat(np.tile([False, True], len(n)), np.stack([whole, n - whole], axis=1).ravel())
         rows_, places_, bits = [], [], []
-        for some, known in ((table.filter(pa.compute.invert(whole)), True), (table.filter(whole), False)):
-            row, pos, before, after = (c.joined(some.column(k), d, w) for k, d, w in (("row", np.int64, 8), ("pos", np.uint32, 4), ("before", np.uint16, 2), ("after", np.uint16, 2)))
+        for known in (True, False):
+            row, pos, before, after = (x[again == known] for x in every)
             if not len(row):
                 continue
             if known:
                 back = np.arange(period)
                 marks = (back <= before[:, None]) & (back >= length - after[:, None].astype(np.int64))
             else:
-                right, left = (c.flat(some.column(k))[0].reshape(len(row), w) for k, w in (("right", length), ("left", reach)))
+                right, left = (c.flat(table.column(k))[0].reshape(len(row), w) for k, w in (("right", length), ("left", reach)))
                 order = np.lexsort((pos, row))
                 row, pos, before, after, right, left = (x[order] for x in (row, pos, before, after, right, left))
                 marks = _masks(right, left, before, after, length, period)
