@@ -11,15 +11,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def trigram_vector(text: str, size: int) -> np.ndarray:
-    """Lower-case trigrams of the text with white space collapsed; each adds a sign to the place that its digest picks."""
-    plain = " ".join(text.lower().split())
-    v = np.zeros(size)
-    for i in range(max(1, len(plain) - 2)) if plain else ():
-        h = int.from_bytes(hashlib.blake2b(plain[i : i + 3].encode(), digest_size=8).digest(), "little")
-        v[h % size] += -1.0 if h >> 63 else 1.0
-    norm = np.linalg.norm(v)
-    return v / norm if norm else v
+#: Code points whose trigrams are told apart at once; a longer text stands alone.
+RUN = 1 << 20
+
+
+def trigram_vectors(texts: list[str], size: int) -> np.ndarray:
+    """Lower-case trigrams of each text with white space collapsed; each adds a sign to the place that its digest picks.
+
+    A text of one or two code points is one trigram. Rows have length 1, or are zero for empty texts.
+    """
+    plain = [" ".join(t.lower().split()) for t in texts]
+    keys, counts = [], []
+    for t in plain:
+        code = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) + 1  # below 2^21; 0 stands for none
+        code = np.append(code, np.zeros(max(0, 3 - len(code)), np.int64)) if len(code) else code
+        keys.append(code[:-2] | code[1:-1] << 21 | code[2:] << 42)
+        counts.append(len(keys[-1]))
+    distinct, which = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+    grams = ("".join(chr(c - 1) for c in (k & 0x1FFFFF, k >> 21 & 0x1FFFFF, k >> 42) if c) for k in distinct.tolist())
+    digest = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams), "<u8")
+    place, sign = (digest % np.uint64(size)).astype(np.int64), 1.0 - 2.0 * (digest >> np.uint64(63)).astype(np.float64)
+    text = np.repeat(np.arange(len(texts)), counts)
+    v = np.bincount(text * size + place[which], sign[which], len(texts) * size).reshape(-1, size)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(norm > 0, norm, 1)
 
 
 def hash_embedding(df: DataFrame, text: str, size: int) -> DataFrame:
@@ -27,7 +42,14 @@ def hash_embedding(df: DataFrame, text: str, size: int) -> DataFrame:
 
     @F.pandas_udf("array<float>")
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: trigram_vector(t or "", size).astype(np.float32))
+        texts = [t or "" for t in batch]
+        ends = np.cumsum([len(t) for t in texts])
+        out, at = [], 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN, "right")))
+            out.extend(trigram_vectors(texts[at:end], size).astype(np.float32))
+            at = end
+        return pd.Series(out, dtype=object)
 
     return df.select(*(x for x in df.columns if x != text), run(F.col(text)).alias("vector"))
 
