@@ -19,6 +19,8 @@ from foliant.llm import common as c
 ASK = "bucket int, part int, hashes binary, counts binary"
 ANSWER = "part int, hashes binary, counts binary"
 _COUNT = 4
+#: Buckets of hashes, where there are not more parts: a bucket is sorted in a worker's memory.
+LEAST_BUCKETS = 64
 
 
 def dealt_texts(keyed: DataFrame, parts: int) -> DataFrame:
@@ -29,6 +31,8 @@ def dealt_texts(keyed: DataFrame, parts: int) -> DataFrame:
 def tallied(texts: DataFrame, parts: int, hashes: Callable) -> DataFrame:
     """ANSWER rows for the texts of dealt_texts(): hashes(batch) gives (hash, text number) of each text's distinct hashes."""
 
+    buckets = max(parts, LEAST_BUCKETS)
+
     def ask(batches):
         for whole in batches:
             for batch in c.slices(whole, "text"):
@@ -44,8 +48,8 @@ def tallied(texts: DataFrame, parts: int, hashes: Callable) -> DataFrame:
                 first = np.flatnonzero(new)
                 n = np.diff(np.append(first, len(h))).astype(np.uint32)
                 h, group = h[first], group[first]
-                bucket = (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-                place = group * parts + bucket  # ascends: hashes do in each group, and buckets are their ranges
+                bucket = (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                place = group * buckets + bucket  # ascends: hashes do in each group, and buckets are their ranges
                 ends = np.flatnonzero(np.append(place[1:] != place[:-1], True)) + 1
                 starts = np.append(0, ends[:-1])
                 columns = [
@@ -59,7 +63,7 @@ def tallied(texts: DataFrame, parts: int, hashes: Callable) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         h, n = c.joined(table.column("hashes"), np.uint64, 8), c.joined(table.column("counts"), np.uint32, _COUNT).astype(np.int64)
         size = np.diff(c.flat(table.column("hashes"))[1]) // 8
-        part = np.repeat(c.longs(table.column("part").combine_chunks()), size).astype(np.int32)
+        part = np.repeat(c.longs(table.column("part").combine_chunks()).astype(np.int32), size)
         order = np.lexsort((part, h))
         h, n, part = h[order], n[order], part[order]
         starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
@@ -71,6 +75,7 @@ def tallied(texts: DataFrame, parts: int, hashes: Callable) -> DataFrame:
         parts_, of = np.unique(part, return_inverse=True)
         out = [(int(parts_[g]), c.planes(a, 8), c.planes(b, _COUNT)) for g, (a, b) in c.dealt(of, len(parts_), h, each)] if len(h) else []
         columns = list(zip(*out)) if out else [[]] * 3
+        c.give_back()
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["part", "hashes", "counts"])
 
     asked = texts.select("part", "text").repartition(parts, "part").mapInArrow(ask, ASK)
