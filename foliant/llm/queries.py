@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import additive, byte_bpe, common, hard_negatives, language_id, minhash, mixing, simhash, substring_dedup, suffix_dedup, token_shards, warc
+from foliant.llm import additive, alignment, byte_bpe, common, embedding_dedup, hard_negatives, language_id, minhash, mixing, simhash, substring_dedup, suffix_dedup, token_shards, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,13 +63,22 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), a, b)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_simhash, op3_additive, op4_suffix_array, op5_substrings, op6_mixing, op7_token_shards, op8_language, op9_byte_bpe, op10_minhash, op12_hard_negatives)
+    for f in (op1_warc, op2_simhash, op3_additive, op4_suffix_array, op5_substrings, op6_mixing, op7_token_shards, op8_language, op9_byte_bpe, op10_minhash, op11_alignment, op12_hard_negatives, op13_embedding_dedup)
 }
 
 ORACLES: dict[str, str] = {
@@ -79,4 +88,5 @@ ORACLES: dict[str, str] = {
     "op5_substrings": substring_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_embedding_dedup": embedding_dedup.ORACLE,
 }
