@@ -83,7 +83,8 @@ class Index:
 
     def _centres(self, sample: np.ndarray) -> np.ndarray:
         least = max(16, int(len(sample) * CORE_SHARE))
-        inside = sample[:CORE_CANDIDATES] @ sample.T >= math.cos(self.reach)
+        few = range(0, min(len(sample), CORE_CANDIDATES), 256)  # a slice at a time: of the products only a bit each is kept
+        inside = np.concatenate([sample[i : min(i + 256, CORE_CANDIDATES)] @ sample.T >= math.cos(self.reach) for i in few])
         count, out = inside.sum(1), []
         while len(count) and count.max() >= least:
             i = int(count.argmax())
