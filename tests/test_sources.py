@@ -1,5 +1,6 @@
 import json
 import struct
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -7,9 +8,10 @@ from pyspark.sql import functions as F
 
 from foliant.operators import rules as R
 from foliant.sources import files as S
+from foliant.sources import layouts as L
 from foliant.sources import records as B
 
-SPEC = {"record_size": 32, "header_size": 64, "endian": "little", "header_fields": [{"name": "magic", "type": "str", "offset": 0, "size": 4}, {"name": "declared", "type": "u32", "offset": 8}], "fields": [{"name": "time", "type": "u32", "offset": 0, "time": "unix_s"}, {"name": "temperature", "type": "f32", "offset": 4}, {"name": "humidity", "type": "f32", "offset": 8}, {"name": "sequence", "type": "u16", "offset": 12}, {"name": "flags", "type": "u8", "offset": 14, "bits": [{"name": "a", "bit": 0}, {"name": "b", "bit": 1}]}, {"name": "sync", "type": "bytes", "offset": 16, "size": 4}, {"name": "pressure", "type": "i16", "offset": 20, "scale": 0.1}]}
+SPEC = {"record_size": 32, "header": 64, "endian": "little", "header_fields": [{"name": "magic", "type": "str", "offset": 0, "size": 4}, {"name": "declared", "type": "u32", "offset": 8}], "fields": [{"name": "time", "type": "u32", "offset": 0, "time": "unix_s"}, {"name": "temperature", "type": "f32", "offset": 4}, {"name": "humidity", "type": "f32", "offset": 8}, {"name": "sequence", "type": "u16", "offset": 12}, {"name": "flags", "type": "u8", "offset": 14, "bits": {"a": 0, "b": 1}}, {"name": "sync", "type": "bytes", "offset": 16, "size": 4}, {"name": "pressure", "type": "i16", "offset": 20, "scale": 0.1}]}
 
 
 def log(n):
@@ -37,12 +39,59 @@ def test_records(spark, path):
     assert len(got) == 200 and got[0].sequence == 10
     with pytest.raises(ValueError):
         B.page(df, 0, 1, ["nothing"])
-    layout = B.parse(SPEC)
-    report = B.report(df, layout, len(log(3000)), 3000)
-    assert report["ok"] and report["count"] == 3000
-    moved = B.parse({**SPEC, "header_size": 68, "header_fields": []})
-    assert not B.report(B.read(spark, path, {**SPEC, "header_size": 68, "header_fields": []}), moved, len(log(3000)))["ok"]
-    assert B.header_values(log(3), layout) == {"magic": "DLOG", "declared": 3}
+    assert B.warnings(spark, path, SPEC).collect() == []
+    assert B.headers(spark, path, SPEC).first()[1:] == (64 + 32 * 3000, 3000, 3000, 0, [], "DLOG", 3000)
+    moved = {r.warning for r in B.warnings(spark, path, {**SPEC, "header": 68, "header_fields": []}).collect()}
+    assert "28 bytes are left after the last record" in moved and "time goes backwards" in moved
+    more = {r.warning for r in B.warnings(spark, path, {**SPEC, "count": 4000, "fields": [*SPEC["fields"], {"name": "x", "type": "u16", "offset": 21}]}).collect()}
+    assert {"4000 records are declared, 3000 fit", "pressure and x overlap"} <= more
+    assert B.header_values(log(3), B.parse(SPEC)) == {"magic": "DLOG", "declared": 3} and B.header_values(b"DLO", B.parse(SPEC))["declared"] == "past end of file"
+    hexes = B.byte_range(spark, path, 4090, 20).first()
+    assert hexes.hex == log(3000)[4090:4110].hex(" ") and hexes.length == 20
+    assert B.byte_range(spark, path, 10**6).first().length == 0
+
+
+def test_pruned_by_index_and_time(spark, path):
+    df = B.read(spark, path, SPEC, 100, times="timestamp", sorted_by="time")
+    assert df.rdd.getNumPartitions() == 30
+    some = df.where("index >= 250 and index < 420")
+    assert some.rdd.getNumPartitions() == 2 and some.count() == 170  # 250 to 349, 350 to 419
+    late = df.where("time >= timestamp'2023-11-15 06:00:00' and time <= timestamp'2023-11-15 06:10:00'")
+    assert late.rdd.getNumPartitions() == 1 and late.count() == 61
+    assert df.where("time > timestamp'2030-01-01'").count() == 0
+
+
+def test_written_and_read_back(spark, tmp_path):
+    spec = """
+    endian: big
+    record_size: 40
+    header: 16
+    header_fields: [{name: mark, type: str, offset: 0, size: 4}, {name: version, type: u16, offset: 6}]
+    fields:
+      - {name: id, type: u64, offset: 0}
+      - {name: at, type: i64, offset: 8, time: unix_ms}
+      - {name: v, type: i16, offset: 16, scale: 0.5, add: 3}
+      - {name: w, type: f32, offset: 18, scale: 2}
+      - {name: name, type: str, offset: 22, size: 10, encoding: utf-8}
+      - {name: raw, type: bytes, offset: 32, size: 3}
+      - {name: flags, type: u8, offset: 35, bits: {low: 0, high: 7}}
+    """
+    rows = [(Decimal(2**63 + i), 1_700_000_000_000 + i, i / 2 - 10, 0.1 * i, "é" * (i % 5), b"\x01\x02\xff", i, i // 30) for i in range(90)]
+    df = spark.createDataFrame(rows, "id decimal(20,0), ms long, v double, w double, name string, raw binary, flags int, device int").selectExpr("*", "timestamp_millis(ms) at")
+    folder = str(tmp_path / "out")
+    B.write(df.repartition(1).sortWithinPartitions("device", "id"), folder, spec, {"mark": "ABCD", "version": 7}, "device")
+    back = B.read(spark, folder, spec, times="timestamp")
+    got = {int(r.id) - 2**63: r for r in back.collect()}
+    assert len(got) == 90 and {r.path.rsplit("/", 1)[1].split("-")[0] for r in got.values()} == {"0", "1", "2"}
+    r = got[77]
+    assert (r.v, round(r.w, 5), r.name, r.raw, tuple(r.flags)) == (28.5, 7.7, "éé", "01 02 ff", (77, True, False)) and r["index"] == 17
+    assert back.selectExpr("unix_millis(at) m").agg({"m": "max"}).first()[0] == 1_700_000_000_089
+    assert [tuple(r)[2:5] + tuple(r)[6:] for r in B.headers(spark, folder, spec).collect()] == [(30, 30, 0, "ABCD", 7)] * 3
+    B.write(df.limit(5), folder, spec, mode="overwrite")
+    assert B.read(spark, folder, spec).count() == 5
+    for bad in (df.withColumn("v", F.lit(1e6)), df.withColumn("name", F.lit("x" * 11)), df.withColumn("flags", F.lit(None).cast("int")), df.drop("raw")):
+        with pytest.raises(Exception, match="v: a value|name: longer|flags: null|no columns"):
+            B.write(bad, str(tmp_path / "bad"), spec)
 
 
 def test_export(spark, path, tmp_path):
@@ -52,22 +101,42 @@ def test_export(spark, path, tmp_path):
     assert rows.count() == 3000 and rows.where("index = 0").first().flags.value == 3
 
 
-@pytest.mark.parametrize("change", [{"record_size": 0}, {"fields": []}, {"fields": [{"name": "x", "type": "u32", "offset": 30}]}, {"fields": [{"name": "x", "type": "u3", "offset": 0}]}, {"fields": [{"name": "x", "type": "u8", "offset": 0}, {"name": "x", "type": "u8", "offset": 1}]}, {"fields": [{"name": "x", "type": "f32", "offset": 0, "bits": [{"name": "a", "bit": 0}]}]}])
+@pytest.mark.parametrize("change", [{"record_size": 0}, {"fields": [], "header_fields": []}, {"fields": [{"name": "x", "type": "u32", "offset": 30}]}, {"fields": [{"name": "x", "type": "u3", "offset": 0}]}, {"fields": [{"name": "x", "type": "u8", "offset": 0}, {"name": "x", "type": "u8", "offset": 1}]}, {"fields": [{"name": "x", "type": "f32", "offset": 0, "bits": {"a": 0}}]}, {"header_size": 3}, {"fields": [{"name": "x", "type": "u8", "offset": 0, "colour": 1}]}, {"count": -1}, {"endian": "middle"}, {"fields": [{"name": "x", "type": "f32", "offset": 0, "time": "unix_s"}]}, {"fields": [{"name": "x", "type": "u8", "offset": 0, "size": 2}]}, {"record_size": None}])
 def test_bad_specs(change):
     with pytest.raises(ValueError):
         B.parse({**SPEC, **change})
 
 
-def test_unknown_files(spark):
-    a = np.frombuffer(log(3000), np.uint8)
-    assert B.record_length(a) == 32 and B.header_length(a, 32) == 64
-    found = {(f["offset"], f["what"].split()[0]) for f in B.field_guesses(a, 64, 32)}
-    assert {(0, "time"), (4, "float"), (8, "float"), (12, "counter")} <= found
-    noise = np.random.default_rng(0).integers(0, 256, 200_000, np.uint8)
-    assert B.record_length(noise) is None and B.entropy(noise) > 7.9
-    assert (12, "sensor number one", "ascii") in B.printable_runs(log(2))
-    df = spark.createDataFrame([(bytearray(log(3000)),)], "content binary")
-    assert B.look(df).first().look.record_size == 32
+def test_unknown_files(spark, path, tmp_path):
+    noise = np.random.default_rng(0).integers(0, 256, 300_000, np.uint8).tobytes()
+    long = b"x" * 70_000 + b"\0\0" + "wide enough".encode("utf-16-le")
+    odd = b"\1" * 65535 + "across blocks".encode("utf-16-le") + b"\1short\1" + b"123456"
+    for name, data in {"log": log(3000), "noise": noise, "big": bytes(5000) + log(20_000), "tiny": b"abc", "long": long, "odd": odd}.items():
+        (tmp_path / name).write_bytes(data)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    lengths = L.record_lengths(L.files(spark, str(tmp_path)))
+    got = {r.name: r for r in lengths.select(name, "*").collect()}
+    assert got["log"].record_size == 32 == got["big"].record_size and got["noise"].record_size is None and got["tiny"].record_size is None
+    assert got["log"].candidates[0].size % 32 == 0 and len(got["log"].candidates) == 5
+    for r in ("log", "noise"):
+        a = np.frombuffer(log(3000) if r == "log" else noise, np.uint8)
+        start = len(a) // 4 if len(a) > 4 * 65536 else 0
+        s = a[start : start + 65536]
+        rate = np.array([np.mean(s[:-p] == s[p:]) for p in range(1, 4097)])
+        assert got[r].baseline == round(float(np.median(rate)), 3)
+    heads = L.header_sizes(lengths)
+    assert {r.name: r.header_size for r in heads.select(name, "header_size").collect() if r.name in ("log", "big")} == {"log": 64, "big": 5064}
+    fields = {r.name: r for r in L.fields(lengths.join(heads, "path")).select(name, "*").collect()}
+    found = {(f.offset, f.type, f.endian, f.what) for f in fields["log"].findings}
+    assert {(0, "u32", "little", "timestamp"), (4, "f32", "little", "float"), (8, "f32", "little", "float"), (12, "u16", "little", "counter")} <= found
+    assert (15, 19, "07 aa 55 aa 55") in {(c.start, c.end, c.bytes) for c in fields["log"].constant}
+    noisy = {r.name: r for r in L.entropies(B.blocks(spark, str(tmp_path))).select(name, "*").collect()}
+    assert noisy["noise"].entropy > 7.9 and noisy["noise"].blocks == 5 and noisy["tiny"].entropy == round(float(np.log2(3)), 2)
+    runs = {(r.name, r.offset, len(r.text), r.encoding) for r in L.printable_runs(B.blocks(spark, str(tmp_path))).select(name, "*").collect()}
+    assert ("log", 12, 17, "ascii") in runs and ("long", 0, 70_000, "ascii") in runs and ("long", 70_002, 11, "utf-16-le") in runs
+    assert ("odd", 65535, 13, "utf-16-le") in runs and ("odd", len(odd) - 6, 6, "ascii") in runs and not any(n == "odd" and t == 5 for n, _, t, _ in runs)
+    looks = {r.name: r for r in L.overview(spark, str(tmp_path)).select(name, "*").collect()}
+    assert looks.keys() == {"log", "noise", "big", "tiny", "long", "odd"} and "record size 32, header 64, records 3000" in looks["log"].text and "no fixed record size" in looks["noise"].text
 
 
 def test_formats_and_encodings(spark, tmp_path):
