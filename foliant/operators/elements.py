@@ -167,59 +167,111 @@ def attach_captions(elements: DataFrame, pattern: str = CAPTION, most: float = 4
     return elements.select(*columns).groupBy("run_id", "page").applyInArrow(run, "run_id string, page int, seq int, type string, content string, bbox array<double>, caption string")
 
 
-def clusters(drawings: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """(page, bbox, n) of drawings (page, bbox) that are chained by distances of at most ``tolerance``.
+def side_edges(edges: DataFrame, least: float = 20.0, most: float = 400.0) -> DataFrame:
+    """(page, x, top, bottom): virtual borders for tables whose rules span the width but whose sides aren't drawn.
 
-    A page at a time: boxes are swept from the top, so each is compared with those still in reach.
+    edges: (page, orientation h or v, x0, x1, top, bottom). Horizontal rules of the same ends (halves of them, rounded)
+    are taken from the top; two that follow each other 2 to ``most`` apart get a border at either end of their group if
+    a vertical rule lies between them, away from the ends. Rules shorter than ``least`` don't count.
     """
+    ends = [F.bround(F.col(x) / 2, 0) for x in ("x0", "x1")]
+    rules = edges.where((F.col("orientation") == "h") & (F.col("x1") - F.col("x0") >= least)).select("page", "x0", "x1", "top", ends[0].alias("k0"), ends[1].alias("k1"))
+    same = Window.partitionBy("page", "k0", "k1")
+    pairs = rules.select("page", F.min("x0").over(same).alias("x0"), F.max("x1").over(same).alias("x1"), F.lag("top").over(same.orderBy("top")).alias("top"), F.col("top").alias("bottom"))
+    gap = F.col("bottom") - F.col("top")
+    v = edges.where("orientation = 'v'").select(F.col("page").alias("_page"), F.col("x0").alias("_x"), F.col("top").alias("_top"), F.col("bottom").alias("_bottom"))
+    between = (F.col("_x") > F.col("x0") + 2) & (F.col("_x") < F.col("x1") - 2) & (F.col("_top") < F.col("bottom") - 1) & (F.col("_bottom") > F.col("top") + 1)
+    held = pairs.where((gap > 2) & (gap <= most)).join(v, (F.col("page") == F.col("_page")) & between, "left_semi")
+    return held.select("page", F.explode(F.array("x0", "x1")).alias("x"), "top", "bottom")
+
+
+def real_grids(cells: DataFrame) -> DataFrame:
+    """Cells (grid, r, c, v) of grids that are tables: two rows and columns at least, and some text."""
+    of_rows = cells.groupBy("grid", "r").agg(F.count(F.lit(1)).alias("n"), F.max(F.length(F.trim(F.coalesce("v", F.lit(""))))).alias("most"))
+    fine = of_rows.groupBy("grid").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("columns"), F.max("most").alias("most")).where("rows >= 2 and columns >= 2 and most > 0")
+    return cells.join(fine.select("grid"), "grid", "left_semi")
+
+
+def _closed(boxes: list[tuple]) -> list[tuple]:
+    """Boxes (x0, y0, x1, y1, n) joined, and what they join to, until none is within reach of another."""
+    import numpy as np
+
+    at, n, used = np.zeros((len(boxes), 4)), np.zeros(len(boxes), np.int64), 0
+    for *box, count in boxes:
+        box = np.array(box)
+        while True:
+            known = at[:used]
+            near = (known[:, 0] <= box[2]) & (box[0] <= known[:, 2]) & (known[:, 1] <= box[3]) & (box[1] <= known[:, 3])
+            if not near.any():
+                break
+            box = np.concatenate([np.minimum(known[near, :2].min(0), box[:2]), np.maximum(known[near, 2:].max(0), box[2:])])
+            count += int(n[:used][near].sum())
+            left = used - int(near.sum())
+            at[:left], n[:left], used = known[~near], n[:used][~near], left
+        at[used], n[used], used = box, count, used + 1
+    return [(*map(float, b), int(c)) for b, c in zip(at[:used], n[:used])]
+
+
+#: Height of the strips of a page that are joined apart first.
+STRIP = 64.0
+
+
+def clusters(drawings: DataFrame, pages: DataFrame, tolerance: float = 3.0, thin: bool = False) -> DataFrame:
+    """(page, bbox, n): drawings (page, bbox) within ``tolerance`` of each other, or of what others have become together.
+
+    Two boxes that are near become the box around both, which may reach more; what remains doesn't depend on the order.
+    Only drawings inside their page (page, width, height) count, and clusters no wider or no taller than the tolerance
+    (rules, underlines) go unless ``thin``. Strips of a page are joined first, so a page of very many paths is shared
+    out and its last step has clusters only.
+    """
+    names = ("x0", "y0", "x1", "y1")
+    boxes = drawings.join(pages, "page").select("page", "width", "height", *(F.col("bbox")[i].alias(x) for i, x in enumerate(names)))
+    inside = boxes.where("x0 >= 0 and y0 >= 0 and x1 <= width and y1 <= height")
+    reach = tolerance / 2  # on either side of each box
+    grown = inside.select("page", F.floor(F.col("y0") / STRIP).alias("strip"), *((F.col(x) + (reach if x[1] == "1" else -reach)).alias(x) for x in names), F.lit(1).cast("long").alias("n"))
+    out = "page long, x0 double, y0 double, x1 double, y1 double, n long"
 
     def run(table: pa.Table) -> pa.Table:
-        boxes = sorted(tuple(b) for b in table.column("bbox").to_pylist())
-        boxes.sort(key=lambda b: b[1])
-        parent = list(range(len(boxes)))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        reach: list[int] = []
-        for i, b in enumerate(boxes):
-            reach = [j for j in reach if boxes[j][3] + tolerance >= b[1]]
-            for j in reach:
-                a = boxes[j]
-                if a[0] - tolerance <= b[2] and b[0] - tolerance <= a[2]:
-                    parent[root(i)] = root(j)
-            reach.append(i)
-        groups: dict[int, list] = {}
-        for i, b in enumerate(boxes):
-            groups.setdefault(root(i), []).append(b)
-        page = table.column("page")[0].as_py()
-        out = [{"page": page, "bbox": [min(b[0] for b in g), min(b[1] for b in g), max(b[2] for b in g), max(b[3] for b in g)], "n": len(g)} for g in groups.values()]
-        return pa.Table.from_pylist(out, pa.schema([("page", pa.int32()), ("bbox", pa.list_(pa.float64())), ("n", pa.int32())]))
-
-    return drawings.select("page", "bbox").groupBy("page").applyInArrow(run, "page int, bbox array<double>, n int")
-
-
-def merged_regions(regions: DataFrame, share: float = 0.5, most: int = 4) -> DataFrame:
-    """Figure regions (page, bbox), the largest first; one that a larger covers by over a share joins it."""
+        rows = sorted(zip(*(table.column(x).to_pylist() for x in (*names, "n"))), key=lambda b: (b[3], b[0]))
+        columns = list(zip(*_closed(rows)))
+        return pa.Table.from_arrays([pa.array([table.column("page")[0].as_py()] * len(columns[0]), pa.int64()), *(pa.array(x) for x in columns)], ["page", *names, "n"])
 
-    def run(table: pa.Table) -> pa.Table:
-        size = lambda b: max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1])
-        kept: list[list[float]] = []
-        for b in sorted(table.column("bbox").to_pylist(), key=lambda b: (-size(b), b)):
-            for k in kept:
-                cut = size([max(b[0], k[0]), max(b[1], k[1]), min(b[2], k[2]), min(b[3], k[3])])
-                if size(b) and cut / size(b) > share:
-                    k[:] = [min(b[0], k[0]), min(b[1], k[1]), max(b[2], k[2]), max(b[3], k[3])]
-                    break
-            else:
-                kept.append(list(b))
-        page = table.column("page")[0].as_py()
-        return pa.Table.from_pylist([{"page": page, "bbox": k} for k in kept[:most]], pa.schema([("page", pa.int32()), ("bbox", pa.list_(pa.float64()))]))
-
-    return regions.select("page", "bbox").groupBy("page").applyInArrow(run, "page int, bbox array<double>")
+    grown = grown.withColumn("page", F.col("page").cast("long"))
+    part = grown.groupBy("page", "strip").applyInArrow(run, out)
+    whole = part.groupBy("page").applyInArrow(run, out)
+    made = whole.select("page", *(F.round(F.col(x) - (reach if x[1] == "1" else -reach), 9).alias(x) for x in names), "n")
+    kept = made if thin else made.where((F.col("x1") - F.col("x0") > tolerance) & (F.col("y1") - F.col("y0") > tolerance))
+    return kept.select("page", F.array(*names).alias("bbox"), "n")
+
+
+def figure_regions(images: DataFrame, drawn: DataFrame, tables: DataFrame, pages: DataFrame, least: float, most: int) -> DataFrame:
+    """(page, bbox, source, area_ratio) of figures: images and clusters of drawings (page, bbox), large enough ones.
+
+    Boxes are clipped to their page (page, width, height) and take ``least`` of its area; clusters that a table (page,
+    bbox) covers by over half are its rules. From the largest on, a box joins the first region that it overlaps at all,
+    which grows to hold it; otherwise it begins one. The first ``most`` regions stay, boxes rounded to 0.1. Equal areas:
+    images first, then by their corners.
+    """
+    def clipped(boxes: DataFrame, source: str) -> DataFrame:
+        placed = boxes.select("page", "bbox").join(pages, "page")
+        cut = G.clipped(F.col("bbox"), F.col("width"), F.col("height"))
+        whole = F.col("width") * F.col("height")
+        return placed.select("page", cut.alias("bbox"), F.lit(source).alias("source"), F.when(whole > 0, whole).otherwise(1.0).alias("whole")).where(G.area(F.col("bbox")) / F.col("whole") >= least)
+
+    both = clipped(images, "image").unionByName(without_covered(clipped(drawn, "drawing"), tables))
+    order = F.struct((-G.area(F.col("bbox"))).alias("a"), (F.col("source") != "image").alias("s"), "bbox", "source")
+    each = both.groupBy("page").agg(F.first("whole").alias("whole"), F.array_sort(F.collect_list(order)).alias("found"))
+    none = F.array().cast("array<struct<bbox:array<double>,source:string>>")
+
+    def taken(regions: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(regions, lambda m: (F.least(m["bbox"][2], x["bbox"][2]) > F.greatest(m["bbox"][0], x["bbox"][0])) & (F.least(m["bbox"][3], x["bbox"][3]) > F.greatest(m["bbox"][1], x["bbox"][1]))), True)
+        source = lambda m: F.when(F.contains(m["source"], x["source"]), m["source"]).otherwise(F.concat(m["source"], F.lit("+"), x["source"]))
+        grown = F.transform(regions, lambda m, i: F.when(i + 1 == at, F.struct(G.union(m["bbox"], x["bbox"]).alias("bbox"), source(m).alias("source"))).otherwise(m))
+        return F.when(at > 0, grown).otherwise(F.array_append(regions, F.struct(x["bbox"].alias("bbox"), x["source"].alias("source"))))
+
+    regions = each.select("page", "whole", F.explode(F.slice(F.aggregate("found", none, taken), 1, most)).alias("r"))
+    box = G.rounded(F.col("r.bbox"))
+    return regions.select("page", box.alias("bbox"), "r.source", F.round(G.area(box) / F.col("whole"), 3).alias("area_ratio"))
 
 
 def filled_cells(cells: DataFrame) -> DataFrame:

@@ -156,3 +156,103 @@ def answer_texts(spark, sf_dir):
     rows = F.concat(F.repeat(F.lit("| x "), F.col("turn").cast("int") % 4 + 1), F.lit("|\n"), F.repeat(F.lit("| --- "), F.lit(9)), F.lit("|\na | b | c | d | e | f"))
     share = F.round(T.printable_share(F.concat("text", F.char(F.lit(1)), F.char(F.lit(9)))), 6)
     return c.select("conv_id", "turn", figure["kind"].alias("kind"), F.md5(figure["body"].cast("binary")).alias("body"), found["a"].alias("a"), found["b"].alias("b"), T.without_prefix(upload).alias("name"), share.alias("printable"), T.table_columns(rows).alias("columns"))
+
+
+_EDGES = """e as (select l_orderkey // 256 as page, case when l_returnflag = 'R' then 'v' else 'h' end as orientation,
+  case when l_returnflag = 'R' then (l_partkey % 150)::double else l_suppkey % 4 * 40 + l_linenumber % 2 * 0.5::double end as x0,
+  case when l_returnflag = 'R' then (l_partkey % 150)::double else l_suppkey % 4 * 40 + l_linenumber % 2 * 0.5::double + case l_partkey % 7 when 0 then 12 when 1 then 90 else 70 end end as x1,
+  (l_partkey * 13 % 8000 / 2)::double as top, l_partkey * 13 % 8000 / 2 + case when l_returnflag = 'R' then l_quantity::double else 0 end as bottom from lineitem)"""
+
+
+@query(
+    f"""with {_EDGES}, r as (select *, round_even(x0 / 2, 0) as k0, round_even(x1 / 2, 0) as k1 from e where orientation = 'h' and x1 - x0 >= 20),
+    p as (select page, min(x0) over (partition by page, k0, k1) as x0, max(x1) over (partition by page, k0, k1) as x1, lag(top) over (partition by page, k0, k1 order by top) as top, top as bottom from r),
+    k as (select * from p where bottom - top > 2 and bottom - top <= 400 and exists (select 1 from e v where v.orientation = 'v' and v.page = p.page and v.x0 > p.x0 + 2 and v.x0 < p.x1 - 2 and v.top < p.bottom - 1 and v.bottom > p.top + 1))
+    select page, unnest([x0, x1]) as x, top, bottom from k"""
+)
+def table_side_edges(spark, sf_dir):
+    """Line items as rules of a page: returned ones are vertical, the others horizontal with a few different ends."""
+    part, upright = F.col("l_partkey"), F.col("l_returnflag") == "R"
+    left = F.when(upright, part % 150).otherwise(F.col("l_suppkey") % 4 * 40 + F.col("l_linenumber") % 2 * 0.5)
+    wide = F.when(part % 7 == 0, 12).when(part % 7 == 1, 90).otherwise(70)
+    top = part * 13 % 8000 / 2
+    edges = table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 256).alias("page"), F.when(upright, "v").otherwise("h").alias("orientation"), left.cast("double").alias("x0"), F.when(upright, left).otherwise(left + wide).cast("double").alias("x1"),
+        top.cast("double").alias("top"), (top + F.when(upright, F.col("l_quantity").cast("double")).otherwise(0.0)).alias("bottom"),
+    )
+    return E.side_edges(edges)
+
+
+@query(
+    """with c as (select l_orderkey as grid, l_suppkey % 3 as r, l_linenumber as c, case when l_partkey % 3 = 0 then null when l_partkey % 3 = 1 then '  ' else l_returnflag end as v from lineitem),
+    g as (select grid, count(distinct r) as rows, max(n) as columns, bool_or(t) as t from (select grid, r, count(*) as n, bool_or(trim(coalesce(v, '')) <> '') as t from c group by grid, r) group by grid)
+    select grid, count(*) as cells, count(nullif(trim(v), '')) as filled from c join g using (grid) where rows >= 2 and columns >= 2 and t group by grid"""
+)
+def table_grids(spark, sf_dir):
+    """Orders as grids: those with one row, one column or no text aren't tables."""
+    part = F.col("l_partkey") % 3
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("grid"), (F.col("l_suppkey") % 3).alias("r"), F.col("l_linenumber").alias("c"), F.when(part == 1, "  ").when(part == 2, F.col("l_returnflag")).alias("v"))
+    return E.real_grids(cells).groupBy("grid").agg(F.count(F.lit(1)).alias("cells"), F.count(F.nullif(F.trim("v"), F.lit(""))).alias("filled"))
+
+
+#: A page of drawings: its size, and how many orders' line items it holds.
+_SHEET, _ORDERS = (200.0, 280.0), 48
+_PATHS = f"""d as (select row_number() over () as id, l_orderkey // {_ORDERS} as page, l_partkey * 7 % 203 + 0.25 as x0, l_suppkey * 31 % 283 + 0.5 as y0, l_partkey * 7 % 203 + 0.25 + l_quantity::double % 13 as x1,
+  l_suppkey * 31 % 283 + 0.5 + l_linenumber * 2 as y1, l_partkey % 7 as mode from lineitem)"""
+_CLUSTERS = f"""t as (select id, page, x0, y0, x1, y1, 0 as step, true as moved from d where x1 <= {_SHEET[0]} and y1 <= {_SHEET[1]}
+  union all select a.id, a.page, min(b.x0), min(b.y0), max(b.x1), max(b.y1), any_value(a.step) + 1, min(b.x0) < any_value(a.x0) or min(b.y0) < any_value(a.y0) or max(b.x1) > any_value(a.x1) or max(b.y1) > any_value(a.y1)
+    from t a join t b on a.page = b.page and b.x0 <= a.x1 + 3 and a.x0 <= b.x1 + 3 and b.y0 <= a.y1 + 3 and a.y0 <= b.y1 + 3 where (select bool_or(moved) from t) group by a.id, a.page),
+c as (select page, x0, y0, x1, y1, count(*) as n from t where step = (select max(step) from t) group by page, x0, y0, x1, y1)"""
+
+
+def _paths(spark, sf_dir):
+    x, y = F.col("l_partkey") * 7 % 203 + 0.25, F.col("l_suppkey") * 31 % 283 + 0.5
+    corners = (x, y, x + F.col("l_quantity").cast("double") % 13, y + F.col("l_linenumber") * 2)
+    return table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / _ORDERS).alias("page"), (F.col("l_partkey") % 7).alias("mode"), F.array(*(c.cast("double") for c in corners)).alias("bbox"))
+
+
+def _sheets(paths):
+    return paths.select("page").distinct().select("page", F.lit(_SHEET[0]).alias("width"), F.lit(_SHEET[1]).alias("height"))
+
+
+@query(f"with recursive {_PATHS}, {_CLUSTERS} select page, x0, y0, x1, y1, n from c where x1 - x0 > 3 and y1 - y0 > 3")
+def drawing_clusters(spark, sf_dir):
+    """Line items as paths of pages: what lies within 3 points becomes one box, again and again."""
+    d = _paths(spark, sf_dir)
+    return E.clusters(d, _sheets(d)).select("page", *(F.col("bbox")[i].alias(x) for i, x in enumerate(("x0", "y0", "x1", "y1"))), "n")
+
+
+@query(f"with {_PATHS} select page, count(*) as paths, min(x0) as x0, max(y1) as y1 from d where x1 <= {_SHEET[0]} and y1 <= {_SHEET[1]} group by page")
+def drawing_totals(spark, sf_dir):
+    """Clusters lose no path: their sums by page, thin ones included."""
+    d = _paths(spark, sf_dir)
+    made = E.clusters(d, _sheets(d), thin=True)
+    return made.groupBy("page").agg(F.sum("n").alias("paths"), F.min(F.col("bbox")[0]).alias("x0"), F.max(F.col("bbox")[3]).alias("y1"))
+
+
+_AREA = "greatest(0, {b}[3] - {b}[1]) * greatest(0, {b}[4] - {b}[2])"
+_CUT = f"[greatest(0.0, least(x0, {_SHEET[0]})), greatest(0.0, least(y0, {_SHEET[1]})), greatest(0.0, least(x1, {_SHEET[0]})), greatest(0.0, least(y1, {_SHEET[1]}))]"
+_MET = "least(m.b[3], x.b[3]) > greatest(m.b[1], x.b[1]) and least(m.b[4], x.b[4]) > greatest(m.b[2], x.b[2])"
+_JOINED = "{'b': [least(m.b[1], x.b[1]), least(m.b[2], x.b[2]), greatest(m.b[3], x.b[3]), greatest(m.b[4], x.b[4])], 's': case when contains(m.s, x.s) then m.s else m.s || '+' || x.s end}"
+
+
+@query(
+    f"""with recursive {_PATHS}, {_CLUSTERS},
+    i as (select page, {_CUT} as b, 'image' as s from (select page, x0 - 4 as x0, y0 - 4 as y0, x1 + 9 as x1, y1 + 9 as y1 from d where mode = 0)),
+    g as (select page, {_CUT} as b, 'drawing' as s from c where x1 - x0 > 3 and y1 - y0 > 3),
+    w as (select page, [x0 - 2, y0 - 2, x1 + 30, y1 + 5] as w from d where mode = 1),
+    f as (select * from i union all select * from g where not exists (select 1 from w where w.page = g.page and {_AREA.format(b='[greatest(b[1], w[1]), greatest(b[2], w[2]), least(b[3], w[3]), least(b[4], w[4])]')} > 0.5 * {_AREA.format(b='b')})),
+    o as (select page, list({{'b': b, 's': s}} order by -({_AREA.format(b='b')}), s <> 'image', b) as x from f where {_AREA.format(b='b')} / {_SHEET[0] * _SHEET[1]} >= 0.004 group by page),
+    r as (select page, x, 2 as k, [x[1]] as regions from o
+      union all select page, list_of, k + 1, case when pos is null or pos = 0 then list_append(regions, x) else list_transform(regions, lambda m, i: case when i = pos then {_JOINED} else m end) end
+      from (select page, r.x as list_of, r.x[k] as x, k, regions, list_position(list_transform(regions, lambda m: (least(m.b[3], r.x[k].b[3]) > greatest(m.b[1], r.x[k].b[1]) and least(m.b[4], r.x[k].b[4]) > greatest(m.b[2], r.x[k].b[2]))), true) as pos from r where k <= len(r.x))),
+    z as (select page, unnest(regions[1:4]) as m from r where k = len(x) + 1)
+    select page, round_even(m.b[1], 1) as x0, round_even(m.b[2], 1) as y0, round_even(m.b[3], 1) as x1, round_even(m.b[4], 1) as y1, m.s as source,
+      round((round_even(m.b[3], 1) - round_even(m.b[1], 1)) * (round_even(m.b[4], 1) - round_even(m.b[2], 1)) / {_SHEET[0] * _SHEET[1]}, 3) as area_ratio from z"""
+)
+def figure_regions(spark, sf_dir):
+    """Images and clusters of drawings that are figures; those under tables are rules, overlapping ones grow together."""
+    d = _paths(spark, sf_dir)
+    wider = lambda mode, *by: d.where(F.col("mode") == mode).select("page", F.array(*(F.col("bbox")[i] + by[i] for i in range(4))).alias("bbox"))
+    made = E.figure_regions(wider(0, -4, -4, 9, 9), E.clusters(d, _sheets(d)), wider(1, -2, -2, 30, 5), _sheets(d), 0.004, 4)
+    return made.select("page", *(F.col("bbox")[i].alias(x) for i, x in enumerate(("x0", "y0", "x1", "y1"))), "source", "area_ratio")

@@ -157,6 +157,13 @@ def _micros(v: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
     return np.where(fine, x, 0) * (1_000_000 // a_second), fine
 
 
+def iso_times(v: np.ndarray, unit: str) -> list[str]:
+    """ISO times, with microseconds where there are any."""
+    micros, fine = _micros(v, unit)
+    shown = np.datetime_as_string(micros.astype("datetime64[us]"))
+    return [f"{t.removesuffix('.000000')}Z" if ok else f"invalid time {x}" for t, ok, x in zip(shown, fine, v.tolist())]
+
+
 def column(f: Field, raw: np.ndarray, times: str = "string") -> pa.Array:
     """A field's values of records given as rows of bytes.
 
@@ -170,11 +177,10 @@ def column(f: Field, raw: np.ndarray, times: str = "string") -> pa.Array:
         return pa.array([x.tobytes().split(b"\0", 1)[0].decode(f.encoding, "replace") for x in part], pa.string())
     v = part.view(f.dtype).ravel()
     if f.time:
-        micros, fine = _micros(v, f.time)
         if times == "timestamp":
+            micros, fine = _micros(v, f.time)
             return pa.array(micros, pa.int64(), mask=~fine).cast(pa.timestamp("us", "UTC"))
-        shown = np.datetime_as_string(micros.astype("datetime64[us]"))
-        return pa.array([f"{t.removesuffix('.000000')}Z" if ok else f"invalid time {x}" for t, ok, x in zip(shown, fine, v.tolist())], pa.string())
+        return pa.array(iso_times(v, f.time), pa.string())
     plain = pa.array(v.tolist(), _ARROW[NUMERIC[f.kind][1]]) if f.kind == "u64" else pa.array(v.astype(v.dtype.newbyteorder("=")).astype(_ARROW[NUMERIC[f.kind][1]].to_pandas_dtype()))
     if f.bits:
         return pa.StructArray.from_arrays([plain, *(pa.array((v >> np.array(b, v.dtype.newbyteorder("="))) & 1 == 1) for _, b in f.bits)], ["value", *(n for n, _ in f.bits)])

@@ -7,7 +7,7 @@ from foliant.functions import geometry as G
 from foliant.functions import text as T
 from foliant.operators import elements as E
 from foliant.operators import evaluation as X
-from foliant.sources.records import _times
+from foliant.sources.records import iso_times
 
 
 def one(spark, *columns):
@@ -54,11 +54,49 @@ def test_spatial_joins_and_features(spark):
     assert (r[0].text_chars, r[0].text_area_ratio, r[0].images, r[0].image_area_ratio, r[1].text_chars, r[1].images) == (40, 0.5, 1, 0.5, 0, 0)
 
 
-def test_clusters_and_regions(spark):
-    d = spark.createDataFrame([(0, [float(x) for x in b]) for b in ([0, 0, 5, 5], [7, 0, 9, 5], [50, 50, 60, 60], [0, 7, 3, 9])], "page int, bbox array<double>")
-    assert sorted(r.n for r in E.clusters(d).collect()) == [1, 3]
-    r = spark.createDataFrame([(0, [float(x) for x in b]) for b in ([0, 0, 50, 50], [10, 10, 30, 60], [90, 90, 99, 99])], "page int, bbox array<double>")
-    assert sorted(x.bbox for x in E.merged_regions(r).collect()) == [[0.0, 0.0, 50.0, 60.0], [90.0, 90.0, 99.0, 99.0]]
+def closure(boxes, tolerance=3.0):
+    """Any two boxes in reach become one, until none is."""
+    boxes = [(*b, 1) for b in boxes]
+    while True:
+        pair = next(((i, j) for i in range(len(boxes)) for j in range(i) if all(boxes[i][k] <= boxes[j][k + 2] + tolerance and boxes[j][k] <= boxes[i][k + 2] + tolerance for k in (0, 1))), None)
+        if pair is None:
+            return boxes
+        a, b = boxes[pair[0]], boxes[pair[1]]
+        boxes = [x for n, x in enumerate(boxes) if n not in pair] + [(min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4])]
+
+
+def test_clusters_grow(spark):
+    import random
+
+    rng = random.Random(2)
+    pages = spark.createDataFrame([(p, 300.0, 300.0) for p in range(8)], "page int, width double, height double")
+    drawn = []
+    for p in range(8):
+        for _ in range(rng.randrange(1, 90)):
+            x, y = rng.randrange(-2, 300), rng.randrange(-2, 300)
+            drawn.append((p, [float(x), float(y), x + float(rng.randrange(0, 25)), y + float(rng.randrange(0, 25))]))
+    inside = lambda b: b[0] >= 0 and b[1] >= 0 and b[2] <= 300 and b[3] <= 300
+    want = sorted((p, *c) for p in range(8) for c in closure([tuple(b) for q, b in drawn if q == p and inside(b)]) if c[2] - c[0] > 3 and c[3] - c[1] > 3)
+    got = sorted((r.page, *r.bbox, r.n) for r in E.clusters(spark.createDataFrame(drawn, "page int, bbox array<double>"), pages).collect())
+    assert got == want
+    chain = spark.createDataFrame([(0, [0.0, 0.0, 5.0, 5.0]), (0, [20.0, 20.0, 25.0, 25.0]), (0, [4.0, 4.0, 18.0, 18.0]), (0, [0.0, 40.0, 60.0, 41.0])], "page int, bbox array<double>")
+    assert [(r.bbox, r.n) for r in E.clusters(chain, pages).collect()] == [([0.0, 0.0, 25.0, 25.0], 3)]
+
+
+def test_regions_and_edges(spark):
+    def boxes(*some):
+        return spark.createDataFrame([(0, [float(x) for x in b]) for b in some], "page int, bbox array<double>")
+
+    pages = spark.createDataFrame([(0, 100.0, 100.0)], "page int, width double, height double")
+    images, drawn, tables = boxes([-10, 0, 50, 50], [90, 90, 99, 99], [60, 0, 61, 1]), boxes([49, 49, 70, 70], [10, 80, 40, 99], [69, 69, 72, 72]), boxes([0, 75, 45, 100])
+    got = [(r.bbox, r.source, r.area_ratio) for r in E.figure_regions(images, drawn, tables, pages, 0.0008, 9).collect()]
+    assert got == [([0.0, 0.0, 72.0, 72.0], "image+drawing", 0.518), ([90.0, 90.0, 99.0, 99.0], "image", 0.008)]
+    assert E.figure_regions(images, drawn, tables, pages, 0.0008, 1).count() == 1
+    rules = [("h", 10.0, 110.0, 0.0, 0.0), ("h", 10.6, 110.4, 50.0, 50.0), ("h", 10.0, 110.0, 500.0, 500.0), ("h", 10.0, 110.0, 501.0, 501.0), ("h", 10.0, 20.0, 30.0, 30.0), ("v", 60.0, 60.0, 10.0, 40.0), ("v", 60.0, 60.0, 450.0, 900.0), ("h", 200.0, 300.0, 0.0, 0.0), ("h", 200.0, 300.0, 40.0, 40.0)]
+    edges = spark.createDataFrame([(0, *r) for r in rules], "page int, orientation string, x0 double, x1 double, top double, bottom double")
+    assert sorted(tuple(r) for r in E.side_edges(edges).collect()) == [(0, 10.0, 0.0, 50.0), (0, 110.4, 0.0, 50.0)]
+    cells = spark.createDataFrame([("a", 0, 0, "x"), ("a", 0, 1, None), ("a", 1, 0, None), ("b", 0, 0, "x"), ("b", 0, 1, "y"), ("c", 0, 0, " "), ("c", 0, 1, None), ("c", 1, 1, "")], "grid string, r int, c int, v string")
+    assert {r.grid for r in E.real_grids(cells).collect()} == {"a"}
 
 
 def test_hints_notes_answers_grids(spark):
@@ -91,8 +129,8 @@ def test_times_like_datetime(spark):
     got = spark.createDataFrame([(v,) for v in seconds + far], "v long").select("v", T.iso_time(F.col("v")).alias("t"), T.iso_time(F.col("v") * 1000 + 7, True).alias("m")).collect()
     assert {r.v: r.t for r in got} == {v: python(v) for v in seconds} | {v: f"invalid time {v}" for v in far}
     assert {r.m for r in got if r.v in (0, -5)} == {"1970-01-01T00:00:00.007000Z", "1969-12-31T23:59:55.007000Z"}
-    assert _times(np.array(seconds + far), False) == [python(v) for v in seconds] + [f"invalid time {v}" for v in far]
-    assert _times(np.array([1500, -1]), True) == ["1970-01-01T00:00:01.500000Z", "1969-12-31T23:59:59.999000Z"]
+    assert iso_times(np.array(seconds + far), "unix_s") == [python(v) for v in seconds] + [f"invalid time {v}" for v in far]
+    assert iso_times(np.array([1500, -1]), "unix_ms") == ["1970-01-01T00:00:01.500000Z", "1969-12-31T23:59:59.999000Z"]
 
 
 def test_page_checks(spark):
