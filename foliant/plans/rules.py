@@ -88,9 +88,44 @@ def budget(spark, sf_dir):
     return docs.select("doc_id", "b.target", "b.overlap", "b.least", R.characters_per_token(F.col("n_chars"), F.ceil(F.col("n_chars") / 2.2)).alias("per_token"))
 
 
-@query()
+#: Rules whose thresholds are fitted, in order.
+_FITTED = [
+    {"id": "vector_drawings", "label": "diagram", "when": {"min_drawings": 120}},
+    {"id": "table_share", "label": "table", "when": {"min_table_area_ratio": 0.3, "max_text_chars": 900}},
+    {"id": "text_rich", "label": "text", "when": {"min_text_chars": 200}},
+]
+_TRUTH = "case when drawings >= 40 and doc_id % 9 <> 0 then 'diagram' when table_area_ratio >= 0.05 and text_chars <= 2000 and doc_id % 7 <> 0 then 'table' when text_chars >= 900 then 'text' else 'mixed' end"
+
+
+def _fitted_sql(passes: int) -> str:
+    """Every midpoint against every page, threshold after threshold: a table for each, with all thresholds so far."""
+    keys = [(i, k) for i, r in enumerate(_FITTED) for k in r["when"]]
+    named = {x: f"t{n}" for n, x in enumerate(keys)}
+    cond = lambda i, k, t: f"{k[4:]} {'>=' if k.startswith('min_') else '<='} {t}"
+
+    def label(at=None, key=None, to="c"):
+        cases = [f"when {' and '.join(cond(i, k, to if (i, k) == (at, key) else named[i, k]) for k in r['when'])} then '{r['label']}'" for i, r in enumerate(_FITTED)]
+        return f"case {' '.join(cases)} else '{R.DEFAULT[1]}' end"
+
+    all_names = list(named.values())
+    first = ", ".join(f"{float(_FITTED[i]['when'][k])}::double as {named[i, k]}" for i, k in keys)
+    out = [f"s0 as (select {first}, (select count(*) filter ({label()} = truth) from p, (select {first})) as best)"]
+    step = 0
+    for _ in range(passes):
+        for i, k in keys:
+            name, now = k[4:], named[i, k]
+            tries = f"select distinct c, abs(c - {now}) as far from (select (v + lag(v) over (order by v)) / 2 as c from (select distinct {name}::double as v from p)), s{step} where c is not null union select {now}, 0.0::double from s{step}"
+            scored = f"select round_even(raw.c, 4) as c, far, raw.c as raw, (select count(*) filter ({label(i, k, 'round_even(raw.c, 4)')} = truth) from p) as n from ({tries}) raw, s{step}"
+            rest = ", ".join(f"s.{x}" for x in all_names if x != now)
+            out.append(f"s{step + 1} as (select {rest}, case when z.n > s.best then z.c else s.{now} end as {now}, greatest(z.n, s.best) as best from s{step} s, (select * from ({scored}) order by n desc, far, raw limit 1) z)")
+            step += 1
+    rows = " union all ".join(f"select '{_FITTED[i]['id']}' as rule_id, '{k}' as condition, {named[i, k]} as threshold, best / (select count(*) from p)::double as accuracy from s{step}" for i, k in keys)
+    return f"with {_FEATURES}, p as (select *, {_TRUTH} as truth from feat), {', '.join(out)} {rows}"
+
+
+@query(_fitted_sql(1))
 def threshold_sweep(spark, sf_dir):
-    """Thresholds fitted to labels that differ from the rules', and the accuracy reached."""
-    pages = features(spark, sf_dir).withColumn("truth", F.when(F.col("text_chars") >= 900, "text").otherwise("mixed"))
-    rules, best = R.sweep(pages, [{"id": "text_rich", "label": "text", "when": {"min_text_chars": 200}}], "truth", 1)
-    return spark.createDataFrame([(rules[0]["id"], float(rules[0]["when"]["min_text_chars"]), float(best))], "rule_id string, threshold double, accuracy double")
+    """Thresholds of three rules fitted to labels that differ from theirs, and the accuracy reached after a pass."""
+    rules, best = R.sweep(features(spark, sf_dir).withColumn("truth", F.expr(_TRUTH)), _FITTED, "truth", 1)
+    rows = [(r["id"], k, float(v), best) for r in rules for k, v in r["when"].items()]
+    return spark.createDataFrame(rows, "rule_id string, condition string, threshold double, accuracy double")
