@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliant.plans.registry import query, table
+from foliant.plans.registry import query, scratch, table
 from foliant.streaming import events as V
+from foliant.streaming import follow as L
+from foliant.streaming import queue as Q
 
 
-def _drained(spark, stream, mode):
+def _drained(spark, stream, mode, path=None):
     """What a stream has made, as a table in the shared folder: the file sink's, or the last whole result."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/foliant").rstrip("/")
-    path = f"{root}/foliant-stream-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "stream")
     to = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         to = to.format("parquet").option("path", f"{path}/rows")
@@ -48,3 +49,79 @@ def stream_daily_counts(spark, sf_dir):
     e = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     made = _drained(spark, V.windowed(e, "1 day", None, "1 day", ["event_type"]), "complete")
     return made.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+
+
+@contextmanager
+def _keyed_state(spark):
+    """Keyed state with lists and timers needs the state store of RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@query(
+    """with e as (select user_id::varchar as run_id, event_id, case event_type when 'purchase' then 'run_finished' else event_type end as type from events where event_id > 100),
+    f as (select run_id, min(event_id) filter (type = 'run_finished') as last from e group by run_id)
+    select run_id, event_id, type from e join f using (run_id) where last is null or event_id <= last"""
+)
+def stream_follow(spark, sf_dir):
+    """Events after a cursor, each run up to its end, in two sittings: the log grows in between and repeats itself."""
+    kind = F.when(F.col("event_type") == "purchase", L.FINISHED).otherwise(F.col("event_type"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), "event_id", kind.alias("type"))
+    half = e.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    folder, rows = scratch(spark, "log"), scratch(spark, "follow")
+    with _keyed_state(spark):
+        for part in (e.where(F.col("event_id") <= half), e.where(F.col("event_id") > half // 2)):
+            V.append(part.repartitionByRange(4, "event_id"), folder)
+            made = _drained(spark, L.followed(L.log(spark, folder, "run_id string, event_id long, type string", after=100)), "append", rows)
+    return made.select("run_id", "event_id", "type")
+
+
+_LIMIT = 24 * 3600 * 1000
+_MESSAGES = """m as (select user_id::varchar as queue, event_id, epoch_us(ts) // 1000 as ms, case event_type when 'view' then 'submit' when 'click' then 'succeed' when 'error' then 'fail' when 'signup' then 'cancel' else 'tick' end as type from events),
+    v as (select *, row_number() over (partition by queue, type order by event_id) as nth, max(event_id) filter (type = 'submit') over (partition by queue order by event_id) as latest,
+      count(*) filter (type in ('succeed', 'fail')) over (partition by queue order by event_id) as ended from m),
+    runs as (select queue, nth, event_id as run from v where type = 'submit'),
+    l as (select v.queue, v.event_id, v.ms, v.type, case v.type when 'submit' then v.event_id::varchar when 'cancel' then latest::varchar when 'tick' then null else runs.run::varchar end as run
+      from v left join runs on runs.queue = v.queue and runs.nth = v.ended and v.type in ('succeed', 'fail')
+      union all select queue, (select max(event_id) from m) + 1, (select max(ms) from m), 'tick', null from m group by queue)"""
+
+
+@query(
+    f"""with recursive {_MESSAGES}, k as (select *, row_number() over (partition by queue order by event_id) as k from l),
+    s as (select distinct queue, 1::bigint as k, null::varchar as running, null::bigint as since, []::varchar[] as waiting, []::varchar[] as done from l
+      union all select queue, case when late then k else k + 1 end,
+        case when late or hit then waiting[1] when type = 'submit' and running is null then run else running end,
+        case when late or hit then case when len(waiting) > 0 then case when late then since + {_LIMIT} else ms end end when type = 'submit' and running is null then ms else since end,
+        case when late or hit then waiting[2:] when type = 'submit' and running is not null then list_append(waiting, run) when type = 'cancel' then list_filter(waiting, lambda x: x <> run) else waiting end,
+        case when late then list_append(done, running || ' failed') when hit then list_append(done, run || ' ' || case type when 'succeed' then 'succeeded' when 'fail' then 'failed' else 'cancelled' end)
+          when type = 'cancel' and list_contains(waiting, run) then list_append(done, run || ' cancelled') else done end
+      from (select s.*, l.ms, l.type, l.run, coalesce(running is not null and since + {_LIMIT} <= l.ms, false) as late, coalesce(l.type in ('succeed', 'fail', 'cancel') and running = l.run, false) as hit from s join k l on l.queue = s.queue and l.k = s.k)),
+    z as (select s.* from s join (select queue, count(*) as n from l group by queue) c on c.queue = s.queue and s.k = c.n + 1),
+    r as (select queue, unnest(done || list_transform(waiting, lambda x: x || ' queued') || case when running is null then []::varchar[] else [running || ' running'] end) as x from z)
+    select queue, split_part(x, ' ', 1) as run_id, split_part(x, ' ', 2) as state from r"""
+)
+def stream_run_queue(spark, sf_dir):
+    """Final states of runs that users queue: views submit them, clicks and errors end the next in turn, signups cancel
+    the latest; a day is the limit. The log comes in three parts."""
+    kind = F.when(F.col("event_type") == "view", "submit").when(F.col("event_type") == "click", "succeed").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "signup", "cancel").otherwise("tick")
+    m = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("queue"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"))
+    by = Window.partitionBy("queue").orderBy("event_id")
+    v = m.withColumn("latest", F.last(F.when(F.col("type") == "submit", F.col("event_id")), ignorenulls=True).over(by)).withColumn("ended", F.count_if(F.col("type").isin("succeed", "fail")).over(by))
+    runs = v.where("type = 'submit'").select("queue", F.row_number().over(by).alias("ended"), F.col("event_id").alias("run"))
+    named = v.join(runs, ["queue", "ended"], "left").withColumn("run_id", F.when(F.col("type") == "submit", F.col("event_id")).when(F.col("type") == "cancel", F.col("latest")).when(F.col("type") != "tick", F.col("run")).cast("string"))
+    last = m.agg((F.max("event_id") + 1).alias("event_id"), F.max("ts").alias("ts"))
+    ticks = m.select("queue").distinct().join(F.broadcast(last)).select("queue", "event_id", "ts", F.lit("tick").alias("type"), F.lit(None).cast("string").alias("run_id"))  # last is one row
+    whole = named.select("queue", "event_id", "ts", "type", "run_id").unionByName(ticks)
+    cuts = m.agg(F.percentile_approx("event_id", [0.3, 0.6])).first()[0] or [0, 0]
+    folder, rows = scratch(spark, "log"), scratch(spark, "queue")
+    schema = "queue string, event_id long, ts timestamp, type string, run_id string"
+    with _keyed_state(spark):
+        for low, high in zip([-1, *cuts], [*cuts, 1 << 62]):
+            V.append(whole.where(F.col("event_id").between(low + 1, high)), folder)
+            made = _drained(spark, Q.run_queue(L.log(spark, folder, schema), _LIMIT), "append", rows)
+    return made.groupBy("queue", "run_id").agg(F.max_by("state", "n").alias("state"))
