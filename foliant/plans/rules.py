@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
+from foliant.operators import evidence as E
 from foliant.operators import rules as R
-from foliant.plans.registry import query, table
+from foliant.plans.registry import query, scratch, table
 
 _FEATURES = r"""feat as (select doc_id, source, lang, n_chars as text_chars, len(regexp_extract_all(text, '[|]')) as tables, len(regexp_extract_all(text, '\d')) as drawings,
   least(len(regexp_extract_all(text, '[!#*&%$]'))::double / greatest(n_chars, 1) * 8, 1.0::double) as image_area_ratio,
@@ -29,11 +31,15 @@ def _case(rules=R.PAGE_RULES) -> str:
 
 
 def features(spark, sf_dir):
+    return _features(table(spark, sf_dir, "documents"), "doc_id", "source", "lang", chars=F.col("n_chars"))
+
+
+def _features(texts, *keep, chars):
     t = F.col("text")
-    bars, n = F.regexp_count(t, F.lit("[|]")), F.greatest("n_chars", F.lit(1))
+    bars, n = F.regexp_count(t, F.lit("[|]")), F.greatest(chars, F.lit(1))
     held = lambda x: F.least(x, F.lit(1.0))
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", F.col("n_chars").alias("text_chars"), bars.alias("tables"), F.regexp_count(t, F.lit(r"\d")).alias("drawings"),
+    return texts.select(
+        *keep, chars.alias("text_chars"), bars.alias("tables"), F.regexp_count(t, F.lit(r"\d")).alias("drawings"),
         held(F.regexp_count(t, F.lit("[!#*&%$]")) / n * 8).alias("image_area_ratio"), held(bars / n * 9).alias("table_area_ratio"), held(bars / n * 12).alias("table_text_share"),
     )
 
@@ -129,3 +135,60 @@ def threshold_sweep(spark, sf_dir):
     rules, best = R.sweep(features(spark, sf_dir).withColumn("truth", F.expr(_TRUTH)), _FITTED, "truth", 1)
     rows = [(r["id"], k, float(v), best) for r in rules for k, v in r["when"].items()]
     return spark.createDataFrame(rows, "rule_id string, condition string, threshold double, accuracy double")
+
+
+#: Characters of a piece, and under how many it is short.
+_PIECE, _SHORT = 500, 100
+_PIECES = f"""pieces as (select doc_id, i as seq, '' as source, '' as lang, substr(text, i * {_PIECE} + 1, {_PIECE}) as text, length(substr(text, i * {_PIECE} + 1, {_PIECE})) as n_chars
+    from (select doc_id, text, unnest(range(0, ceil(length(text) / {_PIECE}.0)::bigint)) as i from documents)),
+  {_FEATURES.replace("from documents", "from pieces")}, labelled as (select {_case()} from feat), lone as (select count(distinct text) as n from pieces)"""
+_LABELS = ("scanned", "table", "diagram", "image_heavy", "text", "mixed")
+
+
+def _staged(spark, sf_dir):
+    """Documents are cut, pieces are classified, and of equal pieces one stays; the run that did so."""
+    run = E.Run(spark, "staged", scratch(spark, "staged"))
+    run.emit("queued")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = run.stage("cut", docs, lambda d: d.select("doc_id", F.posexplode(T.fixed_cuts(F.col("text"), _PIECE)).alias("seq", "text")), {"short": F.count_if(F.length("text") < _SHORT), "documents": F.count_if(F.col("seq") == 0)})
+    label = lambda d: R.classified(_features(d, "doc_id", "seq", "text", chars=F.length("text")))
+    counts = {**{f"label_{x}": F.count_if(F.col("label") == x) for x in _LABELS}, "to_review": F.count_if(F.col("confidence") < R.SETTINGS["review"])}
+    seen = run.stage("classify", cut, label, counts, lambda f: [E.Decision("pages to review", f"{f['to_review']} of {f['rows']}", "low_confidence", {"least": R.SETTINGS["review"]}, confidence=0.6)])
+    one = lambda d: d.groupBy("text").agg(F.min_by(F.struct("doc_id", "seq", "label"), F.struct("doc_id", "seq")).alias("x")).select("x.*", "text")
+    run.stage("unique", seen, one, decide=lambda f: [E.Decision("equal pieces", f"merged {f['rows_in']} -> {f['rows']}", "exact_text", {"before": f["rows_in"], "after": f["rows"]}, ["keep every copy"], 1.0)])
+    run.finish()
+    return run.read()
+
+
+@query(
+    f"""with {_PIECES} select 'cut' as step, 'rows' as figure, count(*)::varchar as value from pieces union all select 'cut', 'short', count(*) filter (n_chars < {_SHORT})::varchar from pieces
+    union all select 'cut', 'documents', count(*) filter (seq = 0)::varchar from pieces union all select 'classify', 'rows', count(*)::varchar from labelled
+    union all select 'classify', 'to_review', count(*) filter (confidence < {R.SETTINGS["review"]})::varchar from labelled union all select 'unique', 'rows', n::varchar from lone """
+    + " ".join(f"union all select 'classify', 'label_{x}', count(*) filter (label = '{x}')::varchar from labelled" for x in _LABELS)
+)
+def stage_figures(spark, sf_dir):
+    """What each stage of a run has counted while it wrote its result."""
+    return E.figures(_staged(spark, sf_dir)).where("figure <> 'seconds'").select("step", "figure", "value")
+
+
+@query(
+    f"""with {_PIECES}, c as (select count(*) as n, count(*) filter (confidence < {R.SETTINGS["review"]}) as low from labelled)
+    select 4::bigint as event_id, 'classify' as step, 'pages to review' as subject, low || ' of ' || c.n as choice, 'low_confidence' as rule_id, '{{"least": {R.SETTINGS["review"]}}}' as inputs, 0 as alternatives, 0.6::double as confidence from c
+    union all select 7, 'unique', 'equal pieces', 'merged ' || c.n || ' -> ' || lone.n, 'exact_text', '{{"before": ' || c.n || ', "after": ' || lone.n || '}}', 1, 1.0 from c, lone"""
+)
+def stage_decisions(spark, sf_dir):
+    """What a run has decided, with its evidence, numbered among all its events."""
+    return E.decisions(_staged(spark, sf_dir)).select("event_id", "step", "subject", "choice", "rule_id", "inputs", F.size("alternatives").alias("alternatives"), "confidence")
+
+
+@query(
+    """select p_partkey % 50 as tool, count(*) as calls, count(*) filter (l_returnflag = 'R') as errors, count(*) filter (l_linestatus = 'O' and l_quantity > 40) as truncated, count(*) filter (l_linestatus = 'F' and l_quantity > 45) as retried,
+    round(sum(l_quantity::double) filter (l_returnflag <> 'R') / nullif(count(*) filter (l_returnflag <> 'R'), 0), 2) as avg_seconds, round(sum(l_orderkey) / 1048576.0::double, 1) as mb
+    from lineitem join part on l_partkey = p_partkey group by 1"""
+)
+def call_stats(spark, sf_dir):
+    """Line items as calls of tools: returned ones have failed."""
+    i = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
+    big = F.col("l_quantity").cast("double")
+    calls = i.select((F.col("l_partkey") % 50).alias("tool"), (F.col("l_returnflag") != "R").alias("ok"), ((F.col("l_linestatus") == "O") & (big > 40)).alias("truncated"), ((F.col("l_linestatus") == "F") & (big > 45)).alias("retried"), big.alias("seconds"), F.col("l_orderkey").alias("bytes"))
+    return E.call_stats(calls, ["tool"])
