@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.functions import vectors as V
 from foliant.operators import search as S
-from foliant.plans.registry import query, table
+from foliant.operators.index import Index, query_vector
+from foliant.plans.registry import query, scratch, table
 
 TERMS = ["the", "und", "pour", "que", "thing"]
 _TOKENS = r"""
@@ -26,9 +27,23 @@ bm as (select id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5::double /
 )
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir):
+    """The documents' index, with the vectors of the same ids: written by a session's first search, opened by others."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        folder = scratch(spark, "index")
+        docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+        made = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
+        Index.create(spark, folder, doc_type="long", payload="source string, lang string", model="given", query_prefix="query: ").add(made.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("doc"), "text", "source", "lang", "vector"))
+        _indexes[key] = folder
+    return Index(spark, _indexes[key])
+
+
 def _scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return S.bm25(S.postings(docs, "doc_id", "text", TERMS), S.corpus_stats(docs, "text"), TERMS)
+    return _index(spark, sf_dir).bm25(TERMS)
 
 
 def _rounded(df, *names):
@@ -47,8 +62,7 @@ def bm25_all_scores(spark, sf_dir):
 
 @query("with " + _TOKENS + " select term, count(*) as df, sum(tf)::bigint as tf, max(length)::bigint as longest from idx group by term")
 def postings_stats(spark, sf_dir):
-    index = S.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("length").cast("long").alias("longest"))
+    return _index(spark, sf_dir).postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.max("length").cast("long").alias("longest"))
 
 
 @query("with " + _TOKENS + " select id, length::bigint as length, count(*) as terms, min(term) as first, max(term) as last from (select id, term, length from pos) group by id, length")
@@ -109,20 +123,56 @@ def _overlaps(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("id"), S.overlap_score(F.lit("the thing of that ones"), F.col("text")).alias("score"))
 
 
+_NEAR = """
+em as (select e.vec_id as id, source, lang, list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))) as score
+       from embeddings e join documents on doc_id = e.vec_id, embeddings q where q.vec_id = 0)"""
+_FUSED = """
+lx as (select id, score, row_number() over (order by score desc, id desc) as rank from bm where {some} order by score desc, id desc limit {n}),
+de as (select id, score, row_number() over (order by score desc, id) as rank from em where {some} order by score desc, id limit {n}),
+fu as (select coalesce(de.id, lx.id) as id, de.score as dense, de.rank as dense_rank, lx.score as lexical, lx.rank as lexical_rank,
+       coalesce(1.0::double / (60 + de.rank), 0) + coalesce(0.5::double / (60 + lx.rank), 0) as fused from de full outer join lx on de.id = lx.id)"""
+
+
+def _shown(hits):
+    return hits.withColumns({"dense": F.round("dense", 6), "lexical": F.round("lexical", 6), "fused": F.round("fused", 9)})
+
+
 @query(
-    _BM25
-    + ","
-    + _RERANK
-    + """, lx as (select id, score, row_number() over (order by score desc, id desc) as rank from bm order by score desc, id desc limit 20),
-    de as (select id, score, row_number() over (order by score desc, id) as rank from rr where score > 0 order by score desc, id limit 20),
-    fu as (select coalesce(de.id, lx.id) as id, de.score as dense, de.rank as dense_rank, lx.score as lexical, lx.rank as lexical_rank,
-           coalesce(1.0::double / (60 + de.rank), 0) + coalesce(0.5::double / (60 + lx.rank), 0) as fused from de full outer join lx on de.id = lx.id)
-    select id, dense, dense_rank, round(lexical, 6) as lexical, lexical_rank, round(fused, 9) as fused, row_number() over (order by fused desc, id) as rank from fu"""
+    f"""{_BM25}, {_NEAR}, {_FUSED.format(some="true", n=80)}
+    select row_number() over (order by fused desc, id) as rank, id, round(dense, 6) as dense, dense_rank, round(lexical, 6) as lexical, lexical_rank, round(fused, 9) as fused from fu order by fused desc, id limit 20"""
 )
 def hybrid_rrf(spark, sf_dir):
-    d = S.ranked(_overlaps(spark, sf_dir), 20, F.asc("id"))
-    x = S.ranked(_scores(spark, sf_dir), 20)
-    return S.fused(d, x, 1.0, 0.5).withColumns({"lexical": F.round("lexical", 6), "fused": F.round("fused", 9)})
+    """Terms and a vector's neighbours together: twenty of eighty candidates of each, by the sum of reciprocal ranks."""
+    index = _index(spark, sf_dir)
+    near = query_vector(table(spark, sf_dir, "embeddings"), 0, "vec_id", "embedding")
+    return _shown(index.search(TERMS, near, 20, weights=(1.0, 0.5)).rows).drop("rerank", "score")
+
+
+@query(
+    f"""{_BM25}, {_NEAR}, {_RERANK.strip()}, {_FUSED.format(some="id in (select doc_id from documents where lang = 'en')", n=40)},
+    po as (select fu.*, rr.score as rerank from (select * from fu order by fused desc, id limit 30) fu left join rr on rr.id = fu.id)
+    select row_number() over (order by rerank desc nulls last, fused desc, id) as rank, id, round(dense, 6) as dense, dense_rank, round(lexical, 6) as lexical, lexical_rank, round(fused, 9) as fused, rerank from po
+    order by rerank desc nulls last, fused desc, id limit 10"""
+)
+def search_reranked(spark, sf_dir):
+    """The same among English documents only, thirty of them reranked by shared pairs of characters, with every stage's rank."""
+    index = _index(spark, sf_dir)
+    near = query_vector(table(spark, sf_dir, "embeddings"), 0, "vec_id", "embedding")
+    texts = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
+    again = lambda some: texts.join(F.broadcast(some), "id").select("id", S.overlap_score(F.lit("the thing of that ones"), F.col("text")).alias("rerank"))  # noqa: E731  thirty ids
+    return _shown(index.search(TERMS, near, 10, where=F.col("lang") == "en", weights=(1.0, 0.5), rerank=again).rows).drop("score")
+
+
+@query((_BM25 + " select id, round(score, 6) as score from bm").replace("coalesce(text, '')", "case when source = 'src1' then 'the und ' || coalesce(text, '') when source = 'src2' then 'the' else coalesce(text, '') end"))
+def index_replaced(spark, sf_dir):
+    """Scores after two sources' documents have come again with other texts, one of them twice."""
+    docs = table(spark, sf_dir, "documents")
+    index = Index.create(spark, scratch(spark, "index"), doc_type="long", buckets=16)
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("doc"), "text", "source")
+    index.add(rows)
+    index.add(rows.where("source in ('src1', 'src2')").withColumn("text", F.concat(F.lit("the und "), F.coalesce("text", F.lit("")))))
+    index.add(rows.where("source = 'src2'").withColumn("text", F.lit("the")))
+    return _rounded(index.bm25(TERMS), "score")
 
 
 @query("select doc_id, 'doc: ' || case when trim(source) = '' then 'none' else source end || ' | ' || left(text, 40) as prefixed, round(1 / (1 + exp(-(n_chars / 1000.0::double - 2))), 6) as sigmoid from documents")
