@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -84,3 +84,34 @@ def point_id(chunk_id: Column) -> Column:
 def replace_document(new: DataFrame, path: str) -> None:
     """Writes vectors by doc_id: documents in ``new`` are replaced as a whole, others stay."""
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+
+
+#: Rows of one length that are numbered together.
+NUMBERED = 1 << 20
+
+
+def batched(rows: DataFrame, id_col: str, length_col: str, budget: int, longest: int) -> DataFrame:
+    """(id, length, batch): rows by ascending length, cut greedily so that a batch's longest times its rows fits the budget.
+
+    Lengths count up to ``longest``; a row that is over the budget by itself is a batch of its own. Null lengths count
+    as 0. How many rows each length has, at most ``longest`` + 1 figures, settles where batches begin; a row's number
+    among those of its length then gives its batch. Lengths that many rows share are numbered in shares.
+    """
+    spark = rows.sparkSession
+    held = rows.select(F.col(id_col).alias("id"), F.least(F.coalesce(length_col, F.lit(0)).cast("int"), F.lit(longest)).alias("length"))
+    counts = sorted((r.length, r.n) for r in held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())
+    plan, batch, open_rows = [], -1, 0
+    for length, n in counts:
+        room = max(1, budget // length) if length > 0 else 1 << 62
+        more = min(n, max(0, room - open_rows)) if batch >= 0 else 0
+        rest = n - more
+        plan.append((length, -(-n // NUMBERED), more, batch, batch + 1, room))
+        batch, open_rows = (batch + -(-rest // room), (rest - 1) % room + 1) if rest else (batch, open_rows + more)
+    cuts = F.broadcast(spark.createDataFrame(plan, "length int, shares int, more long, open long, next long, room long"))
+    dealt = held.join(cuts, "length").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")))
+    sizes = dealt.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
+    base = sizes.select("length", "share", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    placed = dealt.withColumn("k", F.row_number().over(Window.partitionBy("length", "share").orderBy("id")) - 1).join(base, ["length", "share"])
+    rank = F.col("base") + F.col("k")
+    number = F.when(rank < F.col("more"), F.col("open")).otherwise(F.col("next") + F.floor((rank - F.col("more")) / F.col("room")))
+    return placed.select("id", "length", number.cast("long").alias("batch"))

@@ -234,3 +234,19 @@ def pca_2d(spark, sf_dir):
 def collections(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return e.groupBy(F.concat(F.lit("__"), F.col("label").cast("string")).alias("name")).agg(F.count(F.lit(1)).alias("points"), F.max(F.size("embedding")).alias("dim"))
+
+
+@query(
+    """with recursive t as (select least(greatest(1, ceil(length(text) / 2.5::double)), 900)::bigint as l from documents), o as (select l, row_number() over (order by l) as i from t),
+    g as (select i, l, 0::bigint as batch, 1 as n from o where i = 1
+      union all select o.i, o.l, case when o.l * (g.n + 1) <= 8192 then batch else batch + 1 end, case when o.l * (g.n + 1) <= 8192 then n + 1 else 1 end from g join o on o.i = g.i + 1)
+    select batch, count(*) as texts, max(l)::int as longest, sum(l)::bigint as tokens, max(l) * count(*) as padded from g group by batch"""
+)
+def length_batches(spark, sf_dir):
+    """Documents in batches of at most 8192 padded tokens, of like lengths."""
+    from foliant.operators.embed import batched
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
+    b = batched(docs, "doc_id", "tokens", 8192, 900).groupBy("batch")
+    made = b.agg(F.count(F.lit(1)).alias("texts"), F.max("length").alias("longest"), F.sum("length").alias("tokens"))
+    return made.withColumn("padded", F.col("longest") * F.col("texts"))

@@ -28,3 +28,27 @@ def test_against_trigram_by_trigram(spark, monkeypatch):
             got = {r.id: np.array(r.vector, np.float32) for r in embed.hash_embedding(df, "text", size).collect()}
             assert all(np.array_equal(got[i], plain_vector(t, size)) for i, t in enumerate(TEXTS))
     assert embed.hash_embedding(df.limit(0), "text", 8).collect() == []
+
+
+def test_batches_fit_the_budget(spark, monkeypatch):
+    import random
+
+    from foliant.operators import embed
+
+    monkeypatch.setattr(embed, "NUMBERED", 40)
+    rng = random.Random(4)
+    lengths = [rng.choice([None, 0, 3, 50, 50, 50, rng.randrange(1, 300), 9999]) for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "i long, n int")
+    got = embed.batched(df, "i", "n", 500, 600).collect()
+    assert sorted(r.id for r in got) == list(range(700))
+    order, batches = sorted(min(x or 0, 600) for x in lengths), []
+    for x in order:
+        if batches and x * (len(batches[-1]) + 1) <= 500:
+            batches[-1].append(x)
+        else:
+            batches.append([x])
+    made = {}
+    for r in got:
+        made.setdefault(r.batch, []).append(r.length)
+    assert [sorted(made[b]) for b in sorted(made)] == batches
+    assert embed.batched(df.limit(0), "i", "n", 500, 600).count() == 0
