@@ -6,11 +6,15 @@ a code by look-up tables and the code's stored norm; the best codes of each bloc
 vectors are coded once, as a class with its least ids, so copies don't push each other out.
 
 Codes travel in blocks of rows and queries in blocks too, so a block of queries meets every block of codes: a stated
-set of queries against all rows. Blocks join on the number of the query block.
+set of queries against all rows. What comes within a margin of the block's best is a candidate; the margin is what
+drawn queries need to find all their nearest. Where a block has very many candidates for a query (near copies), they
+aren't sent one by one: the query goes to the block's vectors and is scored there, so no number of candidates is cut.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,8 +25,10 @@ from foliant.llm import common as c
 #: Vectors that the codebooks learn from, at most: those with the least digests of their ids.
 SAMPLE = 8192
 BOOKS, WORDS, BEAM = 16, 256, 4
-#: Candidates of a query that are scored exactly, from each block of codes and in all.
+#: Candidates that a block sends for a query one by one; a block with more scores the query on its vectors.
 RERANK = 512
+#: Drawn queries that the margin of candidates is fitted on, and the share of them that must find all their nearest.
+FITTED, FOUND = 512, 0.99
 CODE_BLOCK, QUERY_BLOCK = 16384, 512
 
 
@@ -100,6 +106,39 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def approximate(table: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Scores of codes by a query's look-up table."""
+    s = table[0][codes[:, 0]]
+    for m in range(1, len(table)):
+        s = s + table[m][codes[:, m]]
+    return s / norms
+
+
+def _decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    return np.maximum(np.linalg.norm(sum(books[i][codes[:, i]] for i in range(len(books))), axis=1), 1e-6).astype(np.float32)
+
+
+def fitted_margin(unit: np.ndarray, books: np.ndarray, k: int) -> float:
+    """How far below the k-th best approximate score the candidates go: the share FOUND of drawn queries need no more."""
+    if len(unit) <= k + 1:
+        return math.inf
+    codes, x = encode(unit, books), unit[:FITTED]
+    norms, tables = _decoded(codes, books), np.einsum("qd,mkd->qmk", x, books, optimize=True)
+    needed = []
+    for i in range(len(x)):
+        about, exact = approximate(tables[i], codes, norms), unit @ x[i]
+        about[i] = exact[i] = -np.inf
+        best = np.argpartition(-exact, k - 1)[:k]
+        needed.append(np.partition(about, len(about) - k)[len(about) - k] - about[best].min())
+    return float(np.quantile(needed, FOUND, method="higher")) + 1e-4
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows that belong together, added from left to right, as SQL adds."""
+    total = lambda x: np.cumsum(x, axis=1)[:, -1]
+    return total(a * b) / (np.sqrt(total(a * a)) * np.sqrt(total(b * b)))
+
+
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``.
 
@@ -115,41 +154,43 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     turn = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     least = known.withColumn("turn", turn).where(F.col("turn") <= k + 1).groupBy("v")
     classes, _ = c.stored(least.agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_list("vec_id")).alias("members")), "classes")
-    sample = known.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    sample = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if sample.num_rows == 0:
         return spark.createDataFrame([], schema)
     unit = _matrix(sample.column("v"))
     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     books = train(unit)
+    margin = fitted_margin(unit.astype(np.float32), books, k)
     shape, packed = books.shape, books.tobytes()  # BOOKS * WORDS * dimensions numbers, at any size of the table
 
     def blocks(batches):
-        """Codes and norms of up to CODE_BLOCK rows in a row."""
+        """Codes, norms and vectors of up to CODE_BLOCK rows in a row."""
         book = np.frombuffer(packed, np.float32).reshape(shape)
-        ids, codes, norms = [], [], []
+        ids, codes, norms, exact = [], [], [], []
 
         def flush():
-            columns = [np.concatenate(x).tobytes() for x in (ids, codes, norms)]
-            for x in (ids, codes, norms):
+            columns = [np.concatenate(x).tobytes() for x in (ids, codes, norms, exact)]
+            first = pa.array([int(ids[0][0])], pa.int64())
+            for x in (ids, codes, norms, exact):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], ["ids", "codes", "norms"])
+            return pa.RecordBatch.from_arrays([first, *(pa.array([x], pa.binary()) for x in columns)], ["part", "ids", "codes", "norms", "vectors"])
 
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+            v = _matrix(batch.column("v"))
+            x = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
             for a in range(0, len(x), 1024):
                 code = encode(x[a : a + 1024], book)
-                approx = sum(book[i][code[:, i]] for i in range(len(book)))
                 ids.append(c.longs(batch.column("vec_id"))[a : a + 1024])
                 codes.append(code)
-                norms.append(np.maximum(np.linalg.norm(approx, axis=1), 1e-6).astype(np.float32))
+                norms.append(_decoded(code, book))
+                exact.append(v[a : a + 1024])
                 if sum(map(len, ids)) >= CODE_BLOCK:
                     yield flush()
         if ids:
             yield flush()
 
-    coded, _ = c.stored(classes.select("vec_id", "v").mapInArrow(blocks, "ids binary, codes binary, norms binary"), "codes")
+    coded, _ = c.stored(classes.select("vec_id", "v").mapInArrow(blocks, "part long, ids binary, codes binary, norms binary, vectors binary"), "codes")
     asked = known.where(F.pmod("vec_id", F.lit(every)) == 0)
     n_asked = asked.count()
     if not n_asked:
@@ -157,53 +198,75 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     n_blocks = -(-n_asked // QUERY_BLOCK)
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
     queries = asked.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))  # QUERY_BLOCK rows or so
-    spread = coded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(c.partitions(spark), "block", F.xxhash64("ids"))
+    spread = coded.select("part", "ids", "codes", "norms").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(c.partitions(spark), "block", "part")
 
     def score(batches):
+        """Candidates of each query, and those queries (vec_id null) that must be scored on all of the block."""
         book = np.frombuffer(packed, np.float32).reshape(shape)
         for batch in batches:
             for i in range(batch.num_rows):
                 q = batch.column("q")[i].values
                 asked_ids, x = c.longs(q.field("vec_id")), _matrix(q.field("v")).astype(np.float32)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                table = np.einsum("qd,mkd->mqk", x, book, optimize=True)
+                tables = np.einsum("qd,mkd->qmk", x, book, optimize=True)
+                part = batch.column("part")[i].as_py()
                 ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
                 codes = np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(len(ids), -1)
                 norms = np.frombuffer(batch.column("norms")[i].as_py(), np.float32)
-                got_q, got_v, got_s = [], [], []
+                keep = min(k + 1, len(ids))  # one may be the query alone
+                rows = []
                 for j in range(len(x)):
-                    s = table[0, j][codes[:, 0]]
-                    for m in range(1, len(book)):
-                        s = s + table[m, j][codes[:, m]]
-                    s = s / norms
-                    keep = min(rerank + 1, len(ids))  # one may be the query alone
-                    best = np.argpartition(-s, keep - 1)[:keep]
-                    got_q.append(np.full(keep, asked_ids[j]))
-                    got_v.append(ids[best])
-                    got_s.append(s[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got_q)), pa.array(np.concatenate(got_v)), pa.array(np.concatenate(got_s), pa.float32())], ["query_id", "vec_id", "about"])
-
-    found = spread.join(queries, "block").select("ids", "codes", "norms", "q").mapInArrow(score, "query_id long, vec_id long, about float")
-    few = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(few)).where(F.col("n") <= rerank + 1).select("query_id", "vec_id")
-    pairs = found.join(classes.select("vec_id", "v"), "vec_id").join(known.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+                    s = approximate(tables[j], codes, norms)
+                    bar = np.partition(s, len(s) - keep)[len(s) - keep] - margin
+                    best = np.flatnonzero(s >= bar)
+                    if len(best) > rerank:
+                        rows.append((np.array([asked_ids[j]]), np.zeros(1, np.int64), np.zeros(1, np.float32), np.ones(1, bool)))
+                    else:
+                        rows.append((np.full(len(best), asked_ids[j]), ids[best], s[best], np.zeros(len(best), bool)))
+                query, vec, about, whole = map(np.concatenate, zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(query), part)), pa.array(query), pa.array(vec, pa.int64(), mask=whole), pa.array(about, pa.float32())], ["part", "query_id", "vec_id", "about"])
+
+    found, found_path = c.stored(spread.join(queries, "block").select("part", "ids", "codes", "norms", "q").mapInArrow(score, "part long, query_id long, vec_id long, about float"), "found", large=False)
+    # candidates that no block's best would keep among all blocks' go
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
+    bars = found.where("vec_id is not null").withColumn("n", place).where(F.col("n") <= k + 1).groupBy("query_id").agg(F.min("about").alias("bar"), F.count(F.lit(1)).alias("n"))
+    few = found.where("vec_id is not null").join(bars, "query_id").where((F.col("n") <= k) | (F.col("about") >= F.col("bar") - F.lit(margin))).select("query_id", "vec_id")
+    of_query = known.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    pairs = few.join(classes.select("vec_id", "v"), "vec_id").join(of_query, "query_id")
 
     def exact(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = _matrix(batch.column("q")), _matrix(batch.column("v"))
-                total = lambda x: np.cumsum(x, axis=1)[:, -1]  # noqa: E731  from left to right, as SQL adds
-                dot = total(a * b) / (np.sqrt(total(a * a)) * np.sqrt(total(b * b)))
+                dot = _cosines(_matrix(batch.column("q")), _matrix(batch.column("v")))
                 yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(dot)], ["query_id", "vec_id", "score"])
 
     scored = pairs.select("query_id", "vec_id", "q", "v").mapInArrow(exact, "query_id long, vec_id long, score double")
+    # queries with many candidates in a block: shares of them meet its vectors
+    wide = found.where("vec_id is null").join(of_query, "query_id").withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    groups = wide.groupBy("part", "share").agg(F.collect_list(F.struct("query_id", "q")).alias("q"))  # QUERY_BLOCK rows or so
+
+    def whole(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q = batch.column("q")[i].values
+                asked_ids, x = c.longs(q.field("query_id")), _matrix(q.field("q"))
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                v = np.frombuffer(batch.column("vectors")[i].as_py(), float).reshape(len(ids), -1)
+                for j in range(len(x)):
+                    s = _cosines(np.broadcast_to(x[j], v.shape), v)
+                    best = np.lexsort((ids, -s))[: k + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), asked_ids[j])), pa.array(ids[best]), pa.array(s[best])], ["query_id", "vec_id", "score"])
+
+    scored = scored.unionByName(groups.join(coded.select("part", "ids", "vectors"), "part").select("q", "ids", "vectors").mapInArrow(whole, "query_id long, vec_id long, score double"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = scored.withColumn("n", rank).where(F.col("n") <= k + 1).drop("n")  # each class but the query's own has a row to give
     scored = best.join(classes.select("vec_id", "members"), "vec_id").select("query_id", F.explode("members").alias("vec_id"), "score").where("query_id <> vec_id")
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    made, _ = c.stored(scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest", large=False)
+    c.delete(spark, found_path)
+    return made
 
 
-#: Exact search; the same rows as long as RERANK covers all candidates or recall is whole.
+#: Exact search; the same rows where recall is whole.
 ORACLE = """
 with v as (select vec_id, max(embedding::double[]) as v from embeddings
            where embedding is not null and vec_id is not null and len(embedding) > 0

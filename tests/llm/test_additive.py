@@ -20,7 +20,7 @@ def test_recall_and_scores(spark):
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
     want = brute(ids, x, 50, 5)
     got = {}
-    for r in additive.nearest(df, rerank=100).collect():
+    for r in additive.nearest(df).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
     assert got.keys() == want.keys() and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
     where = {v: i for i, v in enumerate(ids)}
@@ -57,3 +57,20 @@ def test_more_copies_than_candidates(spark):
         got.setdefault(r.query_id, {})[r.rank] = r.vec_id
     assert [got[300][i] for i in range(1, 6)] == [301, 302, 303, 304, 305]
     assert [got[1150][i] for i in range(1, 6)] == [got[50][i] for i in range(1, 6)] == [300, 301, 302, 303, 304]
+
+
+def test_many_near_copies_and_one_ray(spark):
+    """900 vectors of one direction with differing lengths, then 900 within quantisation error: the exact five come."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1200, 16))
+    for near in (False, True):
+        x = base.copy()
+        x[300:] = x[300] + rng.normal(size=(900, 16)) * 1e-4 if near else x[300] * rng.uniform(0.5, 2, (900, 1))
+        df = spark.createDataFrame([(int(i), x[i].tolist()) for i in rng.permutation(1200)], "vec_id long, embedding array<double>").coalesce(1)
+        got = {}
+        for r in additive.nearest(df, every=50).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+        for q in range(300, 1200, 50):
+            s = additive._cosines(np.broadcast_to(x[q], x.shape), x)
+            want = [int(i) for i in np.lexsort((np.arange(1200), -s)) if i != q][:5]
+            assert [got[q][i] for i in range(1, 6)] == want
