@@ -124,3 +124,28 @@ def best_values(df: DataFrame, metric: str, value: str, lower_is_better: Column)
     w = Window.partitionBy(metric)
     low, high = F.min(value).over(w), F.max(value).over(w)
     return df.withColumn("best", (low != high) & (F.col(value) == F.when(lower_is_better, low).otherwise(high)))
+
+
+def results_listed(files: DataFrame, schema: str) -> DataFrame:
+    """Files (path, name, modified, content) of results as rows, newest first, with what can't be read said.
+
+    content is a JSON object of ``schema`` (name type, ...); ``problem`` is null where it is one.
+    """
+    got = F.from_json("content", f"struct<{schema}, _bad string>".replace(" string", ":string").replace(" double", ":double").replace(" long", ":long"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    read = files.withColumn("r", got)
+    problem = F.when(F.trim("content") == "", "empty").when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "not JSON")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return read.select("name", "modified", *(F.when(problem.isNull(), F.col(f"r.{n}")).alias(n) for n in names), problem.alias("problem")).orderBy(F.desc("modified"), "name")
+
+
+def matrix_markdown(counts: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """One row: the counts of confusion() as a Markdown table, labels in order, rows what is true."""
+    labels = counts.select(F.col(truth).cast("string").alias("l")).unionByName(counts.select(F.col(predicted).cast("string").alias("l"))).distinct()
+    full = labels.select(F.col("l").alias("t")).crossJoin(F.broadcast(labels.select(F.col("l").alias("p"))))  # labels are few: a table's rows and columns
+    cells = full.join(counts.select(F.col(truth).cast("string").alias("t"), F.col(predicted).cast("string").alias("p"), "n"), ["t", "p"], "left")
+    rows = cells.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("p", F.coalesce("n", F.lit(0)).cast("string").alias("n")))).alias("c"))
+    line = F.concat(F.lit("| "), F.col("t"), F.lit(" | "), F.array_join(F.transform("c", lambda x: x["n"]), " | "), F.lit(" |"))
+    whole = rows.agg(F.array_sort(F.collect_list(F.struct("t", line.alias("line"), F.transform("c", lambda x: x["p"]).alias("p")))).alias("r"))
+    head = F.col("r")[0]["p"]
+    top = F.concat(F.lit("| label \\ pred | "), F.array_join(head, " | "), F.lit(" |\n|---|"), F.repeat(F.lit("---|"), F.size(head)))
+    return whole.select(F.when(F.size("r") > 0, F.concat(top, F.lit("\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"))).otherwise("").alias("markdown"))

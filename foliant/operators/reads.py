@@ -59,11 +59,10 @@ def ordered_distinct(ids: list, known: DataFrame, key: str) -> tuple[list, DataF
 
 def element_counts(elements: DataFrame) -> DataFrame:
     """Counts and characters by page and type, page and tool, page, type, and in all: one pass of grouping sets."""
-    elements.createOrReplaceTempView("foliant_elements")
-    return elements.sparkSession.sql(
-        """select page, type, tool, grouping_id(page, type, tool) as level, count(*) as n, coalesce(sum(length(content)), 0) as chars
-           from foliant_elements group by grouping sets ((page, type), (page, tool), (page), (type), ())"""
-    )
+    page, kind, tool = F.col("page"), F.col("type"), F.col("tool")
+    sets = elements.groupingSets([[page, kind], [page, tool], [page], [kind], []], page, kind, tool)
+    made = sets.agg(F.grouping_id("page", "type", "tool").alias("level"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("chars"))
+    return made.select("page", "type", "tool", "level", "n", "chars")
 
 
 def pages_with_elements(profiles: DataFrame, elements: DataFrame) -> DataFrame:

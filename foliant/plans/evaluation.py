@@ -63,3 +63,58 @@ def page_check_summary(spark, sf_dir):
 @query()
 def dataset_version(spark, sf_dir):
     return X.dataset_version(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def _facts(a: str, b: str) -> str:
+    return f"({a} + {b}) / 2.0"
+
+
+@query(
+    f"""with s as (select s_suppkey as k, s_acctbal >= 0 as solvent from supplier),
+    c as (select k, unnest([struct_pack(id := 'title', score := (k % 2 = 0)::int::double), struct_pack(id := 'no_single_column', score := (k % 5 <> 0)::int::double),
+      struct_pack(id := 'cells', score := {_facts("1", "(k % 3 = 0)::int")}::double), struct_pack(id := 'columns', score := (k % 4 = 0)::int::double),
+      struct_pack(id := 'figure_facts', score := {_facts("(k % 7 <> 0)::int", "solvent::int")}::double), struct_pack(id := 'language', score := (k % 6 = 0)::int::double),
+      struct_pack(id := 'caption', score := (k % 9 = 0)::int::double), struct_pack(id := 'facts', score := solvent::int::double), struct_pack(id := 'label', score := (k % 8 = 0)::int::double)]) as c from s)
+    select k, c.id as id, c.score as score, c.score >= 1 as passed from c"""
+)
+def page_checks(spark, sf_dir):
+    """Suppliers as pages whose titles, tables, figures and captions keep some of what is expected."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    cell = F.when(k % 3 == 0, "found  HERE").otherwise("other")
+    wide = F.concat(F.lit("| a | b | c |\n| --- | --- | --- |\n| "), name, F.lit(" | "), cell, F.lit(" | x |"))
+    narrow = F.concat(F.lit("| a | b |\n| --- | --- |\n| "), name, F.lit(" | "), cell, F.lit(" |"))
+    said = F.concat(F.when(k % 7 != 0, "rate of FIVE").otherwise("nothing"), F.lit(", "), F.when(F.col("s_acctbal") >= 0, "in credit").otherwise("in debt"))
+    figure = F.concat(said, F.when(k % 6 == 0, F.repeat(F.lit("가"), F.lit(200))).otherwise(""))
+    one = lambda c: F.array(c)
+    pages = table(spark, sf_dir, "supplier").select(
+        k.alias("k"), F.when(k % 8 == 0, "text").otherwise("mixed").alias("label"), F.lit("text").alias("want_label"), F.when(F.col("s_acctbal") >= 0, "the  Balance is fine").otherwise("no").alias("text"), one(F.lit("balance is")).alias("want_facts"),
+        one(F.concat(F.lit("Report of "), name)).alias("titles"), F.when(k % 2 == 0, F.lower(name)).otherwise("no such").alias("want_title"),
+        F.when(k % 5 == 0, F.array(F.when(k % 4 == 0, wide).otherwise(narrow), F.lit("| x |\n| --- |\n| y |"))).otherwise(F.array(F.when(k % 4 == 0, wide).otherwise(narrow))).alias("tables"),
+        F.array(F.lower(name), F.lit("found here")).alias("want_cells"), F.lit(3).alias("want_columns"), F.lit(True).alias("want_no_single_column"),
+        F.array().cast("array<string>").alias("figure_kinds"), figure.alias("figure_text"), F.array(F.lit("rate of five"), F.lit("in credit")).alias("want_figure_facts"), F.lit("ko").alias("want_language"),
+        one(F.when(k % 9 == 0, "Figure 1:  Sales").otherwise("Figure 2")).alias("captions"), F.lit("figure 1: sales").alias("want_caption"),
+    )
+    return X.page_checks(pages).select("k", F.explode("checks").alias("c")).select("k", "c.*")
+
+
+@query(
+    """with f as (select user_id as k, count(*) as n, round(avg(value), 3) as mean from events group by user_id)
+    select 'eval-' || k || '.json' as name, timestamp '2024-01-01' + to_days(k::int) as modified, case when k % 5 > 1 then k end as run, case when k % 5 > 1 then n end as cases, case when k % 5 > 1 then mean end as score,
+      case k % 5 when 0 then 'not JSON' when 1 then 'empty' end as problem from f"""
+)
+def evaluation_listing(spark, sf_dir):
+    """Results of evaluations, a JSON text for each user; some are cut off, some empty."""
+    f = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 3).alias("mean"))
+    whole = F.to_json(F.struct(F.col("k").alias("run"), F.col("n").alias("cases"), F.col("mean").alias("score")))
+    text = F.when(F.col("k") % 5 == 0, F.left(whole, F.length(whole) - 3)).when(F.col("k") % 5 == 1, " ").otherwise(whole)
+    files = f.select(F.concat(F.lit("eval-"), F.col("k"), F.lit(".json")).alias("name"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("k").cast("int")).cast("timestamp_ntz").alias("modified"), text.alias("content"))
+    return X.results_listed(files, "run long, cases long, score double")
+
+
+@query(
+    r"""with c as (select quality as t, (n_chars > 1200)::int as p, count(*) as n from labels join documents using (doc_id) group by 1, 2), l as (select distinct unnest([t, p]) as x from c),
+    r as (select a.x as t, string_agg(coalesce(n, 0)::varchar, ' | ' order by b.x) as line from l a cross join l b left join c on c.t = a.x and c.p = b.x group by a.x)
+    select '| label \ pred | ' || (select string_agg(x::varchar, ' | ' order by x) from l) || ' |' || chr(10) || '|---|' || repeat('---|', (select count(*) from l)::int) || chr(10) || string_agg('| ' || t || ' | ' || line || ' |', chr(10) order by t) as markdown from r"""
+)
+def evaluation_report(spark, sf_dir):
+    return X.matrix_markdown(X.confusion(_predicted(spark, sf_dir), "quality", "predicted"), "quality", "predicted")

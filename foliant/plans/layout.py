@@ -256,3 +256,35 @@ def figure_regions(spark, sf_dir):
     wider = lambda mode, *by: d.where(F.col("mode") == mode).select("page", F.array(*(F.col("bbox")[i] + by[i] for i in range(4))).alias("bbox"))
     made = E.figure_regions(wider(0, -4, -4, 9, 9), E.clusters(d, _sheets(d)), wider(1, -2, -2, 30, 5), _sheets(d), 0.004, 4)
     return made.select("page", *(F.col("bbox")[i].alias(x) for i, x in enumerate(("x0", "y0", "x1", "y1"))), "source", "area_ratio")
+
+
+@query(
+    """with l as (select l_orderkey as page, l_suppkey % 3 as block, (l_linenumber * 10000000 + l_partkey) * 1000000 + l_suppkey as n, 8 + l_partkey % 3 * 4 as size, l_linenumber * 20 + l_partkey % 9 as top, l_linenumber * 20 + l_partkey % 9 + 12 as bottom, (l_suppkey % 40)::double as x0, 'p' || l_partkey as text from lineitem),
+    p as (select *, size >= 12 as head, lag(bottom) over w as pb, lag(size) over w as ps, lag(n) over w as pn from l window w as (partition by page, block order by n)),
+    s as (select *, sum(case when pn is null or head <> (ps >= 12) or (head and abs(size - ps) > 0.5) or top - pb > 0.5 * size then 1 else 0 end) over (partition by page, block order by n) as part from p),
+    g as (select page, block, part, any_value(head) as head, string_agg(text, chr(10) order by n) as content, min(x0) as x0, min(top)::double as y0, max(bottom)::double as y1 from s group by page, block, part)
+    select page, row_number() over (partition by page order by block, part) - 1 as seq, case when head and length(content) <= 200 then 'title' else 'text' end as type, content, x0, y0, y1 from g"""
+)
+def text_elements(spark, sf_dir):
+    """Line items as lines of text in blocks: runs of one kind without a gap become titles and texts."""
+    top = F.col("l_linenumber") * 20 + F.col("l_partkey") % 9
+    box = F.array(*(v.cast("double") for v in (F.col("l_suppkey") % 40, top, F.col("l_suppkey") % 40 + 30, top + 12)))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_suppkey") % 3).alias("block"), ((F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey")) * 1_000_000 + F.col("l_suppkey")).alias("n"), F.concat(F.lit("p"), F.col("l_partkey")).alias("text"), (8 + F.col("l_partkey") % 3 * 4).cast("double").alias("size"), box.alias("bbox"))
+    made = E.from_lines(lines, 12.0)
+    return made.select("page", F.col("seq").cast("long").alias("seq"), "type", "content", F.col("bbox")[0].alias("x0"), F.col("bbox")[1].alias("y0"), F.col("bbox")[3].alias("y1"))
+
+
+@query(
+    """with c as (select l_orderkey as chunk, list({'page': l_linenumber, 'x': (l_suppkey % 50)::double} order by l_linenumber, l_suppkey, l_partkey) filter (l_returnflag <> 'N') as boxes, min(l_linenumber) as first_page, l_orderkey % 4 as asked from lineitem group by l_orderkey),
+    p as (select *, coalesce(case when asked > 0 then asked end, list_min(list_transform(boxes, lambda b: b.page)), first_page) as page from c)
+    select chunk, page::int as page, len(list_filter(coalesce(boxes, []), lambda b: b.page = p.page))::int as boxes, page in (select l_linenumber from lineitem where l_orderkey = chunk) as found from p"""
+)
+def preview_regions(spark, sf_dir):
+    """Which boxes of a chunk (an order) show on the page asked for; without one on its first page with a box."""
+    from foliant.operators.chunks import preview_boxes
+
+    box = F.when(F.col("l_returnflag") != "N", F.struct(F.col("l_linenumber").alias("page"), F.array((F.col("l_suppkey") % 50).cast("double")).alias("box")))
+    chunks = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("chunk")).agg(F.collect_list(box).alias("boxes"), F.collect_set("l_linenumber").alias("pages"))
+    asked = F.nullif((F.col("chunk") % 4).cast("int"), F.lit(0))
+    r = chunks.select("chunk", preview_boxes(F.col("boxes"), F.col("pages"), asked).alias("r"))
+    return r.select("chunk", "r.page", F.size("r.boxes").alias("boxes"), "r.found")
