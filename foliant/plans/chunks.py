@@ -71,6 +71,33 @@ def chunk_elements_section(spark, sf_dir):
     return C.chunk_elements(_elements(spark, sf_dir), "section", 200, 0, 0)
 
 
+_MODES = ("recursive", "page", "section")
+
+
+@query(
+    """with recursive e as (select mode, user_id as u, event_id // 500 as page, event_id as seq, event_type = 'signup' as title, event_type || ' ' || event_id as text from events, (select unnest(['recursive', 'page', 'section']) as mode)),
+    l as (select *, lag(page) over w as lp, max(case when title then seq end) over w as ts, lead(title) over w as nt, lead(seq) over w as ns from e window w as (partition by mode, u order by seq)),
+    s as (select l.*, 'signup ' || ts as section, sum(case when lp is null or (mode = 'page' and lp <> page) or (mode = 'section' and title) then 1 else 0 end) over (partition by mode, u order by seq) as block from l),
+    c as (select *, case when ns is null or (mode = 'section' and nt) then section else lead(section) over (partition by mode, u order by seq) end as closing, sum(length(text)) over (partition by mode, u, block order by seq) as total from s),
+    b as (select mode, u, block, [0] || list(total::int order by seq) as p, list(text order by seq) as texts, list(closing order by seq) as closings, list(page order by seq) as pages from c group by mode, u, block),
+    k as (select *, 0 as n, 0 as a, (len(list_filter(p, lambda x: x <= 80)) - 1)::int as z from b
+      union all select * exclude (again), n + 1, again, (len(list_filter(p, lambda x: x <= p[again + 1] + 80)) - 1)::int
+      from (select mode, u, block, p, texts, closings, pages, n, case when r = a or p[z + 1] - p[r + 1] + p[z + 2] - p[z + 1] > 80 then z else r end as again
+            from (select *, greatest(a, len(list_filter(p, lambda x: x < p[z + 1] - 30)))::int as r from k where z < len(texts)))),
+    t as (select mode, u, block, n, closings[z] as section, array_to_string(texts[a + 1:z], chr(10)) as body, list_sort(list_distinct(pages[a + 1:z])) as pages from k),
+    d as (select *, case when section is null or starts_with(replace(body, chr(10), ' '), section) then body else section || chr(10) || body end as text from t)
+    select mode, u, row_number() over (partition by mode, u order by block, n) - 1 as seq, md5(text) as digest, length(text) as tokens, array_to_string(pages, ',') as pages, section from d""".replace("select * exclude (again), n + 1, again,", "select mode, u, block, p, texts, closings, pages, n + 1, again,")
+)
+def chunk_packs(spark, sf_dir):
+    """Users' events as lines and titles, chunked in each mode: 80 characters, of which up to 30 are repeated."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "signup", "title").otherwise("text")
+    each = e.select(F.explode(F.array(*map(F.lit, _MODES))).alias("mode"), F.col("user_id").cast("string").alias("u"), F.floor(F.col("event_id") / 500).cast("int").alias("page"), F.col("event_id").alias("seq"), kind.alias("type"), F.concat_ws(" ", "event_type", "event_id").alias("content"), F.lit(None).cast("array<double>").alias("bbox"))
+    made = C.chunk_elements(each.withColumn("run_id", F.concat_ws(" ", "mode", "u")), None, 80, 30, 0, 1.0)
+    run = F.split("run_id", " ")
+    return made.select(run[0].alias("mode"), run[1].cast("long").alias("u"), F.col("seq").cast("long").alias("seq"), F.md5(F.col("text").cast("binary")).alias("digest"), "tokens", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "section")
+
+
 @query()
 def document_chunks(spark, sf_dir):
     """Each document cut at its coarsest separators."""
