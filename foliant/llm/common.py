@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -20,8 +21,10 @@ FINE_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset and all run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (root or f"file://{tempfile.gettempdir()}/foliant").rstrip("/")
 
 
