@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -26,18 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which the driver and all executors see; it goes when the driver ends."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which the driver and all executors see; where it is unset and all run on this machine, a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{root.rstrip('/')}/foliant-{name}-{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/foliant"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/foliant-{name}-{uuid.uuid4().hex}"
     atexit.register(_gone, spark, path)
     return path
 
 
 def _gone(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
-    if context._jsc is not None:
+    if context._jsc is not None and not context._jsc.sc().isStopped():
         folder = context._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
