@@ -346,15 +346,17 @@ def _finished(batch, data: np.ndarray, offs: np.ndarray, covered: np.ndarray, ke
     return pa.Table.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+#: Starts that repeat become runs; texts are cut into blocks first, as a cut far into a string takes long.
 ORACLE = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-p as (select doc_id, h, unnest(range(0, length(h) // 2)) as i from d),
-w as (select doc_id, i, substr(h, 2 * i + 1, 2) as b, doc_id * 1000000000 + i as place, case when i * 2 + 200 <= length(h) then md5_number(substr(h, 2 * i + 1, 200)) end as s from p),
-f as (select s, min(place) as first from w where s is not null group by s having count(*) > 1),
-m as (select w.doc_id, w.i, w.b, coalesce(w.place <> f.first, false)::int as again from w left join f on w.s = f.s),
-g as (select doc_id, i, b, max(again) over (partition by doc_id order by i rows between 99 preceding and current row) as gone from m),
-k as (select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by i), 0) = 0 as begins from g),
-t as (select doc_id, count(*) as n, sum(gone) as removed, count(*) filter (begins) as spans, coalesce(string_agg(b, '' order by i) filter (gone = 0), '') as kept from k group by doc_id)
-select doc_id, coalesce(n, 0)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+x as (select doc_id, j, substr(h, 512 * j + 1, 710) as x from (select doc_id, h, unnest(range(0, (length(h) + 511) // 512)) as j from d where length(h) >= 200)),
+w as (select doc_id, 256 * j + o as i, md5_number(substr(x, 2 * o + 1, 200)) as s from (select doc_id, j, x, unnest(range(0, least(256, (length(x) - 200) // 2 + 1))) as o from x where length(x) >= 200)),
+f as (select s, min(doc_id * 1000000000 + i) as first from w group by s having count(*) > 1),
+r as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from w join f using (s) where doc_id * 1000000000 + i <> first),
+n as (select doc_id, i, sum(case when before is null or i > before + 100 then 1 else 0 end) over (partition by doc_id order by i) as run from r),
+g as (select doc_id, run, min(i) as a, max(i) + 100 as z from n group by doc_id, run),
+k as (select doc_id, h, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as last, row_number() over (partition by doc_id order by a desc) as turn from g join d using (doc_id)),
+t as (select doc_id, sum(z - a) as removed, count(*) as spans, string_agg(substr(h, 2 * last + 1, 2 * (a - last)) || case when turn = 1 then substr(h, 2 * z + 1) else '' end, '' order by a) as kept from k group by doc_id)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
 from d left join t using (doc_id)
 """
