@@ -49,6 +49,10 @@ def coverage(facts: Column, text: Column) -> Column:
     return F.struct((1 - F.coalesce(F.try_divide(F.size(missing), F.size(facts)), F.lit(0.0))).alias("share"), missing.alias("missing"))
 
 
+#: Distinct anchors of facts that are looked for in each text; with more, texts and facts meet by a join alone.
+ANCHORS = 4096
+
+
 def facts_found(docs: DataFrame, id_col: str, text_col: str, facts: DataFrame, fact_id: str, fact_col: str) -> DataFrame:
     """(id, fact): which facts each text has, white space and case aside.
 
@@ -68,6 +72,9 @@ def facts_found(docs: DataFrame, id_col: str, text_col: str, facts: DataFrame, f
     sizes = sorted(r.k for r in kinds.collect())  # 1 and 4 at most
     every = lambda w: F.array_distinct(F.flatten(F.array(*(F.when(F.size(w) >= k, runs(w, k)).otherwise(F.array().cast("array<bigint>")) for k in sizes))))
     each = F.transform(F.array(words), every)[0]  # bound once: else the text would be split again for each of its words
+    few = [r.anchor for r in anchored.select("anchor").where("anchor is not null").distinct().limit(ANCHORS + 1).collect()]
+    if len(few) <= ANCHORS:  # a text's runs that no fact asks for go before anything moves
+        each = F.array_intersect(each, F.array(*map(F.lit, few)).cast("array<bigint>"))
     met = text.select("id", F.explode(each).alias("anchor")).join(anchored.select("fact", "anchor"), "anchor").select("id", "fact").distinct()
     long = met.join(text, "id").join(fact, "fact")
     short = text.join(anchored.where("anchor is null").drop("anchor"), F.contains("text", F.col("wanted")))

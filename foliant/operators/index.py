@@ -103,8 +103,9 @@ class Index:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")
         counted = made.select("id", "doc", "length", F.explode("terms").alias("term")).groupBy("term", "id", "doc", "length").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", bucket)
-        # ranges split the postings of a frequent term; each task writes a few buckets
-        counted.repartitionByRange(n, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").select("term", "id", "doc", "tf", "length", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/postings/gen={gen}")
+        # shares by id split a bucket with a frequent term; there are about two for each task
+        share = F.pmod(F.xxhash64("id"), F.lit(max(1, 2 * n // self.buckets)))
+        counted.repartition(n, "bucket", share).sortWithinPartitions("bucket", "term", "id").select("term", "id", "doc", "tf", "length", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/postings/gen={gen}")
         made.select("id", "doc", "length", *named, "vector").write.parquet(f"{self.folder}/chunks/gen={gen}")
         added = self.spark.read.schema(self._chunk_schema).parquet(f"{self.folder}/chunks/gen={gen}")
         if gen:
