@@ -1,7 +1,7 @@
 """A stored search index: postings in buckets of terms, lengths and vectors, statistics and a manifest beside them.
 
     <folder>/postings/gen=<g>/bucket=<b>/   (term, id, doc, tf, length), sorted by term
-    <folder>/chunks/gen=<g>/                (id, doc, length, payload, vector)
+    <folder>/chunks/gen=<g>/                (id, doc, length, payload, vector, terms)
     <folder>/stats/                         (gen, chunks, terms): what each generation added
     <folder>/gone/                          (doc, gen, chunks, terms): what a later generation replaced
     <folder>/manifest/                      (model, query_prefix, buckets)
@@ -102,11 +102,12 @@ class Index:
         made = made.withColumn("length", F.size("terms"))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")
-        counted = made.select("id", "doc", "length", F.explode("terms").alias("term")).groupBy("term", "id", "doc", "length").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", bucket)
+        made.select("id", "doc", "length", *named, "vector", "terms").write.parquet(f"{self.folder}/chunks/gen={gen}")
+        once = self.spark.read.schema(f"id {self.id}, doc {self.doc}, length int, terms array<string>").parquet(f"{self.folder}/chunks/gen={gen}")
+        counted = once.select("id", "doc", "length", F.explode("terms").alias("term")).groupBy("term", "id", "doc", "length").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", bucket)
         # shares by id split a bucket with a frequent term; there are about two for each task
         share = F.pmod(F.xxhash64("id"), F.lit(max(1, 2 * n // self.buckets)))
         counted.repartition(n, "bucket", share).sortWithinPartitions("bucket", "term", "id").select("term", "id", "doc", "tf", "length", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/postings/gen={gen}")
-        made.select("id", "doc", "length", *named, "vector").write.parquet(f"{self.folder}/chunks/gen={gen}")
         added = self.spark.read.schema(self._chunk_schema).parquet(f"{self.folder}/chunks/gen={gen}")
         if gen:
             again = added.select("doc").distinct()
