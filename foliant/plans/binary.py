@@ -25,10 +25,10 @@ fields:
   - {name: at, type: u64, offset: 8, time: unix_ms}
   - {name: second, type: u32, offset: 16}
   - {name: value, type: f64, offset: 20}
-  - {name: user_id, type: u16, offset: 28}
   - {name: half, type: i16, offset: 30, scale: 0.5, add: 10, endian: big}
   - {name: flags, type: u8, offset: 32, bits: {large: 0, sale: 1}}
   - {name: kind, type: str, offset: 34, size: 10, encoding: utf-8}
+  - {name: user_id, type: u32, offset: 44}
 """
 HEADER = {"magic": "DLOG", "version": 3, "record": 48}
 

@@ -139,6 +139,16 @@ def test_unknown_files(spark, path, tmp_path):
     assert looks.keys() == {"log", "noise", "big", "tiny", "long", "odd"} and "record size 32, header 64, records 3000" in looks["log"].text and "no fixed record size" in looks["noise"].text
 
 
+def test_users_beyond_two_bytes(spark, tmp_path):
+    from foliant.catalogue import QUERIES
+
+    rows = [(i, 65_000 + 400 * i, "signup", float(i)) for i in range(20)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp_ntz'2024-01-05 00:00:00' as ts")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["binary_records"](spark, str(tmp_path)).collect()
+    assert {(r.event_id, r.user_id, r.half) for r in got} == {(i, u, u % 100 / 2 + 10) for i, u, *_ in rows}
+
+
 def test_formats_and_encodings(spark, tmp_path):
     files = {"a.txt": "plain text é".encode(), "b.log": "한글 로그".encode("cp949"), "noext": "utf eight 日本".encode(), "c.txt": "sixteen".encode("utf-16"), "d.bin": bytes(range(256)) * 4, "e.pdf": b"%PDF-1.7 x", "f.pdf": b"not one", "g.png": b"\x89PNG....", "h.docx": b"PK\x03\x04", "copy.txt": "plain text é".encode(), "empty.txt": b""}
     for name, data in files.items():
