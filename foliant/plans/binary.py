@@ -121,7 +121,7 @@ def binary_warnings(spark, sf_dir):
 @query(f"select event_id // {IDS} as device, 48 as record_size, 64::bigint as header_size, 'constant bytes' as method, count(*) as records from events group by 1 having count(*) > 1000")
 def binary_layout(spark, sf_dir):
     """Record length and header of each file as found from its bytes alone; files of over a thousand records."""
-    lengths = L.record_lengths(L.files(spark, _logs(spark, sf_dir)))
+    lengths = L.record_lengths(L.files(spark, _logs(spark, sf_dir))).persist()  # a row for each file
     found = lengths.join(L.header_sizes(lengths), "path").where(f"size > {64 + 48 * 1000}")
     return found.select(_device(), "record_size", "header_size", "method", F.floor((F.col("size") - F.col("header_size")) / F.col("record_size")).alias("records"))
 
@@ -134,8 +134,8 @@ def binary_layout(spark, sf_dir):
 )
 def binary_fields(spark, sf_dir):
     """The counter and the two times that the bytes of each file show, with their ranges; files of over a thousand records."""
-    lengths = L.record_lengths(L.files(spark, _logs(spark, sf_dir)))
-    seen = L.fields(lengths.join(L.header_sizes(lengths), "path")).where("records > 1000")
+    lengths = L.record_lengths(L.files(spark, _logs(spark, sf_dir))).persist()  # a row for each file
+    seen = L.fields(lengths.join(L.header_sizes(lengths), "path").persist()).where("records > 1000")
     each = seen.select(_device(), F.explode("findings").alias("f")).where("f.what <> 'float' and f.endian = 'little' and f.offset % f.width = 0")
     return each.select("device", "f.offset", "f.type", "f.what", "f.low", "f.high", F.when(F.col("f.what") == "counter", F.col("f.step")).alias("step"))
 

@@ -50,6 +50,11 @@ def _each(df: DataFrame, columns: list[str], helper, schema: str) -> DataFrame:
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for few rows of much work each: a number that is given stays, else Spark joins small partitions into one."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, size): a row for each file."""
     return R.blocks(spark, path).where("offset = 0").select("path", "size")
@@ -90,7 +95,7 @@ def record_lengths(found: DataFrame) -> DataFrame:
     is LEAD over the median, the shortest shift near the best is the record's length; else it is null. Candidates are
     the five best shifts of two bytes or more.
     """
-    shifts = found.where("size >= 64").withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(LONGEST), F.lit(SHIFT_STEP)))).repartition("path", "first")
+    shifts = found.where("size >= 64").withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(LONGEST), F.lit(SHIFT_STEP)))).repartition(_tasks(found), "path", "first")
     rates = _each(shifts, ["path", "size", "first"], _rates, "path string, shift int, rate double")
     judged = rates.groupBy("path").agg(F.median("rate").alias("base"), F.max("rate").alias("best"), F.max_by("shift", F.struct("rate", -F.col("shift"))).alias("best_shift"))
     bar = F.col("base") + NEAR * (F.col("best") - F.col("base"))
@@ -125,6 +130,21 @@ def _repeats_from(a: np.ndarray, record: int) -> int:
     return int(np.argmax(share >= (share.max() + np.median(share)) / 2))
 
 
+def _not_slow(a: np.ndarray, starts: np.ndarray, record: int, row: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """The constant bytes (offsets) without those of slow values: before it became constant, such a byte held another
+    value in four records, each unlike the next elsewhere, as a time's high byte does. If all are slow, all stay."""
+    first = a[starts[:, None] + np.arange(record)]
+    off = first[:, fixed] != row[fixed]
+    kept = []
+    for i, j in enumerate(fixed.tolist()):
+        last = np.flatnonzero(off[:, i])[-1:].sum()
+        before = first[last - 3 : last + 1]
+        slow = last >= 3 and (before[:, j] == before[0, j]).all() and (before[1:] != before[:-1]).any(axis=1).all()
+        if not slow:
+            kept.append(j)
+    return np.array(kept) if kept else fixed
+
+
 def _header(path: str, size: int, record: int):
     """Records end with the file. The first is where the bytes that are constant in later records hold nearly best."""
     first, a = size % record, _bytes_of(path, 0, min(size, (1 << 18) + 4 * record + record))
@@ -138,6 +158,7 @@ def _header(path: str, size: int, record: int):
         fixed = np.flatnonzero((rows == rows[0]).all(axis=0))
         starts = np.arange(first, min(size - 4 * record, 1 << 16) + 1, record)
         if len(fixed) and len(starts):
+            fixed = _not_slow(a, starts, record, rows[0], fixed)
             at = starts[:, None, None] + np.arange(4)[:, None] * record + fixed
             held = (a[at] == rows[0, fixed]).mean(axis=(1, 2))
             if held.max() >= 0.8:
@@ -147,7 +168,8 @@ def _header(path: str, size: int, record: int):
 
 def header_sizes(found: DataFrame) -> DataFrame:
     """(path, header_size, periodic_from, method) of files (path, size, record_size) with a record size."""
-    return _each(found.where("record_size is not null"), ["path", "size", "record_size"], _header, "path string, header_size long, periodic_from long, method string")
+    sized = found.where("record_size is not null").repartition(_tasks(found), "path")
+    return _each(sized, ["path", "size", "record_size"], _header, "path string, header_size long, periodic_from long, method string")
 
 
 # ---- fields ----
@@ -218,7 +240,7 @@ def fields(found: DataFrame) -> DataFrame:
     the constant bytes are told, and fewer than four records tell nothing.
     """
     found = found.where("record_size is not null").withColumn("records", F.least(F.floor((F.col("size") - F.col("header_size")) / F.col("record_size")), F.lit(RECORDS)))
-    pieces = found.where("records >= 4").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("record_size") - 1, F.lit(OFFSET_STEP)))).repartition("path", "first")
+    pieces = found.where("records >= 4").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("record_size") - 1, F.lit(OFFSET_STEP)))).repartition(_tasks(found), "path", "first")
     seen = _each(pieces, ["path", "size", "header_size", "record_size", "first"], _offsets, _FOUND).drop("spare")
     byte = seen.where("kind = 'byte'")
     island = F.col("offset") - F.row_number().over(Window.partitionBy("path").orderBy("offset"))
@@ -272,9 +294,9 @@ def overview(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, entropy, block_min, block_max, record_size, header_size, records, text): what a first look tells of
     each file, and the same as plain text of up to 60 strings."""
     blocks = R.blocks(spark, path)
-    lengths = record_lengths(files(spark, path))
+    lengths = record_lengths(files(spark, path)).persist()  # a row for each file
     heads = header_sizes(lengths)
-    facts = entropies(blocks).join(lengths.drop("size"), "path").join(heads, "path", "left")
+    facts = entropies(blocks).join(lengths.drop("size"), "path").join(heads, "path", "left").persist()
     seen = fields(facts.select("path", "size", "record_size", "header_size")).withColumnRenamed("records", "analysed")
     place = F.row_number().over(Window.partitionBy("path").orderBy("offset", "encoding"))
     strings = printable_runs(blocks).withColumn("n", place).groupBy("path").agg(F.count(F.lit(1)).alias("strings"), F.array_sort(F.collect_list(F.when(F.col("n") <= 60, F.struct("n", F.format_string("  %08x %s", "offset", F.substring("text", 1, 100)).alias("line"))))).alias("shown"))

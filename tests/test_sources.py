@@ -139,6 +139,16 @@ def test_unknown_files(spark, path, tmp_path):
     assert looks.keys() == {"log", "noise", "big", "tiny", "long", "odd"} and "record size 32, header 64, records 3000" in looks["log"].text and "no fixed record size" in looks["noise"].text
 
 
+def test_header_before_a_time_whose_high_byte_changes_early(tmp_path):
+    """The records begin where they begin, also if a byte that is constant later changes among the first of them."""
+    for turn, head in ((0, 64), (5, 64), (50, 64), (155, 64), (155, 5064)):
+        rows = [b"\xaa\x55\xaa\x55" + struct.pack("<IQI", i, 1_704_700_000_000 + i, (5 << 16) - turn + i) + np.random.default_rng(i).bytes(13) + bytes(15) for i in range(2500)]
+        data = bytes(head - 64) + b"DLOG".ljust(64, b"\0") + b"".join(rows)
+        (tmp_path / "f").write_bytes(data)
+        ((_, header, _, method),) = L._header(str(tmp_path / "f"), len(data), 48)
+        assert (header, method) == (head, "constant bytes"), turn
+
+
 def test_users_beyond_two_bytes(spark, tmp_path):
     from foliant.catalogue import QUERIES
 
