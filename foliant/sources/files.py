@@ -159,9 +159,26 @@ def blocks(rows: DataFrame, sheet: str, order: str, per_block: int = 24) -> Data
     return body.select(*columns).unionByName(heads.select(*columns))
 
 
+#: Shares of the pages whose lengths are added up apart.
+SHARES = 256
+
+
 def sample_text(pages: DataFrame, by: str, limit: int) -> DataFrame:
-    """(by, sample): the texts of the first pages, joined, up to a number of characters."""
-    w = Window.partitionBy(by).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    used = pages.withColumn("_before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).where(F.col("_before") < limit)
-    parts = used.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
-    return parts.select(by, F.left(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit(limit)).alias("sample"))
+    """(by, sample): the texts of the first pages, joined, up to a number of characters.
+
+    Lengths alone are added up: in shares of the pages first, where a page that begins past the limit among some of the
+    pages does so among all. Texts are only those of the pages that are used.
+    """
+    lengths = pages.select(by, "page", F.coalesce(F.length("text"), F.lit(0)).alias("_n"), F.pmod(F.xxhash64("page"), F.lit(SHARES)).alias("_share"))
+
+    def early(df: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).where(F.col("_before") < limit).drop("_before")
+
+    used = early(early(lengths.where("_n > 0"), by, "_share"), by).select(F.col(by).alias("_by"), F.col("page").alias("_page")).distinct()
+    here = F.col(by).eqNullSafe(F.col("_by")) & (F.col("page") == F.col("_page"))
+    texts = pages.where(F.length("text") > 0).join(F.broadcast(used), here, "left_semi")  # at most limit pages of each
+    parts = texts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("page", F.left("text", F.lit(limit)).alias("text")))).alias("p"))
+    sample = F.left(F.array_join(F.transform("p", lambda x: x["text"]), ""), F.lit(limit))
+    each = pages.select(F.col(by).alias("_by")).distinct()
+    return each.join(parts, F.col("_by").eqNullSafe(F.col(by)), "left").select(F.col("_by").alias(by), F.coalesce(sample, F.lit("")).alias("sample"))

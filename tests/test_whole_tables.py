@@ -56,3 +56,16 @@ def test_ids_and_times_as_in_sql_for_large_keys(spark, tmp_path):
     spark.sql("select explode(array(0L, 5L, 719500L, 800000L, 6000000L)) as event_id, timestamp_ntz'2024-01-05 00:00:00' as ts").write.parquet(str(tmp_path / "events.parquet"))
     for name in ("names", "iso_times"):
         assert differences(spark, str(tmp_path), QUERIES[name], ORACLES[name]) is None, name
+
+
+def test_sample_text_orders_lengths_without_texts(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else f"{i} " * (i % 40), [None, "en", "de"][i % 3]) for i in range(2000)] + [(2000, "x" * 5000, "long"), (2001, "y", "long")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(spark, str(tmp_path), QUERIES["sample_text"], ORACLES["sample_text"]) is None
+
+    def windows(node):
+        below = [w for i in range(node.children().size()) for w in windows(node.children().apply(i))]
+        return below + ([node.output().mkString(" ")] if node.nodeName() == "Window" else [])
+
+    seen = windows(QUERIES["sample_text"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan())
+    assert seen and not any("text" in w for w in seen)
