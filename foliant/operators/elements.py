@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,8 +195,6 @@ def real_grids(cells: DataFrame) -> DataFrame:
 
 def _closed(boxes: list[tuple]) -> list[tuple]:
     """Boxes (x0, y0, x1, y1, n) joined, and what they join to, until none is within reach of another."""
-    import numpy as np
-
     at, n, used = np.zeros((len(boxes), 4)), np.zeros(len(boxes), np.int64), 0
     for *box, count in boxes:
         box = np.array(box)
@@ -212,8 +211,54 @@ def _closed(boxes: list[tuple]) -> list[tuple]:
     return [(*map(float, b), int(c)) for b, c in zip(at[:used], n[:used])]
 
 
-#: Height of the strips of a page that are joined apart first.
-STRIP = 64.0
+#: Boxes that are compared all with all; more are joined one by one.
+TOGETHER = 512
+
+
+def _joined(boxes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of few boxes (rows x0, y0, x1, y1) and their counts: all that hang together are joined at once, in rounds."""
+    while len(boxes) > 1:
+        x0, y0, x1, y1 = boxes.T
+        near = (x0[:, None] <= x1) & (x0 <= x1[:, None]) & (y0[:, None] <= y1) & (y0 <= y1[:, None])
+        np.fill_diagonal(near, True)
+        label = near.argmax(axis=1)
+        while True:
+            least = np.where(near, label, len(boxes)).min(axis=1)
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        order = np.argsort(label, kind="stable")
+        first = np.flatnonzero(np.diff(label[order], prepend=-1))
+        if len(first) == len(boxes):
+            break
+        moved = boxes[order]
+        boxes = np.concatenate([np.minimum.reduceat(moved[:, :2], first), np.maximum.reduceat(moved[:, 2:], first)], axis=1)
+        n = np.add.reduceat(n[order], first)
+    return boxes, n
+
+
+def _runs(batches, key: str):
+    """Tables of whole runs of equal keys, from batches that come sorted by the key; the last run waits for its end."""
+    rest, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        if rest and keys[0] != last:
+            yield pa.Table.from_batches(rest)
+            rest = []
+        last, cut = keys[-1], int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+#: Height of the strips that pages of more than BUSY drawings are cut into, to be joined apart first.
+STRIP, BUSY = 64.0, 4096
 
 
 def clusters(drawings: DataFrame, pages: DataFrame, tolerance: float = 3.0, thin: bool = False) -> DataFrame:
@@ -221,24 +266,39 @@ def clusters(drawings: DataFrame, pages: DataFrame, tolerance: float = 3.0, thin
 
     Two boxes that are near become the box around both, which may reach more; what remains doesn't depend on the order.
     Only drawings inside their page (page, width, height) count, and clusters no wider or no taller than the tolerance
-    (rules, underlines) go unless ``thin``. Strips of a page are joined first, so a page of very many paths is shared
-    out and its last step has clusters only.
+    (rules, underlines) go unless ``thin``. Strips of a page of very many paths are joined first, so its last step has
+    clusters only.
     """
     names = ("x0", "y0", "x1", "y1")
     boxes = drawings.join(pages, "page").select("page", "width", "height", *(F.col("bbox")[i].alias(x) for i, x in enumerate(names)))
     inside = boxes.where("x0 >= 0 and y0 >= 0 and x1 <= width and y1 <= height")
     reach = tolerance / 2  # on either side of each box
-    grown = inside.select("page", F.floor(F.col("y0") / STRIP).alias("strip"), *((F.col(x) + (reach if x[1] == "1" else -reach)).alias(x) for x in names), F.lit(1).cast("long").alias("n"))
+    grown = inside.select(F.col("page").cast("long").alias("page"), *((F.col(x) + (reach if x[1] == "1" else -reach)).alias(x) for x in names), F.lit(1).cast("long").alias("n"))
     out = "page long, x0 double, y0 double, x1 double, y1 double, n long"
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(x).to_pylist() for x in (*names, "n"))), key=lambda b: (b[3], b[0]))
-        columns = list(zip(*_closed(rows)))
-        return pa.Table.from_arrays([pa.array([table.column("page")[0].as_py()] * len(columns[0]), pa.int64()), *(pa.array(x) for x in columns)], ["page", *names, "n"])
+    def joined(boxes: np.ndarray, n: np.ndarray):
+        if len(boxes) <= TOGETHER:
+            return _joined(boxes, n)
+        order = np.lexsort((boxes[:, 0], boxes[:, 3]))
+        done = _closed([(*b, c) for b, c in zip(boxes[order].tolist(), n[order].tolist())])
+        return np.array([d[:4] for d in done]), np.array([d[4] for d in done], np.int64)
 
-    grown = grown.withColumn("page", F.col("page").cast("long"))
-    part = grown.groupBy("page", "strip").applyInArrow(run, out)
-    whole = part.groupBy("page").applyInArrow(run, out)
+    def run(table: pa.Table) -> pa.Table:
+        page, boxes, n = table.column("page").to_numpy(), np.stack([table.column(x).to_numpy() for x in names], axis=1), table.column("n").to_numpy()
+        starts = np.flatnonzero(np.diff(page, prepend=page[0] - 1))
+        made = [(page[a], *joined(boxes[a:b], n[a:b])) for a, b in zip(starts, [*starts[1:], len(page)])]
+        boxes, n = np.concatenate([b for _, b, _ in made]), np.concatenate([c for *_, c in made])
+        pages = np.repeat([p for p, *_ in made], [len(c) for *_, c in made])
+        return pa.Table.from_arrays([pa.array(pages, pa.int64()), *(pa.array(boxes[:, i]) for i in range(4)), pa.array(n, pa.int64())], ["page", *names, "n"])
+
+    def pages_run(batches):
+        for table in _runs(batches, "page"):
+            yield from run(table).to_batches()
+
+    busy = F.broadcast(grown.groupBy("page").agg(F.count(F.lit(1)).alias("_paths")).where(F.col("_paths") > BUSY).select("page"))  # a BUSY-th of the paths at most
+    some = grown.join(busy, "page", "left_semi").withColumn("strip", F.floor(F.col("y0") / STRIP))
+    part = some.groupBy("page", "strip").applyInArrow(run, out).unionByName(grown.join(busy, "page", "left_anti"))
+    whole = part.repartition("page").sortWithinPartitions("page").mapInArrow(pages_run, out)
     made = whole.select("page", *(F.round(F.col(x) - (reach if x[1] == "1" else -reach), 9).alias(x) for x in names), "n")
     kept = made if thin else made.where((F.col("x1") - F.col("x0") > tolerance) & (F.col("y1") - F.col("y0") > tolerance))
     return kept.select("page", F.array(*names).alias("bbox"), "n")

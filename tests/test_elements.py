@@ -137,3 +137,28 @@ def test_page_checks(spark):
     df = spark.range(1).select(F.lit("table").alias("label"), F.lit("table").alias("want_label"), F.lit("abc").alias("text"), F.lit("abd").alias("want_text"), F.array(F.lit("B"), F.lit("zz")).alias("want_facts"), F.array(F.lit("The Title")).alias("titles"), F.lit("title").alias("want_title"), F.array(F.lit("| a |\n| - |")).alias("tables"), F.lit(True).alias("want_no_single_column"), F.array(F.lit("a")).alias("want_cells"), F.lit(1).alias("want_columns"), F.array(F.lit("chart")).alias("figure_kinds"), F.lit("chart").alias("want_figure"), F.lit("한글").alias("figure_text"), F.array(F.lit("한글")).alias("want_figure_facts"), F.lit("ko").alias("want_language"), F.array(F.lit("Figure 1: x")).alias("captions"), F.lit("figure 1").alias("want_caption"))
     got = {c.id: (c.score, c.passed) for c in X.page_checks(df).first().checks}
     assert got == {"label": (1.0, True), "text": (0.667, False), "facts": (0.5, False), "title": (1.0, True), "no_single_column": (0.0, False), "cells": (1.0, True), "columns": (1.0, True), "figure": (1.0, True), "figure_facts": (1.0, True), "language": (1.0, True), "caption": (1.0, True)}
+
+
+def test_boxes_joined_together_as_one_by_one():
+    rng = np.random.default_rng(3)
+    for size, wide in ((1, 5), (2, 300), (60, 20), (300, 8), (500, 30)):
+        at = rng.integers(0, 300, (size, 2)) + 0.25
+        boxes = np.concatenate([at, at + rng.integers(0, wide, (size, 2))], axis=1)
+        boxes[size // 2, 0] = np.nan if size > 50 else boxes[size // 2, 0]
+        got, n = E._joined(boxes, np.ones(size, np.int64))
+        assert sorted(map(repr, zip(got.tolist(), n.tolist()))) == sorted(map(repr, (([*b[:4]], b[4]) for b in E._closed([(*b, 1) for b in boxes.tolist()]))))
+
+
+def test_pages_of_very_many_paths_and_of_few(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(p, [float(x), float(y), float(x + 6), float(y + 9)]) for p, k in ((1, 300), (2, 30), (3, 1), (4, 200)) for x, y in rng.integers(0, 580, (k, 2))]
+    drawn = spark.createDataFrame(rows, "page long, bbox array<double>")
+    pages = spark.createDataFrame([(p, 600.0, 600.0) for p in range(6)], "page long, width double, height double")
+    seen = []
+    for busy, together in ((4096, 512), (100, 512), (100, 20)):
+        monkeypatch.setattr(E, "BUSY", busy)
+        monkeypatch.setattr(E, "TOGETHER", together)
+        seen.append(sorted((r.page, *r.bbox, r.n) for r in E.clusters(drawn, pages, thin=True).collect()))
+    assert seen[0] == seen[1] == seen[2] and sum(r[-1] for r in seen[0]) == len([r for r in rows if r[1][2] <= 600 and r[1][3] <= 600])
+    tasks = E.clusters(drawn, pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in tasks
