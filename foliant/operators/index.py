@@ -1,12 +1,12 @@
 """A stored search index: postings in buckets of terms, lengths and vectors, statistics and a manifest beside them.
 
     <folder>/postings/gen=<g>/bucket=<b>/   (term, id, doc, tf, length), sorted by term
-    <folder>/chunks/gen=<g>/                (id, doc, length, payload, vector, terms)
+    <folder>/chunks/gen=<g>/                (id, doc, length, payload, vector, terms with how often each occurs)
     <folder>/stats/                         (gen, chunks, terms): what each generation added
     <folder>/gone/                          (doc, gen, chunks, terms): what a later generation replaced
     <folder>/manifest/                      (model, query_prefix, buckets)
 
-Texts are tokenised once, when they are added. A search opens the buckets of its own terms only. A document that is
+Texts are tokenised once, when they are added; terms are counted in their row, and postings move once. A search opens the buckets of its own terms only. A document that is
 added again replaces what earlier generations have of it: a note of that is kept, and searches leave it out.
 """
 
@@ -25,6 +25,8 @@ from foliant.operators import search as S
 BUCKETS = 64
 POSTINGS = "term string, id {id}, doc {doc}, tf long, length int, gen int, bucket int"
 STATS = "gen int, chunks long, terms long"
+#: Postings that a task sorts; above that there are more tasks than spark.sql.shuffle.partitions.
+SORTED = 4_000_000
 
 
 @dataclass
@@ -99,12 +101,13 @@ class Index:
         vector = F.col("vector").cast("array<double>") if "vector" in chunks.columns else F.lit(None).cast("array<double>")
         named = [c.split()[0] for c in self.payload.split(", ")] if self.payload else []
         made = chunks.select(F.col("id").cast(self.id), F.col("doc").cast(self.doc), T.search_terms(F.coalesce("text", F.lit(""))).alias("terms"), *named, vector.alias("vector"))
-        made = made.withColumn("length", F.size("terms"))
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        made = made.withColumn("length", F.size("terms")).withColumn("terms", T.counted_terms(F.col("terms")))
         bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")
         made.select("id", "doc", "length", *named, "vector", "terms").write.parquet(f"{self.folder}/chunks/gen={gen}")
-        once = self.spark.read.schema(f"id {self.id}, doc {self.doc}, length int, terms array<string>").parquet(f"{self.folder}/chunks/gen={gen}")
-        counted = once.select("id", "doc", "length", F.explode("terms").alias("term")).groupBy("term", "id", "doc", "length").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", bucket)
+        once = self.spark.read.schema(f"id {self.id}, doc {self.doc}, length int, terms array<struct<term:string,tf:long>>").parquet(f"{self.folder}/chunks/gen={gen}")
+        most = once.agg(F.sum("length")).first()[0] or 0
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-most // SORTED))
+        counted = once.select("id", "doc", "length", F.inline("terms")).withColumn("bucket", bucket)
         # shares by id split a bucket with a frequent term; there are about two for each task
         share = F.pmod(F.xxhash64("id"), F.lit(max(1, 2 * n // self.buckets)))
         counted.repartition(n, "bucket", share).sortWithinPartitions("bucket", "term", "id").select("term", "id", "doc", "tf", "length", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/postings/gen={gen}")

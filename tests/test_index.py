@@ -68,3 +68,16 @@ def test_stages_of_a_search(spark, index):
     assert index.search(["nothing"], None, 2, "lexical").rows.count() == 0
     with pytest.raises(ValueError):
         index.search(["fish"], None, 2, "other")
+
+
+def test_terms_are_counted_where_they_are(spark, tmp_path):
+    from foliant.functions import text as T
+
+    texts = ["a b a", "", "b", "z " * 300 + "a b a"]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.counted_terms(T.search_terms(F.col("t"))).alias("c"))
+    for r in made.collect():
+        assert [tuple(x) for x in r.c] == sorted((w, r.t.split().count(w)) for w in set(r.t.split()))
+    many = Index.create(spark, str(tmp_path / "many"))
+    many.add(spark.range(50).selectExpr("id", "cast(id as string) doc", "concat('a b a c', id) text"))
+    terms = spark.read.parquet(f"{many.folder}/chunks/gen=0").schema["terms"].dataType.simpleString()
+    assert terms == "array<struct<term:string,tf:bigint>>" and many.postings(["a"]).agg({"tf": "sum"}).first()[0] == 100
