@@ -2,11 +2,12 @@
 
 Messages say that a run was submitted, cancelled, or how it ended; a tick only tells the time. A run that doesn't end
 within a limit fails when its time is over, at once or with the next message, whichever is seen first; both give the
-same. State is the running one and the list of those that wait.
+same. State is the running one and the list of those that wait, in one value: each access is a call to the JVM.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,20 +20,17 @@ ENDS = {"succeed": "succeeded", "fail": "failed", "cancel": "cancelled"}
 
 
 class Fifo(StatefulProcessor):
-    def __init__(self, limit_ms: int):
-        self.limit = limit_ms
+    def __init__(self, limit_ms: int, timers: bool = True):
+        self.limit, self.timers = limit_ms, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.running = handle.getValueState("running", "run_id string, since long")
-        self.waiting = handle.getListState("waiting", "run_id string")
-        self.count = handle.getValueState("count", "n long")
+        self.kept = handle.getValueState("kept", "json string")
 
     def _turn(self, queue: str, messages: list[tuple[str, str, int]], now: int | None) -> Iterator[pd.DataFrame]:
         """Handles messages (type, run, time) in their order, then the time ``now``, and keeps what is left."""
-        running = tuple(self.running.get()) if self.running.exists() else None
-        waiting = [r[0] for r in self.waiting.get()]
-        n = self.count.get()[0] if self.count.exists() else 0
+        kept = self.kept.get()
+        running, waiting, n = json.loads(kept[0]) if kept else (None, [], 0)
         out: list[tuple] = []
 
         def say(run: str, state: str, at: int, reason: str = "") -> None:
@@ -65,16 +63,12 @@ class Fifo(StatefulProcessor):
                 say(run, "cancelled", at, "while queued")
         if now is not None:
             advance(now)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.waiting.clear()
-        self.running.clear()
-        if running:
-            self.running.update(running)
-            self.handle.registerTimer(running[1] + self.limit)
-        if waiting:
-            self.waiting.put([(w,) for w in waiting])
-        self.count.update((n + len(out),))
+        if self.timers:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if running:
+                self.handle.registerTimer(running[1] + self.limit)
+        self.kept.update((json.dumps([running, waiting, n + len(out)]),))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
@@ -89,10 +83,13 @@ class Fifo(StatefulProcessor):
         pass
 
 
-def run_queue(messages: DataFrame, limit_ms: int, late: str = "0 seconds") -> DataFrame:
+def run_queue(messages: DataFrame, limit_ms: int, late: str | None = "0 seconds") -> DataFrame:
     """CHANGES of messages (queue, event_id, ts, type, run_id): each run's states, numbered in each queue.
 
-    Messages of a queue come in ascending event_id and time. Unknown runs and messages are ignored.
+    Messages of a queue come in ascending event_id and time. Unknown runs and messages are ignored. Messages later than
+    the others by over ``late`` are dropped; where it is None none are, and only a queue's own messages tell it the time.
     """
-    known = messages.selectExpr("queue", "event_id", "ts", "type", "run_id", "unix_millis(ts) as at").withWatermark("ts", late)
-    return known.groupBy("queue").transformWithStateInPandas(Fifo(limit_ms), CHANGES, "Append", "EventTime")
+    known = messages.selectExpr("queue", "event_id", "ts", "type", "run_id", "unix_millis(ts) as at")
+    if late is None:
+        return known.groupBy("queue").transformWithStateInPandas(Fifo(limit_ms, timers=False), CHANGES, "Append", "None")
+    return known.withWatermark("ts", late).groupBy("queue").transformWithStateInPandas(Fifo(limit_ms), CHANGES, "Append", "EventTime")

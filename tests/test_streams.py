@@ -84,3 +84,13 @@ def test_one_run_at_a_time(spark, tmp_path, keyed):
         ("4", "failed", 7 + 2 * hour, "stale"), ("5", "running", 7 + 2 * hour, ""), ("6", "queued", 4 * hour, ""), ("5", "failed", 7 + 4 * hour, "stale"), ("6", "running", 7 + 4 * hour, ""),
     ][: sum(r.queue == "q" for r in changes)]  # fmt: skip  (the last run's time may be over or not)
     assert [(r.run_id, r.state) for r in changes if r.queue == "p"] == [("9", "queued"), ("9", "running"), ("9", "failed")]
+
+
+def test_queue_of_a_user_whose_times_are_earlier(spark, tmp_path):
+    """Later ids may have earlier times: another user's clock doesn't make them late."""
+    from foliant.catalogue import ORACLES, QUERIES
+    from tests.compare import differences
+
+    spark.sql("""select id as event_id, id div 40 as user_id, array('view', 'view', 'click', 'signup', 'view', 'purchase', 'error')[cast(id % 7 as int)] as event_type, 1.0D as value,
+        timestamp_ntz'2024-01-05 00:00:00' - make_dt_interval(cast(id div 40 as int) * 3) + make_dt_interval(0, cast(id % 40 as int)) as ts from range(400)""").write.parquet(str(tmp_path / "events.parquet"))
+    assert differences(spark, str(tmp_path), QUERIES["stream_run_queue"], ORACLES["stream_run_queue"]) is None
