@@ -143,28 +143,38 @@ def gather(flat: np.ndarray, at: np.ndarray, length: np.ndarray, which: np.ndarr
 
 
 class Encoder:
-    """Ids of whole batches; ``merge`` maps distinct new pieces to packed ids."""
+    """Ids of whole batches; ``merge`` maps distinct new pieces to packed ids. Over ``most`` pieces (about 40 bytes each) are forgotten."""
 
-    def __init__(self, merge: Callable[[list[bytes]], list[bytes]]):
-        self.merge, self.known = merge, {}
+    def __init__(self, merge: Callable[[list[bytes]], list[bytes]], most: int = CACHE):
+        self.merge, self.most = merge, most
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces: hashes in their order, where the ids of each are in ``ids``, and how many."""
+        self.known, self.at, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _learn(self, place: np.ndarray, hashes: np.ndarray, packed: list[bytes]) -> None:
+        length = np.array([len(p) for p in packed], np.int64) // 4
+        self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(length) - length)
+        self.known, self.length = np.insert(self.known, place, hashes), np.insert(self.length, place, length)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), "<u4")])
 
     def __call__(self, data: np.ndarray, offs: np.ndarray):
         """(ids, each text's range in them, pieces' byte starts, each piece's range of ids, texts' ranges of pieces)."""
         starts, ends, ranges = pieces(data, offs)
         hashes = hash_words(data, starts, ends)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            text = data.tobytes()
-            got = self.merge([text[starts[j] : ends[j]] for j in first[new]])
-            self.known.update(zip([keys[i] for i in new], got))
-        packed = [self.known[k] for k in keys]
-        length = np.array([len(p) for p in packed], np.int64) // 4
-        at = np.concatenate([[0], np.cumsum(length)])
-        ids, bounds = gather(np.frombuffer(b"".join(packed), "<u4"), at, length, which, np.arange(len(which) + 1))
+        if len(self.known) > self.most:
+            self._forget()
+        place = np.searchsorted(self.known, distinct)
+        new = np.append(self.known, np.uint64(0))[place] != distinct
+        new |= place == len(self.known)
+        if new.any():
+            text, some = data.tobytes(), first[new]
+            got = self.merge([text[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())])
+            self._learn(place[new], distinct[new], got)
+            place += np.cumsum(new) - new
+        ids, bounds = gather(self.ids, self.at, self.length, place[which], np.arange(len(which) + 1))
         return ids, bounds[ranges], starts, bounds, ranges
 
 

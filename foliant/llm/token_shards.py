@@ -37,6 +37,8 @@ INDEX = struct.Struct(">8sQQ")
 BLOCK_BYTES = 1 << 16
 SHARD_BYTES = 1 << 28
 _HASHES = 7
+#: Distinct pieces that a worker remembers from task to task.
+PIECES = 1 << 20
 META = "shard string, first long, docs long, ids long"
 SCHEMA = "shard string, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -186,11 +188,25 @@ def _library(path: str):
     return Tokenizer.from_file(path), [t["content"].encode() for t in made.get("added_tokens", [])], plain
 
 
+_loaded: dict[tuple, tuple] = {}
+
+
+def _worker(path: str):
+    """_library() and an encoder by it, one for each file and worker: what a task has encoded, the worker's next ones know."""
+    file = os.stat(path)
+    key = path, file.st_size, file.st_mtime_ns
+    if key not in _loaded:
+        library, added, plain = _library(path)
+        _loaded.clear()
+        _loaded[key] = library, added, plain, Encoder(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)], PIECES)
+    return _loaded[key]
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards in ascending id order and returns their names, first keys, documents and ids.
 
     Texts are encoded with the tokenizers library by the file ``tokenizer``, without special tokens of its own;
-    ``end_id`` ends each document. Distinct pieces of a batch are encoded once. A null or empty text has the end id
+    ``end_id`` ends each document. A worker encodes a distinct piece once, unless it has had over PIECES of them since. A null or empty text has the end id
     alone. Ids that are null or repeat: see common.keyed. An empty table writes no shard. Other columns are ignored.
     A task writes under a name of its own attempt and then renames, so a task that runs again leaves whole files.
     """
@@ -198,9 +214,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, id_col: str
     dealt = c.keyed(docs, id_col, text_col).repartitionByRange(c.partitions(spark), "row").sortWithinPartitions("row")
 
     def run(batches):
-        library, added, plain = _library(tokenizer)
+        library, added, plain, encoder = _worker(tokenizer)
         width = 2 if max(library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        encoder = Encoder(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)])
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()

@@ -33,6 +33,25 @@ def test_round_trip_against_the_library(spark, sf):
     assert {k: zlib.crc32(v.tobytes()) for k, v in found.items()} == {k: v[2] for k, v in want.items()}
 
 
+def test_pieces_are_known_from_task_to_task(monkeypatch):
+    """A worker's next task loads no tokenizer and encodes new pieces only; forgetting changes no ids."""
+    library = Tokenizer.from_file(PATH)
+    texts = [["one fish two fish", "", "déjà 'll 12 !?"], ["two red fish", "  \n x"], ["one 'll blue"]]
+    for most in (ts.PIECES, 2):
+        monkeypatch.setattr(ts, "PIECES", most)
+        ts._loaded.clear()
+        encoder = ts._worker(PATH)[3]
+        asked, merge = [], encoder.merge
+        encoder.merge = lambda new, asked=asked, merge=merge: asked.extend(new) or merge(new)
+        for task in texts:
+            assert ts._worker(PATH)[3] is encoder
+            raw = [t.encode() for t in task]
+            ids, ranges, *_ = encoder(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            assert [ids[a:b].tolist() for a, b in zip(ranges, ranges[1:])] == [library.encode(t, add_special_tokens=False).ids for t in task]
+        assert (len(asked) == len(set(asked))) == (most > 2)
+    ts._loaded.clear()
+
+
 def test_repeated_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(4, "b"), (4, "a"), (None, "n"), (1, "x")], "doc_id long, text string")
     folder = c.scratch_path(spark, "test")
