@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import geometry as G
@@ -257,6 +257,20 @@ def _runs(batches, key: str):
         yield pa.Table.from_batches(rest)
 
 
+#: Rows that come to a task, about, where the settings' number of partitions would give it more.
+SHARE = 1 << 18
+
+
+def _parts(spark: SparkSession, rows: int) -> int | None:
+    """How many partitions so many rows need beyond the settings' number; None where that will do."""
+    n = -(-rows // SHARE)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _dealt(df: DataFrame, by: str, n: int | None) -> DataFrame:
+    return df.repartition(n, by) if n else df
+
+
 #: Height of the strips that pages of more than BUSY drawings are cut into, to be joined apart first.
 STRIP, BUSY = 64.0, 4096
 
@@ -267,10 +281,11 @@ def clusters(drawings: DataFrame, pages: DataFrame, tolerance: float = 3.0, thin
     Two boxes that are near become the box around both, which may reach more; what remains doesn't depend on the order.
     Only drawings inside their page (page, width, height) count, and clusters no wider or no taller than the tolerance
     (rules, underlines) go unless ``thin``. Strips of a page of very many paths are joined first, so its last step has
-    clusters only.
+    clusters only. The drawings are counted first, as the number of partitions follows from it.
     """
     names = ("x0", "y0", "x1", "y1")
-    boxes = drawings.join(pages, "page").select("page", "width", "height", *(F.col("bbox")[i].alias(x) for i, x in enumerate(names)))
+    parts = _parts(drawings.sparkSession, drawings.count())
+    boxes = _dealt(drawings, "page", parts).join(_dealt(pages, "page", parts), "page").select("page", "width", "height", *(F.col("bbox")[i].alias(x) for i, x in enumerate(names)))
     inside = boxes.where("x0 >= 0 and y0 >= 0 and x1 <= width and y1 <= height")
     reach = tolerance / 2  # on either side of each box
     grown = inside.select(F.col("page").cast("long").alias("page"), *((F.col(x) + (reach if x[1] == "1" else -reach)).alias(x) for x in names), F.lit(1).cast("long").alias("n"))
@@ -298,7 +313,8 @@ def clusters(drawings: DataFrame, pages: DataFrame, tolerance: float = 3.0, thin
     busy = F.broadcast(grown.groupBy("page").agg(F.count(F.lit(1)).alias("_paths")).where(F.col("_paths") > BUSY).select("page"))  # a BUSY-th of the paths at most
     some = grown.join(busy, "page", "left_semi").withColumn("strip", F.floor(F.col("y0") / STRIP))
     part = some.groupBy("page", "strip").applyInArrow(run, out).unionByName(grown.join(busy, "page", "left_anti"))
-    whole = part.repartition("page").sortWithinPartitions("page").mapInArrow(pages_run, out)
+    dealt = part.repartition(parts, "page") if parts else part.repartition("page")
+    whole = dealt.sortWithinPartitions("page").mapInArrow(pages_run, out)
     made = whole.select("page", *(F.round(F.col(x) - (reach if x[1] == "1" else -reach), 9).alias(x) for x in names), "n")
     kept = made if thin else made.where((F.col("x1") - F.col("x0") > tolerance) & (F.col("y1") - F.col("y0") > tolerance))
     return kept.select("page", F.array(*names).alias("bbox"), "n")
@@ -312,15 +328,17 @@ def figure_regions(images: DataFrame, drawn: DataFrame, tables: DataFrame, pages
     which grows to hold it; otherwise it begins one. The first ``most`` regions stay, boxes rounded to 0.1. Equal areas:
     images first, then by their corners.
     """
+    parts = _parts(images.sparkSession, images.count() + tables.count())
+
     def clipped(boxes: DataFrame, source: str) -> DataFrame:
-        placed = boxes.select("page", "bbox").join(pages, "page")
+        placed = _dealt(boxes.select("page", "bbox"), "page", parts).join(_dealt(pages, "page", parts), "page")
         cut = G.clipped(F.col("bbox"), F.col("width"), F.col("height"))
         whole = F.col("width") * F.col("height")
         return placed.select("page", cut.alias("bbox"), F.lit(source).alias("source"), F.when(whole > 0, whole).otherwise(1.0).alias("whole")).where(G.area(F.col("bbox")) / F.col("whole") >= least)
 
-    both = clipped(images, "image").unionByName(without_covered(clipped(drawn, "drawing"), tables))
+    both = clipped(images, "image").unionByName(without_covered(clipped(drawn, "drawing"), _dealt(tables, "page", parts)))
     order = F.struct((-G.area(F.col("bbox"))).alias("a"), (F.col("source") != "image").alias("s"), "bbox", "source")
-    each = both.groupBy("page").agg(F.first("whole").alias("whole"), F.array_sort(F.collect_list(order)).alias("found"))
+    each = _dealt(both, "page", parts).groupBy("page").agg(F.first("whole").alias("whole"), F.array_sort(F.collect_list(order)).alias("found"))
     none = F.array().cast("array<struct<bbox:array<double>,source:string>>")
 
     def taken(regions: Column, x: Column) -> Column:

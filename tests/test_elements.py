@@ -162,3 +162,16 @@ def test_pages_of_very_many_paths_and_of_few(spark, monkeypatch):
     assert seen[0] == seen[1] == seen[2] and sum(r[-1] for r in seen[0]) == len([r for r in rows if r[1][2] <= 600 and r[1][3] <= 600])
     tasks = E.clusters(drawn, pages)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in tasks
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """More rows are dealt to more tasks than the settings name, and the regions stay as they are."""
+    rng = np.random.default_rng(6)
+    pages = spark.createDataFrame([(p, 600.0, 600.0) for p in range(40)], "page long, width double, height double")
+    drawn, images, tables = (spark.createDataFrame([(p % 40, [float(x), float(y), float(x + w), float(y + w)]) for p, (x, y) in enumerate(rng.integers(0, 580, (n, 2)))], "page long, bbox array<double>") for n, w in ((400, 30), (100, 80), (50, 40)))
+    found = lambda: E.figure_regions(images, E.clusters(drawn, pages), tables, pages, 0.004, 4)
+    want = sorted(map(tuple, found().collect()), key=repr)
+    monkeypatch.setattr(E, "SHARE", 10, raising=False)
+    plan = found()._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [page#" in plan and any(line.rstrip().endswith(", 40") for line in plan.split("\n")) and any(line.rstrip().endswith(", 15") for line in plan.split("\n"))
+    assert sorted(map(tuple, found().collect()), key=repr) == want
