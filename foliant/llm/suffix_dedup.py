@@ -63,15 +63,14 @@ class _Slice:
     def __init__(self, batch, length: int, period: int):
         self.data, self.offs = c.flat(batch.column("text"))
         self.length, self.prefix = length, length - period + 1
-        inside = np.zeros(period, bool)
-        inside[list(COVERS[period])] = True
-        at = np.arange(len(self.data))
-        text = np.repeat(np.arange(len(self.offs) - 1), np.diff(self.offs))
-        local = at - self.offs[text]
-        end = self.offs[1:][text]
-        sampled = inside[local % period] & (at + self.prefix <= end) & (end - self.offs[text] >= length)
-        self.at = np.flatnonzero(sampled)
-        self.text, self.local = text[self.at], local[self.at].astype(np.uint32)
+        residues, size = np.array(COVERS[period]), np.diff(self.offs)
+        turns, rest = np.divmod(size - self.prefix + 1, period)
+        count = np.where(size >= length, turns * len(residues) + np.searchsorted(residues, rest), 0)
+        self.text = np.repeat(np.arange(len(size)), count)
+        turns, rest = np.divmod(np.arange(len(self.text)) - (np.cumsum(count) - count)[self.text], len(residues))
+        local = turns * period + residues[rest]
+        self.at = self.offs[self.text] + local
+        self.local = local.astype(np.uint32)
 
     def hashes(self) -> np.ndarray:
         return Runs(mix(np.arange(1, 257, dtype=np.uint64))[self.data])(self.at, self.at + self.prefix)
@@ -83,6 +82,14 @@ def _pieces(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(wide, width)[at]
 
 
+def _row_hashes(x: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    wide = np.zeros((len(x), -(-x.shape[1] // 8) * 8), np.uint8)
+    wide[:, : x.shape[1]] = x
+    words = wide.view(np.uint64)
+    return mix(mix(words * (mix(np.arange(1, words.shape[1] + 1, dtype=np.uint64)) | np.uint64(1))).sum(axis=1, dtype=np.uint64))
+
+
 def byte_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of bytes in their order, and how many bytes each has in common with the one before it (the first: -1)."""
     order = np.argsort(np.ascontiguousarray(x).view(f"S{x.shape[1]}").ravel(), kind="stable")
@@ -215,7 +222,7 @@ def remove_earlier(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             right[np.arange(length) >= aft[:, None]] = 0
             left = _pieces(np.concatenate([np.zeros(reach, np.uint8), data]), at, reach)[:, ::-1].copy()
             left[np.arange(reach) >= bef[:, None]] = 0
-            whole = Runs(mix(np.arange(1, 257, dtype=np.uint64))[data])(at - bef, at + aft) ^ mix((bef.astype(np.uint64) << np.uint64(32)) + aft)
+            whole = _row_hashes(np.concatenate([right, left], axis=1)) ^ mix((bef.astype(np.uint64) << np.uint64(32)) + aft)
             _, first, same = np.unique(whole, return_index=True, return_inverse=True)
             first = first[same]
             again = (first != np.arange(len(at))) & (bef == bef[first]) & (aft == aft[first])

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from foliant.llm import substring_dedup, suffix_dedup
 
@@ -114,3 +115,22 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_earlier(docs).count() == 0
     assert substring_dedup.remove_repeated(docs).count() == 0
+
+
+def test_sample_positions_take_little_memory():
+    """Only sample positions are held, not numbers for each byte of the texts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    for length in (10, 100, 300):
+        period = suffix_dedup.period_for(length)
+        texts = ["x" * int(n) for n in [0, 1, length - 1, length, length + 1, *rng.integers(0, 900, 60)]]
+        s = suffix_dedup._Slice(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), length, period)
+        want = [(i, p) for i, t in enumerate(texts) for p in range(len(t) - (length - period)) if len(t) >= length and p % period in suffix_dedup.COVERS[period]]
+        assert list(zip(s.text.tolist(), s.local.tolist())) == want and (s.at == s.offs[s.text] + s.local).all()
+    batch = pa.RecordBatch.from_arrays([pa.array(["y" * 2000] * 500)], ["text"])
+    tracemalloc.start()
+    suffix_dedup._Slice(batch, 100, 31)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * 1_000_000
