@@ -30,6 +30,8 @@ SPEC_KEYS = {"endian", "header", "record_size", "count", "header_fields", "field
 FIELD_KEYS = {"name", "offset", "type", "size", "endian", "scale", "add", "unit", "time", "bits", "encoding", "description"}
 EPOCH = (946684800, 4102444800)
 _ARROW = {"short": pa.int16(), "int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64(), "decimal(20,0)": pa.decimal128(20, 0), "string": pa.string()}
+#: Ranges that one task reads at most, and records in them where there are several; tasks that get one range each before any gets more.
+RANGES_A_TASK, RECORDS_A_TASK, TASKS = 32, 1 << 16, 48
 BYTES_READ = 4096
 RECORDS_READ = 200
 
@@ -252,15 +254,35 @@ def listed(paths: str) -> list[tuple[str, int]]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     size: int
     first: int
     count: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[Range]
+
+
+def packed_ranges(ranges: list[Range], room: int) -> list[Ranges]:
+    """Ranges in their order, several to a task where they have ``room`` together; few stay apart, so that all cores read."""
+    most = max(1, min(RANGES_A_TASK, len(ranges) // TASKS))
+    out, full = [], 0
+    for r in ranges:
+        if not out or full + r.count > room or len(out[-1].ranges) == most:
+            out.append(Ranges([]))
+            full = 0
+        out[-1].ranges.append(r)
+        full += r.count
+    return out
+
+
 class RecordReader(DataSourceReader):
-    """Ranges of each file; those that pushed filters rule out are not planned."""
+    """Ranges of each file; those that pushed filters rule out are not planned. A task reads a large range, or many small ones."""
 
     def __init__(self, options):
         self.layout = parse(json.loads(options["spec"])) if "spec" in options else None
@@ -320,6 +342,7 @@ class RecordReader(DataSourceReader):
 
     def partitions(self):
         out = []
+        step = self.per_range if self.rows == "records" else max(1, (64 << 20) // self.block)
         for path, size in listed(self.paths):
             if self.rows == "header":
                 out.append(Range(path, size, 0, 1))
@@ -329,16 +352,16 @@ class RecordReader(DataSourceReader):
             if self.rows == "records" and (self.least, self.most) != (None, None) and a < b:
                 x, y = self._span(path, unit)
                 a, b = max(a, x), min(b, y)
-            step = self.per_range if self.rows == "records" else max(1, (64 << 20) // self.block)
             out += [Range(path, size, i, min(step, b - i)) for i in range(a, b, step)]
-        return out
+        return packed_ranges(out, max(step, RECORDS_A_TASK) if self.rows == "records" else step)
 
     def read(self, partition):
         if partition is None:  # nothing was planned
             return
-        fs, base = opened(partition.path)
-        with fs.open_input_file(base) as stream:
-            yield from {"records": self._records, "header": self._header, "blocks": self._blocks}[self.rows](partition, stream)
+        for part in partition.ranges:
+            fs, base = opened(part.path)
+            with fs.open_input_file(base) as stream:
+                yield from {"records": self._records, "header": self._header, "blocks": self._blocks}[self.rows](part, stream)
 
     def _records(self, p, stream):
         layout, done = self.layout, 0
@@ -434,8 +457,8 @@ class RecordWriter(DataSourceArrowWriter):
 class Records(DataSource):
     """spark.read.format("records").option("spec", json).load(path), and df.write.format("records") of the same.
 
-    Options to read: rows (records, header, blocks), times (string, timestamp), sortedBy, recordsPerPartition,
-    blockBytes. To write: headerValues (json), fileBy (rows come sorted by it).
+    Options to read: rows (records, header, blocks), times (string, timestamp), sortedBy, recordsPerPartition (where
+    files are cut), blockBytes. To write: headerValues (json), fileBy (rows come sorted by it).
     """
 
     @classmethod

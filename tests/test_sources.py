@@ -159,6 +159,20 @@ def test_users_beyond_two_bytes(spark, tmp_path):
     assert {(r.event_id, r.user_id, r.half) for r in got} == {(i, u, u % 100 / 2 + 10) for i, u, *_ in rows}
 
 
+def test_many_small_files_share_tasks(spark, tmp_path):
+    """Tasks don't grow with the number of small files; each file is still read whole and once, in each kind of rows."""
+    for i in range(200):
+        (tmp_path / f"{i:03d}.bin").write_bytes(log(20 + i % 3))
+    df, heads, blocks = B.read(spark, str(tmp_path), SPEC, 15), B.headers(spark, str(tmp_path), SPEC), B.blocks(spark, str(tmp_path), 256)
+    assert all(x.rdd.getNumPartitions() <= 60 for x in (df, heads, blocks))
+    got = {r.path[-7:-4]: (r.n, r.s) for r in df.groupBy("path").agg(F.count("*").alias("n"), F.sum("index").alias("s")).collect()}
+    assert got == {f"{i:03d}": (n := 20 + i % 3, n * (n - 1) // 2) for i in range(200)}
+    assert sorted(r.available for r in heads.collect()) == sorted(20 + i % 3 for i in range(200))
+    assert blocks.agg(F.sum(F.length("content")), F.count_distinct("path")).first()[:] == (sum(64 + 32 * (20 + i % 3) for i in range(200)), 200)
+    assert B.packed_ranges([B.Range("a", 1, 0, 100)] * 96, 150) == [B.Ranges([B.Range("a", 1, 0, 100)])] * 96  # large ranges stay apart
+    assert B.packed_ranges([], 1) == []
+
+
 def test_formats_and_encodings(spark, tmp_path):
     files = {"a.txt": "plain text é".encode(), "b.log": "한글 로그".encode("cp949"), "noext": "utf eight 日本".encode(), "c.txt": "sixteen".encode("utf-16"), "d.bin": bytes(range(256)) * 4, "e.pdf": b"%PDF-1.7 x", "f.pdf": b"not one", "g.png": b"\x89PNG....", "h.docx": b"PK\x03\x04", "copy.txt": "plain text é".encode(), "empty.txt": b""}
     for name, data in files.items():
